@@ -64,9 +64,21 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id in Python tasks, where a column of integers with nulls would lose digits.
+NO_ID = -(1 << 63)
+
+
+def hidden(id_col: str = "doc_id"):
+    return F.coalesce(F.col(id_col).cast("long"), F.expr("-9223372036854775807L - 1L")).alias("doc_id")
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != F.expr("-9223372036854775807L - 1L"), F.col("doc_id")))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
-    """doc_id, text as bytes (null: empty), and more columns; other columns of the input are left out, whatever their names."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *more)
+    """doc_id (hidden), text as bytes (null: empty), and more columns; other columns of the input are left out, whatever their names."""
+    return docs.select(hidden(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *more)
 
 
 def fold(modulus: int, id_col: str = "doc_id"):

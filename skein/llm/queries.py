@@ -23,8 +23,27 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skein.llm.common import shared_folder
+    from skein.llm.token_files import read_tokens, write_tokens
+
+    folder = shared_folder(spark)
+    manifest = write_tokens(_documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, folder, manifest)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skein.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict:
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
