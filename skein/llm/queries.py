@@ -42,9 +42,38 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.quality_rules import quality_rules
+
+    return quality_rules(_documents(spark, sf_dir))
+
+
+#: Words, lines and windows by the contract; the rules of default_rules() as one conjunction, in no order.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, ws[i : i + 4] AS five FROM w, unnest(range(1, len(ws) - 3)) AS u(i) WHERE len(ws) >= 5),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g) WHERE n >= 2),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 5) AS o(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+             length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_letters,
+             length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper, len(list_distinct(ws)) AS n_distinct
+      FROM w LEFT JOIN c USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 18 * n_words OR 10 * n_symbols > n_words
+            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_letters < 60 * word_chars
+            OR 100 * n_upper > 40 * greatest(1, n_letters) OR (n_words >= 50 AND 100 * n_distinct < 10 * n_words)) AS kept
+FROM v
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op8_token_files)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_quality_rules, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL}
