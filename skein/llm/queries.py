@@ -71,9 +71,25 @@ FROM v
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i : i + 12] AS win FROM w, unnest(range(1, len(ws) - 11)) AS u(i) WHERE len(ws) >= 13),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM g) WHERE first < doc_id),
+c AS (SELECT doc_id, list_distinct(list(i + k)) AS gone FROM r, range(0, 13) AS o(k) GROUP BY doc_id),
+k AS (SELECT w.doc_id, ws, gone, list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, len(ws) AS n_words, len(ws) - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_quality_rules, op8_token_files)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_quality_rules, op8_token_files, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
