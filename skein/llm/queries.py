@@ -42,6 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.lm_scoring import lm_scoring
+
+    return lm_scoring(_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.quality_rules import quality_rules
 
@@ -88,7 +94,7 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - len(kept) AS n_removed, sha256(coal
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_quality_rules, op8_token_files, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op8_token_files, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
