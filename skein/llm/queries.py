@@ -93,8 +93,14 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - len(kept) AS n_removed, sha256(coal
 """
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op8_token_files, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op8_token_files, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
