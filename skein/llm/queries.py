@@ -9,6 +9,24 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.toxicity import fit, toxicity
+
+    docs = _documents(spark, sf_dir)
+    return toxicity(docs, fit(docs, _labels(spark, sf_dir)))
+
+
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.quality_fm import fit, quality
+
+    docs = _documents(spark, sf_dir)
+    return quality(docs, fit(docs, _labels(spark, sf_dir)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.exact_dedup import exact_dedup
 
@@ -100,7 +118,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op8_token_files, op9_substring_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op8_token_files, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
