@@ -41,6 +41,14 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op7_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skein.llm.piece_fst import encode
+
+    return encode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,7 +126,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op8_token_files, op9_substring_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
