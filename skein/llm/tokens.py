@@ -12,10 +12,10 @@ import re
 
 import numpy as np
 
-#: Pieces kept before the table is emptied.
-PIECES = 400_000
-#: Unknown pieces encoded at once.
-BATCH = 4096
+#: Pieces kept before the table is emptied: some 300 MB.
+PIECES = 1_200_000
+#: Unknown pieces encoded at once, and the longest piece that is kept.
+BATCH, LONGEST = 4096, 256
 
 _whole = re.compile(r"[\x1c-\x1f\x00]")
 _runs = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
@@ -23,7 +23,10 @@ _piece = re.compile(r"\s*\S+|\s+")
 
 
 class PieceEncoder:
-    """encode(texts) gives each text's ids as unsigned 32-bit arrays. keep_space: a space belongs to the piece after it."""
+    """encode(texts) gives each text's ids as unsigned 32-bit arrays. keep_space: a space belongs to the piece after it.
+
+    A piece's key is the piece after a zero byte; of a piece that starts with a single space, what follows the space.
+    """
 
     def __init__(self, path: str, keep_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -33,35 +36,45 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.keep_space, self.known = keep_space, {}
 
-    def pieces(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
         if _whole.search(text):
-            return [text]
-        if self.keep_space:
-            if _runs.search(text):
-                return _piece.findall(text)
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return text.split()
-
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), BATCH):
-            own = new[i : i + BATCH]
-            for piece, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
+            return ["\0" + text]
+        if not self.keep_space:
+            return text.split()
+        if _runs.search(text):
+            return ["\0" + p for p in _piece.findall(text)]
+        out: list[str] = []
+        for line in text.split("\n"):
+            if out:
+                out.append("\0\n")
+            words = line.split(" ")
+            words[0] = "\0" + words[0]
+            out += words
+        return out
+
+    def _encoded(self, keys: list[str]) -> list[bytes]:
+        pieces = [k[1:] if k[:1] == "\0" else " " + k if self.keep_space else k for k in keys]
+        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(keys) + 1)).tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        cut = [self.pieces(t) for t in texts]
-        known = self.known
-        if len(known) > PIECES:
-            known.clear()
-        self._learn(list({p for own in cut for p in own if p not in known and len(p) < 256}))
-        out = []
-        for own in cut:
-            try:
-                out.append(b"".join(map(known.__getitem__, own)))
-            except KeyError:
-                out.append(b"".join(known[p] if p in known else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in own))
-        return out
+        if len(self.known) > PIECES:
+            self.known.clear()
+        keys = [self.keys(t) for t in texts]
+        found = [list(map(self.known.get, own)) for own in keys]
+        missing = [(own, ids, [i for i, x in enumerate(ids) if x is None]) for own, ids in zip(keys, found) if None in ids]
+        new = list({own[i] for own, _, at in missing for i in at})
+        learned: dict[str, bytes] = {}
+        for i in range(0, len(new), BATCH):
+            learned.update(zip(new[i : i + BATCH], self._encoded(new[i : i + BATCH])))
+        for own, ids, at in missing:
+            for i in at:
+                ids[i] = learned[own[i]]
+        self.known.update(x for x in learned.items() if len(x[0]) <= LONGEST)
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
