@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from skein import catalog
-from skein.plans import graph, relational, stream, text  # noqa: F401
+from skein.plans import graph, relational, reports, stream, text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
