@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Lines in a bin of the range joins.
+BIN = 64
+
+
 def with_signatures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends' signatures; a missing end's is empty."""
     n = nodes.select("id", "signature")
@@ -16,11 +20,13 @@ def with_signatures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def span_attribution(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each (path, line) the narrowest span of the path that holds the line, else the path's file node.
 
-    The equality on path makes this a hash join; a line is compared only with its own file's spans.
+    Lines fall into bins and a span lies in each bin it touches: an equality on path and bin, so that a line meets only the
+    spans around it, however many its file has.
     """
-    spans = nodes.where("line IS NOT NULL").select("path", F.col("id").alias("span_id"), F.col("line").alias("from_line"), F.col("end_line").alias("to_line"))
+    bins = F.explode(F.sequence(F.expr(f"line div {BIN}"), F.expr(f"end_line div {BIN}")))
+    spans = nodes.where("line IS NOT NULL AND end_line >= line").select("path", F.col("id").alias("span_id"), F.col("line").alias("from_line"), F.col("end_line").alias("to_line"), bins.alias("bin"))
     files = nodes.where("kind = 'file'").groupBy("path").agg(F.min("id").alias("file_id"))
-    held = sites.join(spans, (sites["path"] == spans["path"]) & sites["line"].between(F.col("from_line"), F.col("to_line"))).select(sites["path"], sites["line"], "span_id", (F.col("to_line") - F.col("from_line")).alias("width"))
+    held = sites.withColumn("bin", F.expr(f"line div {BIN}")).join(spans, ["path", "bin"]).where("line BETWEEN from_line AND to_line").select("path", "line", "span_id", (F.col("to_line") - F.col("from_line")).alias("width"))
     best = held.groupBy("path", "line").agg(F.min(F.struct("width", "span_id")).alias("b")).select("path", "line", F.col("b.span_id").alias("span_id"))
     return sites.join(best, ["path", "line"], "left").join(files, "path", "left").select("path", "line", F.coalesce("span_id", "file_id").alias("owner"))
 
@@ -103,8 +109,10 @@ def unify(foreign: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def edit_overlap(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """(hunk_id, id): the innermost spans that a hunk of lines touches: those that hold no other touched span."""
-    n = nodes.where("line IS NOT NULL").select("id", "path", "line", "end_line")
-    hit = hunks.join(n, "path").where("line <= hunk_end AND end_line >= hunk_start").select("hunk_id", "id", "line", "end_line")
+    bins = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {BIN}"), F.expr(f"{b} div {BIN}"))).alias("bin")
+    n = nodes.where("line IS NOT NULL AND end_line >= line").select("id", "path", "line", "end_line", bins("line", "end_line"))
+    h = hunks.select("hunk_id", "path", "hunk_start", "hunk_end", bins("hunk_start", "hunk_end"))
+    hit = h.join(n, ["path", "bin"]).where("line <= hunk_end AND end_line >= hunk_start").select("hunk_id", "id", "line", "end_line").distinct()
     i = hit.select("hunk_id", F.col("id").alias("in_id"), F.col("line").alias("in_line"), F.col("end_line").alias("in_end"))
     outer = hit.join(i, "hunk_id").where("in_id <> id AND in_line >= line AND in_end <= end_line AND in_end - in_line < end_line - line").select("hunk_id", "id").distinct()
     return hit.select("hunk_id", "id").join(outer, ["hunk_id", "id"], "left_anti")
