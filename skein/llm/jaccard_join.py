@@ -35,11 +35,13 @@ SHINGLE = 5
 #: The threshold, in hundredths, and the ratio of sizes from one band to the next.
 PERCENT, BAND = 80, 1.25
 CELLS, WIDE = 64, 4
-#: What a chance meeting counts for, in indexed keys.
-MEETING = 40.0
+#: What a chance meeting counts for, in indexed keys, up to so many documents; beyond, as the square root of their number.
+MEETING, MEETING_ROWS = 25.0, 250_000
 
-_ENTRIES = "part int, keys binary, least binary"
-_LISTS = "key long, members array<long>"
+#: Of keys that several sets have: each member beside the least one.
+_LISTS = "key long, least long, doc_id long"
+#: Packed keys and each one's least document in a block; with members: all members of the keys that several of the block's sets have.
+_ENTRIES = "part int, keys binary, least binary, members binary"
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -66,7 +68,7 @@ def bands() -> np.ndarray:
 
 
 @lru_cache(None)
-def allocate(band: int) -> tuple[int, int, int]:
+def allocate(band: int, meeting: float = MEETING) -> tuple[int, int, int]:
     """(m, q, k) of a band, the cheapest that the pigeonhole allows."""
     size = int(bands()[band + 1]) - 1
     h = most_differing(size)
@@ -83,13 +85,13 @@ def allocate(band: int) -> tuple[int, int, int]:
             unit = size / (m - q + q * WIDE)
             small = (m - q) * poisson(unit, 1)
             meetings = max(0.0, small - k) + 0.2 * (m - q) * poisson(unit, 2) / (1 + k) + q * poisson(unit * WIDE, 2)
-            cost = (m - q - k) + q * (1 + unit * WIDE) + MEETING * meetings
+            cost = (m - q - k) + q * (1 + unit * WIDE) + meeting * meetings
             if best is None or cost < best[0]:
                 best = cost, m, q, k
     return best[1:]
 
 
-def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(sets: list[np.ndarray], meeting: float = MEETING) -> tuple[np.ndarray, np.ndarray]:
     """(key, index of the set) of all keys that the sets index."""
     sizes = np.array([len(s) for s in sets], np.int64)
     edges = bands()
@@ -101,7 +103,7 @@ def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not len(use):
             continue
         band = own[use] - step
-        plans = np.array([allocate(int(b)) for b in band], np.int64)
+        plans = np.array([allocate(int(b), meeting) for b in band], np.int64)
         m, q, k = plans.T
         flat = np.concatenate([sets[i] for i in use])
         at = np.repeat(np.arange(len(use)), sizes[use])
@@ -177,15 +179,16 @@ def _bounded(pairs: DataFrame, measured: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, plain: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) with the sizes of their sets' intersection and union."""
-    needed = C.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ends = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("first")).union(pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("first")))
+    needed = C.written(ends.groupBy("doc_id").agg(F.bool_or("first").alias("is_a"), F.bool_or(~F.col("first")).alias("is_b")))
 
     def build(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [C.squeeze_sorted(shingles(t, width)) for t in pdf["text"]]})
+            yield pdf.drop(columns="text").assign(shingles=[C.squeeze_sorted(shingles(t, width)) for t in pdf["text"]])
 
-    wanted = C.thinned(plain, "doc_id", C.bitmap(needed, "doc_id")).join(C.checked(needed), "doc_id", "left_semi")
-    sets = C.written(wanted.mapInPandas(build, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
-    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    wanted = C.thinned(plain, "doc_id", C.bitmap(needed, "doc_id")).join(C.checked(needed), "doc_id").select("doc_id", "text", "is_a", "is_b")
+    sets = C.written(wanted.mapInPandas(build, "doc_id long, is_a boolean, is_b boolean, shingles binary"))
+    of = lambda x: sets.where(f"is_{x}").select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
 
     def verify(batches):
         for pdf in batches:
@@ -199,8 +202,8 @@ def _verified(pairs: DataFrame, plain: DataFrame, width: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").mapInPandas(verify, "a long, b long, both long, either long")
 
 
-def _candidates(plain: DataFrame, ranges: int, width: int) -> DataFrame:
-    """Lists (key, members) of sets that have a key in common: in a block, and the blocks' least members over all blocks."""
+def _candidates(plain: DataFrame, ranges: int, width: int, meeting: float) -> DataFrame:
+    """Sets that have a key in common with others, beside the least of them: in a block, and the blocks' least ones over all blocks."""
 
     def emit(batches):
         def flush(block, ids, texts):
@@ -213,7 +216,7 @@ def _candidates(plain: DataFrame, ranges: int, width: int) -> DataFrame:
                     if name not in sets or doc < sets[name][0]:
                         sets[name] = doc, s
             docs = np.array([d for d, _ in sets.values()], np.int64)
-            keys, at = keys_of([s for _, s in sets.values()])
+            keys, at = keys_of([s for _, s in sets.values()], meeting)
             if not len(keys):
                 return
             own = docs[at]
@@ -223,34 +226,33 @@ def _candidates(plain: DataFrame, ranges: int, width: int) -> DataFrame:
             keys, own = keys[fresh], own[fresh]
             starts = C.runs(keys)
             ends = np.append(starts[1:], len(keys))
-            several = np.flatnonzero(ends - starts > 1)
-            lists: dict[bytes, int] = {}
-            for i in several:
-                lists.setdefault(own[starts[i] : ends[i]].tobytes(), int(keys[starts[i]].astype(np.int64)))
             least, unique = own[starts], keys[starts]
             cut = C.range_starts(unique, ranges)
-            rows = [(p, C.squeeze_sorted(unique[a:b]), C.squeeze(least[a:b]), None, None) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            rows += [(None, None, None, key, np.frombuffer(members, np.int64)) for members, key in lists.items()]
-            yield pd.DataFrame(rows, columns=["part", "keys", "least", "key", "members"]).astype({"part": "Int32", "key": "Int64", "keys": object, "least": object, "members": object})
+            rows = [(p, C.squeeze_sorted(unique[a:b]), C.squeeze(least[a:b]), None) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            several = np.repeat(ends - starts > 1, ends - starts)
+            if several.any():
+                # The block's own members of a key pass through any range's task: none gathers a frequent key's.
+                rows.append((block % ranges, C.squeeze_sorted(keys[several]), C.squeeze(np.repeat(least, ends - starts)[several]), C.squeeze(own[several])))
+            yield pd.DataFrame(rows, columns=["part", "keys", "least", "members"]).astype({"members": object})
 
         yield from C.in_blocks(batches, flush)
 
     def meet(pdf):
-        keys = np.concatenate([C.unsqueeze_sorted(b) for b in pdf["keys"]])
-        docs = np.concatenate([C.unsqueeze(b, np.int64) for b in pdf["least"]])
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        starts = C.runs(keys)
-        ends = np.append(starts[1:], len(keys))
-        lists: dict[bytes, int] = {}
-        for i in np.flatnonzero(ends - starts > 1):
-            own = np.unique(docs[starts[i] : ends[i]])
-            if len(own) > 1:
-                lists.setdefault(own.tobytes(), int(keys[starts[i]].astype(np.int64)))
-        return pd.DataFrame({"key": list(lists.values()), "members": [np.frombuffer(m, np.int64) for m in lists]}).astype({"key": np.int64, "members": object})
-
-    emitted = C.written(plain.mapInPandas(emit, _ENTRIES + ", " + _LISTS))
-    return emitted.where("key is not null").select("key", "members").union(emitted.where("part is not null").select("part", "keys", "least").groupBy("part").applyInPandas(meet, _LISTS))
+        inner = pdf["members"].notna()
+        keys = [C.unsqueeze_sorted(b) for b in pdf["keys"][~inner]]
+        out = [pd.DataFrame({"key": C.unsqueeze_sorted(k).view(np.int64), "least": C.unsqueeze(a, np.int64), "doc_id": C.unsqueeze(m, np.int64)}) for k, a, m in zip(pdf["keys"][inner], pdf["least"][inner], pdf["members"][inner])]
+        if keys:
+            flat = np.concatenate(keys)
+            docs = np.concatenate([C.unsqueeze(b, np.int64) for b in pdf["least"][~inner]])
+            order = np.lexsort((docs, flat))
+            flat, docs = flat[order], docs[order]
+            starts = C.runs(flat)
+            sizes = np.diff(np.append(starts, len(flat)))
+            several = np.repeat(sizes > 1, sizes)
+            out.append(pd.DataFrame({"key": flat[several].view(np.int64), "least": np.repeat(docs[starts], sizes)[several], "doc_id": docs[several]}))
+        return pd.concat(out, ignore_index=True)
+
+    return plain.mapInPandas(emit, _ENTRIES).groupBy("part").applyInPandas(meet, _LISTS)
 
 
 def jaccard_join(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,8 +266,9 @@ def jaccard_join(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
     classes = known.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"))
     one_each = known.dropDuplicates(["doc_id"])
 
-    lists = C.written(_candidates(C.blocks(plain), ranges, width))
-    stars = lists.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")).where("a < b").distinct()
+    meeting = MEETING * max(1.0, (measured.count() / MEETING_ROWS) ** 0.5)
+    lists = C.written(_candidates(C.blocks(plain), ranges, width, meeting))
+    stars = lists.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
     tested = C.written(_verified(C.written(_bounded(stars, one_each)), plain, width))
     linked = f"100 * both >= {PERCENT} * either"
     equal = known.where("n > 0").join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
@@ -274,7 +277,7 @@ def jaccard_join(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
 
     # Keys whose members are in several components: compare across the components.
     root = F.coalesce("root", "doc_id").alias("root")
-    entries = lists.select("key", F.explode("members").alias("doc_id")).distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", root)
+    entries = lists.select("key", "doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", root)
     open_ = C.written(entries.join(entries.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "key"))
     pairs = open_.alias("l").join(open_.alias("r"), "key").where("l.doc_id < r.doc_id and l.root <> r.root").select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     across = C.written(_bounded(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), one_each))
