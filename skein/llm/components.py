@@ -29,10 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = C.written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        many = edges.select("u").distinct().count()
-        if now[0] == many and now == state or not now[0]:
+        # A fixed point, and one link for each node: all point at their roots.
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first())
+        if now == state and now[0] == now[2] or not now[0]:
             break
         state = now
-        edges = C.written(_stars(C.written(_stars(edges, True)), False))
+        edges = C.written(_stars(_stars(edges, True), False))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
