@@ -24,6 +24,8 @@ BLOCK_ROWS, LONG_TEXT = 2048, 1 << 16
 RANGE_ENTRIES = 1_500_000
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Texts handed to Python at once.
+BATCH_ROWS = 1024
 #: Slots of the bounded bitmap that thins rows before a shuffle: 2 MB of bits whatever the input.
 BITMAP_BITS = 1 << 24
 
@@ -31,8 +33,10 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give executors this package, so that workers can import it wherever the driver runs."""
+    """Give executors this package, so that workers can import it wherever the driver runs, and keep batches of texts small where the session has no setting of its own."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if app not in _shipped:
         _shipped.add(app)
         root = Path(__file__).resolve().parents[2]

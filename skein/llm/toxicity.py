@@ -101,6 +101,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     base = float(np.log(mean / (1 - mean)))
     raw = np.full(n, base)
     inner = 2**DEPTH - 1
+    least = max(1, min(LEAF, int(min(y.sum(), n - y.sum()) / 4)))  # few labels of a kind: smaller leaves
     features_, cuts_, leaves = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-raw))
@@ -118,7 +119,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
                 gl, hl, nl = gs.cumsum(1), hs.cumsum(1), ns.cumsum(1)
                 gt, ht, nt = gl[:, -1:], hl[:, -1:], nl[:, -1:]
                 gain = gl**2 / (hl + RIDGE) + (gt - gl) ** 2 / (ht - hl + RIDGE) - gt**2 / (ht + RIDGE)
-                gain[(nl < LEAF) | (nt - nl < LEAF)] = 0
+                gain[(nl < least) | (nt - nl < least)] = 0
                 gain = gain[:, : len(cuts[f])]
                 for i, b in enumerate(gain.argmax(1)):
                     if gain[i, b] > best[i]:
