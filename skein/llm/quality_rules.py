@@ -142,8 +142,10 @@ def measured(texts: list[bytes]) -> list[Document]:
 
 def plan_cascade(docs: DataFrame, rules: list[Rule]) -> list[Rule]:
     """The rules by rejection per cost, on SAMPLE documents."""
-    order = F.xxhash64("text")
-    texts = [bytes(r[0]) for r in docs.select(F.substring("text", 1, 1 << 16).alias("text")).orderBy(order).limit(SAMPLE).collect()]
+    # First the hashes alone, as each task sends its best to the driver; then the texts of those chosen.
+    chosen = [r[0] for r in docs.select(F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    sample = docs.where(F.xxhash64("text") <= max(chosen, default=0)).select(F.substring("text", 1, 1 << 16).alias("text")).limit(SAMPLE)
+    texts = [bytes(r[0]) for r in sample.collect()]
     rank = []
     for i, rule in enumerate(rules):
         own = [Document(t, C.split(t), 0) for t in texts]
