@@ -10,8 +10,7 @@ the keys they index and the chance meetings they leave.
 Sets with a key in common are candidates. In a block, and then over all blocks, the members of a key link to its
 smallest member only. Candidates pass an exact bound (sizes, and counts of shingles in 64 cells, whose L1 distance
 can't exceed the sets' difference) and are then verified on the whole sets. Where a key's members don't all end up in one
-component, its members of different components are compared as well, so that no component is missed; by the triangle
-inequality members whose distances from a common member differ by more than the threshold need no comparison.
+component, its members of different components are compared as well by the same bound, so that no component is missed.
 
 Texts without words have an empty set and no links; null text is such a text. Equal sets (of one shingle or more) are one class. Rows with the
 same doc_id are one document if their texts are equal, else they are linked by their id. A null doc_id is left as it is and links nothing
@@ -35,6 +34,8 @@ SHINGLE = 5
 #: The threshold, in hundredths, and the ratio of sizes from one band to the next.
 PERCENT, BAND = 80, 1.25
 CELLS, WIDE = 64, 4
+#: Members of a key compared with so many others at once.
+SLICE = 256
 #: What a chance meeting counts for, in indexed keys, up to so many documents; beyond, as the square root of their number.
 MEETING, MEETING_ROWS = 25.0, 250_000
 
@@ -177,6 +178,59 @@ def _bounded(pairs: DataFrame, measured: DataFrame) -> DataFrame:
     return joined.mapInPandas(allowed, "a long, b long")
 
 
+def _across(entries: DataFrame, measured: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's members (key, doc_id, root) in different components that sizes and cells allow.
+
+    A key's members come sorted by size to one task, which compares each with those of a similar size in slices and
+    passes on the allowed pairs only; other pairs never become rows.
+    """
+
+    def compare(docs, roots, sizes, cells):
+        order = np.argsort(sizes, kind="stable")
+        docs, roots, sizes, cells = docs[order], roots[order], sizes[order], cells[order].astype(np.int32)
+        upto = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")
+        for i in range(0, len(docs) - 1, SLICE):
+            rows = np.arange(i, min(i + SLICE, len(docs)))
+            for j in range(i, int(upto[rows[-1]]), SLICE):
+                others = np.arange(j, min(j + SLICE, len(docs)))
+                ok = (others[None, :] > rows[:, None]) & (others[None, :] < upto[rows][:, None]) & (roots[rows][:, None] != roots[others][None, :])
+                x, y = np.nonzero(ok)
+                x, y = rows[x], others[y]
+                far = np.abs(cells[x] - cells[y]).sum(1)
+                near = (100 + PERCENT) * far <= (100 - PERCENT) * (sizes[x] + sizes[y])
+                if near.any():
+                    x, y = docs[x[near]], docs[y[near]]
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+
+        def flush():
+            pdf = pd.concat(held) if len(held) > 1 else held[0]
+            keys = pdf["key"].to_numpy()
+            cells = np.frombuffer(b"".join(pdf["cells"]), np.uint16).reshape(-1, CELLS)
+            columns = [pdf[c].to_numpy() for c in ("doc_id", "root", "n")]
+            starts = C.runs(keys)
+            for a, b in zip(starts, np.append(starts[1:], len(keys))):
+                yield from compare(*(c[a:b] for c in columns), cells[a:b])
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # Rows of the batch's last key wait for the next batch.
+            split = int(np.searchsorted(pdf["key"].to_numpy(), pdf["key"].iloc[-1]))
+            if split:
+                held.append(pdf.iloc[:split])
+                yield from flush()
+                held.clear()
+            held.append(pdf.iloc[split:])
+        if held:
+            yield from flush()
+
+    placed = entries.join(measured.select("doc_id", "n", "cells"), "doc_id").repartition("key").sortWithinPartitions("key")
+    return placed.select("key", "doc_id", "root", "n", "cells").mapInPandas(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, plain: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) with the sizes of their sets' intersection and union."""
     ends = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("first")).union(pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("first")))
@@ -279,8 +333,7 @@ def jaccard_join(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
     root = F.coalesce("root", "doc_id").alias("root")
     entries = lists.select("key", "doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", root)
     open_ = C.written(entries.join(entries.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "key"))
-    pairs = open_.alias("l").join(open_.alias("r"), "key").where("l.doc_id < r.doc_id and l.root <> r.root").select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-    across = C.written(_bounded(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), one_each))
+    across = C.written(_across(open_, one_each).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     if across.count():
         more = _verified(across, plain, width).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = C.written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
