@@ -18,14 +18,29 @@ PIECES = 1_200_000
 BATCH, LONGEST = 4096, 256
 
 _whole = re.compile(r"[\x1c-\x1f\x00]")
-_runs = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+#: White space other than the space and the line feed, and the characters of _whole: one scan tells that a text has none.
+_odd = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _piece = re.compile(r"\s*\S+|\s+")
+#: A word of Latin letters and the punctuation after it: pre-tokenizers always part them.
+_word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
+
+
+def _letters_of_bytes() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a character: printable ones as themselves, the others as those from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_byte_letters = _letters_of_bytes()
 
 
 class PieceEncoder:
     """encode(texts) gives each text's ids as unsigned 32-bit arrays. keep_space: a space belongs to the piece after it.
 
     A piece's key is the piece after a zero byte; of a piece that starts with a single space, what follows the space.
+    A word with punctuation behind it is put together from the two, and a tokenizer that lowers case sees a word in lower
+    case only; so far fewer pieces than there are spellings go through the tokenizer.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -34,14 +49,16 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep_space, self.known = keep_space, {}
+        self.model = self.tokenizer.model
+        self.keep_space, self.known, self.parts = keep_space, {}, {}
 
     def keys(self, text: str) -> list[str]:
-        if _whole.search(text):
+        odd = _odd.search(text) is not None
+        if odd and _whole.search(text):
             return ["\0" + text]
         if not self.keep_space:
             return text.split()
-        if _runs.search(text):
+        if odd or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace():
             return ["\0" + p for p in _piece.findall(text)]
         out: list[str] = []
         for line in text.split("\n"):
@@ -52,6 +69,33 @@ class PieceEncoder:
             out += words
         return out
 
+    def _learned(self, keys: list[str]) -> dict[str, bytes]:
+        """The ids of keys that the table doesn't have. A bare word needs no normaliser or pre-tokenizer: the model itself reads it."""
+        if len(self.parts) > PIECES // 2:
+            self.parts.clear()
+        parts, out, odd, space = self.parts, {}, [], self.keep_space
+        for k in keys:
+            m = _word.fullmatch(k)
+            if m is None:
+                odd.append(k)
+                continue
+            word, tail = m.groups()
+            if not space:
+                word = word.lower()
+            ids = parts.get(word)
+            if ids is None:
+                read = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters)
+                ids = parts[word] = np.array([t.id for t in self.model.tokenize("Ġ" + read if space else read)], "<u4").tobytes()
+            if tail:
+                end = parts.get("\0" + tail)
+                if end is None:
+                    end = parts["\0" + tail] = self._encoded(["\0" + tail])[0]
+                ids += end
+            out[k] = ids
+        for i in range(0, len(odd), BATCH):
+            out.update(zip(odd[i : i + BATCH], self._encoded(odd[i : i + BATCH])))
+        return out
+
     def _encoded(self, keys: list[str]) -> list[bytes]:
         pieces = [k[1:] if k[:1] == "\0" else " " + k if self.keep_space else k for k in keys]
         e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
@@ -67,9 +111,7 @@ class PieceEncoder:
         found = [list(map(self.known.get, own)) for own in keys]
         missing = [(own, ids, [i for i, x in enumerate(ids) if x is None]) for own, ids in zip(keys, found) if None in ids]
         new = list({own[i] for own, _, at in missing for i in at})
-        learned: dict[str, bytes] = {}
-        for i in range(0, len(new), BATCH):
-            learned.update(zip(new[i : i + BATCH], self._encoded(new[i : i + BATCH])))
+        learned = self._learned(new)
         for own, ids, at in missing:
             for i in at:
                 ids[i] = learned[own[i]]
