@@ -51,7 +51,17 @@ def out_edges(spark, d):
 @query("SELECT e.src, e.dst, e.kind FROM edges e JOIN nodes n ON e.dst = n.id WHERE n.kind = 'method' AND n.id % 10 = 3", NE)
 def in_edges(spark, d):
     g = Graph(spark, d)
-    return g.edges.join(g.nodes.where("kind = 'method' AND id % 10 = 3").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
+    return _edges_into(g, "kind = 'method' AND id % 10 = 3")
+
+
+@query()
+def in_edges_whole(spark, d):
+    """in_edges over all methods; the SQL of in_edges is of a tenth of them."""
+    return _edges_into(Graph(spark, d), "kind = 'method'")
+
+
+def _edges_into(g, which):
+    return g.edges.join(g.nodes.where(which).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
 
 
 @query("SELECT DISTINCT path, kind FROM nodes WHERE kind IN ('function', 'class', 'method')", ("nodes",))
@@ -263,8 +273,17 @@ def nearest_line(spark, d):
     ("nodes",),
 )
 def unify_ladder(spark, d):
-    n = Graph(spark, d).nodes
-    f = n.where("kind IN ('class', 'method', 'function') AND id % 2 = 0").select(F.col("id").alias("sym_id"), F.expr("CASE WHEN id % 3 = 0 THEN path ELSE 'moved/' || path END").alias("path"), "language", F.expr("CASE WHEN id % 7 = 0 THEN 'sym:gone' ELSE signature END").alias("symbol"))
+    return _unified(Graph(spark, d).nodes, "kind IN ('class', 'method', 'function') AND id % 2 = 0")
+
+
+@query()
+def unify_ladder_whole(spark, d):
+    """unify_ladder over all symbols; the SQL of unify_ladder is of half of them."""
+    return _unified(Graph(spark, d).nodes, "kind IN ('class', 'method', 'function')")
+
+
+def _unified(n, which):
+    f = n.where(which).select(F.col("id").alias("sym_id"), F.expr("CASE WHEN id % 3 = 0 THEN path ELSE 'moved/' || path END").alias("path"), "language", F.expr("CASE WHEN id % 7 = 0 THEN 'sym:gone' ELSE signature END").alias("symbol"))
     return joins.unify(f, n)
 
 
@@ -392,7 +411,18 @@ def reverse_closure(spark, d):
 )
 def edit_overlap(spark, d):
     g = Graph(spark, d)
-    o = g.table("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("hunk_id"), (F.col("o_orderkey") + 60000000000).alias("id"), (F.col("o_orderkey") % 1900 + 2).alias("hunk_start"), (F.col("o_orderkey") % 1900 + 8).alias("hunk_end"))
+    return _overlapped(g, g.table("orders").where("o_orderkey % 10 = 0"))
+
+
+@query()
+def edit_overlap_whole(spark, d):
+    """edit_overlap over the hunks of all orders; the SQL of edit_overlap is of a tenth of them."""
+    g = Graph(spark, d)
+    return _overlapped(g, g.table("orders"))
+
+
+def _overlapped(g, orders):
+    o = orders.select(F.col("o_orderkey").alias("hunk_id"), (F.col("o_orderkey") + 60000000000).alias("id"), (F.col("o_orderkey") % 1900 + 2).alias("hunk_start"), (F.col("o_orderkey") % 1900 + 8).alias("hunk_end"))
     return joins.edit_overlap(o.join(g.nodes.select("id", "path"), "id").drop("id"), g.nodes)
 
 

@@ -108,7 +108,17 @@ def degree_damping(spark, d):
 
 @query("SELECT id, kind, band, row_number() OVER (PARTITION BY band ORDER BY k, score DESC, id) AS position FROM (SELECT *, row_number() OVER (PARTITION BY band, kind ORDER BY score DESC, id) AS k FROM (SELECT id, kind, id % 100 AS score, (id % 100) // 10 AS band FROM nodes WHERE id % 50 = 0))", ("nodes",))
 def kind_diversity(spark, d):
-    n = Graph(spark, d).nodes.where("id % 50 = 0").select("id", "kind", (F.col("id") % 100).alias("score"), F.expr("(id % 100) div 10").alias("band"))
+    return _diverse(Graph(spark, d).nodes.where("id % 50 = 0"))
+
+
+@query()
+def kind_diversity_whole(spark, d):
+    """kind_diversity over all nodes; the SQL of kind_diversity is of one in fifty."""
+    return _diverse(Graph(spark, d).nodes)
+
+
+def _diverse(nodes):
+    n = nodes.select("id", "kind", (F.col("id") % 100).alias("score"), F.expr("(id % 100) div 10").alias("band"))
     k = n.withColumn("k", F.row_number().over(W.partitionBy("band", "kind").orderBy(F.desc("score"), "id")))
     return k.select("id", "kind", "band", F.row_number().over(W.partitionBy("band").orderBy("k", F.desc("score"), "id")).alias("position"))
 
@@ -141,9 +151,18 @@ _TRI = "list_distinct([substr({c}, i, 3) FOR i IN range(1, length({c}) - 1)])".f
     ("nodes",),
 )
 def typo_correct(spark, d):
+    return _corrected(spark, Graph(spark, d).nodes.where("kind <> 'function'"))
+
+
+@query()
+def typo_correct_whole(spark, d):
+    """typo_correct with the vocabulary of all nodes; the SQL of typo_correct leaves out functions."""
+    return _corrected(spark, Graph(spark, d).nodes)
+
+
+def _corrected(spark, n):
     from skein.plans.retrieval import corrections
 
-    n = Graph(spark, d).nodes.where("kind <> 'function'")
     vocab = n.select(F.explode(I.segments(F.concat("signature", "path"))).alias("token")).distinct()
     words = spark.createDataFrame([(x,) for x in ("widgte", "brandd", "nationn", "housholdd", "order_77")], "q string")
     return corrections(words, vocab, 0.4).select("q", "token", F.round("sim", 6).alias("sim"), "n")
@@ -156,9 +175,18 @@ def typo_correct(spark, d):
     ("nodes",),
 )
 def vocab_expand(spark, d):
+    return _expanded(spark, Graph(spark, d).nodes.where("kind <> 'function'"))
+
+
+@query()
+def vocab_expand_whole(spark, d):
+    """vocab_expand with the vocabulary of all nodes; the SQL of vocab_expand leaves out functions."""
+    return _expanded(spark, Graph(spark, d).nodes)
+
+
+def _expanded(spark, n):
     from skein.plans.retrieval import similar_tokens
 
-    n = Graph(spark, d).nodes.where("kind <> 'function'")
     vocab = n.select(F.explode(I.segments(F.concat("signature", "path"))).alias("token")).distinct()
     words = spark.createDataFrame([(x,) for x in ("widget", "brand", "building")], "q string")
     s = similar_tokens(words, vocab, 0.2).withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "token")))
@@ -307,7 +335,17 @@ def file_hash_delta(spark, d):
     SELECT 'order_' || CAST(l_orderkey AS VARCHAR) || '.ts' AS path, l_linenumber AS line, 'part_' || CAST(l_partkey AS VARCHAR) AS symbol FROM r"""
 )
 def lsif_occurrences(spark, d):
-    li = Graph(spark, d).table("lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", (F.lit(10**12) + F.monotonically_increasing_id()).alias("rid"))
+    return _occurrences(spark, Graph(spark, d).table("lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query()
+def lsif_occurrences_whole(spark, d):
+    """lsif_occurrences over all of lineitem; the SQL of lsif_occurrences is of one order in fifty."""
+    return _occurrences(spark, Graph(spark, d).table("lineitem"))
+
+
+def _occurrences(spark, lineitem):
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (F.lit(10**12) + F.monotonically_increasing_id()).alias("rid"))
     from skein.sources.storage import written
 
     li = written(li)
@@ -348,7 +386,7 @@ def log_tail(spark, d):
 
 @query()
 def python_symbols(spark, d):
-    p = Graph(spark, d).table("part").where("p_partkey % 10 = 0")
+    p = Graph(spark, d).table("part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     text = F.concat(F.lit("import os\nfrom a.b import c\n\nclass "), F.initcap("p_type"), F.lit(":\n    def "), name, F.lit("(self):\n        return 1\n\ndef run():\n    pass\n"))
     return ingest.extract_python(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text")))
