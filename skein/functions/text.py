@@ -16,10 +16,16 @@ REDACTIONS = (
 )
 
 
-def sanitize(c: Column, limit: int) -> Column:
-    """Without control characters (but tab and line feed), angle brackets escaped, at most so many characters."""
-    plain = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    return F.substring(F.replace(F.replace(plain, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), 1, limit)
+#: Control characters but tab and line feed; the second also has C1 controls and bidi overrides, and leaves carriage returns.
+ASCII_CONTROLS = r"[\x00-\x08\x0B-\x1F\x7F]"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+
+
+def sanitize(c: Column, limit: int | None = None, controls: str = CONTROLS) -> Column:
+    """Without control characters, angle brackets escaped, whole or at most so many characters."""
+    plain = F.regexp_replace(c, controls, "")
+    escaped = F.replace(F.replace(plain, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return escaped if limit is None else F.substring(escaped, 1, limit)
 
 
 def redact(c: Column) -> Column:

@@ -31,6 +31,12 @@ def node_scan(spark, d):
     return Graph(spark, d).nodes.orderBy("id").limit(500).select("id", "signature")
 
 
+@query()
+def node_scan_whole(spark, d):
+    """All nodes; the SQL of node_scan is of the first 500."""
+    return Graph(spark, d).nodes.select("id", "signature")
+
+
 @query("SELECT src, dst, kind, provenance FROM edges", ("edges",))
 def edge_scan(spark, d):
     return Graph(spark, d).edges.select("src", "dst", "kind", "provenance")
@@ -216,9 +222,17 @@ def reindex_replace_report(spark, d):
 
 @query(r"SELECT page_id, left(replace(replace(regexp_replace(html, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '<', '&lt;'), '>', '&gt;'), 200) AS clean FROM pages")
 def sanitize_text(spark, d):
+    from skein.functions.text import ASCII_CONTROLS, sanitize
+
+    return Graph(spark, d).table("pages").select("page_id", sanitize(F.col("html"), 200, ASCII_CONTROLS).alias("clean"))
+
+
+@query()
+def sanitize_text_whole(spark, d):
+    """Whole pages; the SQL of sanitize_text is of 200 characters each."""
     from skein.functions.text import sanitize
 
-    return Graph(spark, d).table("pages").select("page_id", sanitize(F.col("html"), 200).alias("clean"))
+    return Graph(spark, d).table("pages").select("page_id", sanitize(F.col("html")).alias("clean"))
 
 
 @query(

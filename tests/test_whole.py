@@ -6,6 +6,7 @@ import pytest
 
 from skein.catalog import QUERIES, Graph
 from skein.functions import identifiers as I
+from skein.functions.text import sanitize
 from skein.plans import graph, relational, text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
@@ -30,6 +31,17 @@ def test_in_edges_whole(spark, g, nodes):
     assert rows(spark, "in_edges_whole") == Counter((e["src"], e["dst"], e["kind"]) for e in g.edges.collect() if e["dst"] in methods)
 
 
+def test_node_scan_whole(spark, nodes):
+    assert rows(spark, "node_scan_whole") == Counter((n["id"], n["signature"]) for n in nodes) and len(nodes) > 500
+
+
+def test_sanitize_text_whole(spark, g):
+    clean = lambda s: "".join(c for c in s if c in "\t\n\r" or not (ord(c) < 32 or 127 <= ord(c) < 160 or c in "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069")).replace("<", "&lt;").replace(">", "&gt;")
+    assert rows(spark, "sanitize_text_whole") == Counter((p["page_id"], clean(p["html"])) for p in g.table("pages").collect())
+    odd = "".join(map(chr, (*range(1, 0x110), *range(0x2020, 0x2070), 0x1F600)))
+    assert spark.createDataFrame([(odd,)], "c string").select(sanitize(relational.F.col("c"))).first()[0] == clean(odd)
+
+
 def test_lsif_occurrences_whole(spark, g):
     want = Counter((f"order_{r['l_orderkey']}.ts", r["l_linenumber"], f"part_{r['l_partkey']}") for r in g.table("lineitem").collect())
     assert rows(spark, "lsif_occurrences_whole") == want
