@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,11 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.8
     return rank
 
 
-def shortest_costs(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """(id, cost) of the cheapest path of at most so many edges (src, dst, cost) from seeds, by relaxation."""
+def shortest_costs(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, cost) of the cheapest path of at most so many edges (src, dst, cost) from seeds, by relaxation; without a number, until no cost changes."""
     best = written(seeds.select("id", F.lit(0.0).alias("cost")).distinct())
     frontier = best
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else count():
         step = frontier.withColumnRenamed("cost", "c").join(edges, frontier["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("c") + F.col("cost")).alias("cost"))
         better = step.join(best.withColumnRenamed("cost", "was"), "id", "left").where("was IS NULL OR cost < was - 1e-12").select("id", "cost")
         frontier = written(better)
@@ -93,7 +95,22 @@ def shortest_costs(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame
     return best
 
 
-def execution_path(edges: DataFrame, source: DataFrame, sink: DataFrame, rounds: int = 5, slack: float = 0.5) -> DataFrame:
+def connecting_path(edges: DataFrame, source: DataFrame, sink: DataFrame, depth: int = 5, slack: float = 0.5, fallback: int = 3) -> DataFrame:
+    """execution_path over the union of what lies within `depth` hops after the source and before the sink, with paths of any length.
+
+    Without a route: the nodes within `fallback` hops of the source, their cost null.
+    """
+    edges = written(edges.select("src", "dst", "cost"))
+    ahead, behind = bfs(edges, source, depth), bfs(reverse(edges), sink, depth)
+    held = written(ahead.select("id", F.lit(True).alias("ahead")).union(behind.select("id", F.lit(False))).groupBy("id").agg(F.bool_or("ahead").alias("ahead"), F.bool_or(~F.col("ahead")).alias("behind")))
+    both = edges.join(held.select(F.col("id").alias("src"), F.col("ahead").alias("_a")), "src").join(held.select(F.col("id").alias("dst"), F.col("behind").alias("_b")), "dst")
+    found = written(execution_path(written(both.where("_a OR _b").select("src", "dst", "cost")), source, sink, None, slack))
+    if found.isEmpty():
+        return bfs(edges, source, fallback).select("id", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("on_route"))
+    return found
+
+
+def execution_path(edges: DataFrame, source: DataFrame, sink: DataFrame, rounds: int | None = 5, slack: float = 0.5) -> DataFrame:
     """(id, cost, on_route): the cheapest routes from source to sink and what lies within (1 + slack) of their cost around the source."""
     ahead = shortest_costs(edges, source, rounds)
     back = shortest_costs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), sink, rounds).withColumnRenamed("cost", "rest")

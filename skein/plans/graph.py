@@ -90,25 +90,55 @@ _ROUNDS, _DEPTH = 6, 4
 
 @query(_ppr_sql(_EDGES_W, "SELECT id, CAST(1.0 AS DOUBLE) AS weight FROM nodes WHERE kind = 'file' AND id % 8 = 2", _ROUNDS, _DEPTH), NE)
 def ppr_uniform(spark, d):
+    return _ppr_uniform(spark, d, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
+
+
+@query()
+def ppr_uniform_whole(spark, d):
+    """ppr_uniform with the operator's own depth, rounds and tolerance; its SQL is of six rounds at depth four."""
+    return _ppr_uniform(spark, d)
+
+
+def _ppr_uniform(spark, d, **settings):
     g = Graph(spark, d)
     seeds = g.nodes.where("kind = 'file' AND id % 8 = 2").select("id", F.lit(1.0).alias("weight"))
-    r = traverse.personalised_pagerank(weighted(g.edges), seeds, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
+    r = traverse.personalised_pagerank(weighted(g.edges), seeds, **settings)
     return r.select("id", F.round("score", 10).alias("score"))
 
 
 @query(_ppr_sql(_EDGES_W, "SELECT id, CAST(id % 5 + 1 AS DOUBLE) AS weight FROM nodes WHERE kind = 'class' AND id % 90 = 2", _ROUNDS, _DEPTH), NE)
 def ppr_weighted(spark, d):
+    return _ppr_weighted(spark, d, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
+
+
+@query()
+def ppr_weighted_whole(spark, d):
+    """ppr_weighted with the operator's own depth, rounds and tolerance; its SQL is of six rounds at depth four."""
+    return _ppr_weighted(spark, d)
+
+
+def _ppr_weighted(spark, d, **settings):
     g = Graph(spark, d)
     seeds = g.nodes.where("kind = 'class' AND id % 90 = 2").select("id", (F.col("id") % 5 + 1).cast("double").alias("weight"))
-    r = traverse.personalised_pagerank(weighted(g.edges), seeds, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
+    r = traverse.personalised_pagerank(weighted(g.edges), seeds, **settings)
     return r.select("id", F.round("score", 10).alias("score"))
 
 
 @query(_ppr_sql(f"SELECT src, dst, {_WEIGHT_SQL} AS w FROM edges WHERE dst IN (SELECT id FROM nodes WHERE corpus IN ('asia', 'parts'))", "SELECT id, CAST(1.0 AS DOUBLE) AS weight FROM nodes WHERE kind = 'file' AND corpus = 'asia'", _ROUNDS, _DEPTH), NE)
 def ppr_rbac(spark, d):
+    return _ppr_rbac(spark, d, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
+
+
+@query()
+def ppr_rbac_whole(spark, d):
+    """ppr_rbac with the operator's own depth, rounds and tolerance; its SQL is of six rounds at depth four."""
+    return _ppr_rbac(spark, d)
+
+
+def _ppr_rbac(spark, d, **settings):
     g = Graph(spark, d)
     seeds = g.nodes.where("kind = 'file' AND corpus = 'asia'").select("id", F.lit(1.0).alias("weight"))
-    r = traverse.personalised_pagerank(weighted(filters.visible_edges(g.edges, g.nodes, ["asia", "parts"])), seeds, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
+    r = traverse.personalised_pagerank(weighted(filters.visible_edges(g.edges, g.nodes, ["asia", "parts"])), seeds, **settings)
     return r.select("id", F.round("score", 10).alias("score"))
 
 
@@ -129,10 +159,21 @@ _COST = f"SELECT src, dst, min(least(10.0, 1.0 / ({_WEIGHT_SQL}))) AS cost FROM
     ("edges",),
 )
 def execution_path(spark, d):
-    g = Graph(spark, d)
-    e = weighted(g.edges).groupBy("src", "dst").agg(F.min(F.least(F.lit(10.0), 1.0 / F.col("weight"))).alias("cost"))
     one = lambda x: spark.createDataFrame([(x,)], "id long")
-    return traverse.execution_path(e, one(20000000007), one(40000000003)).select("id", F.round("cost", 6).alias("cost"), "on_route")
+    return traverse.execution_path(_costed(spark, d), one(20000000007), one(40000000003)).select("id", F.round("cost", 6).alias("cost"), "on_route")
+
+
+@query()
+def execution_path_whole(spark, d):
+    """execution_path over expansions from both ends; its SQL relaxes five rounds from the source."""
+    ends = [Graph(spark, d).nodes.where(f"id = {x}").select("id") for x in (20000000007, 40000000003)]
+    if any(x.isEmpty() for x in ends):
+        ends = [x.limit(0) for x in ends]
+    return traverse.connecting_path(_costed(spark, d), *ends).select("id", F.round("cost", 6).alias("cost"), "on_route")
+
+
+def _costed(spark, d):
+    return weighted(Graph(spark, d).edges).groupBy("src", "dst").agg(F.min(F.least(F.lit(10.0), 1.0 / F.col("weight"))).alias("cost"))
 
 
 @query()

@@ -124,7 +124,7 @@ def context(nodes: DataFrame, edges: DataFrame, query: str, budget: int, allowed
     docs = plain.select("id", F.lit("").alias("field"), I.segments(F.col("signature")).alias("tokens"))
     seeds = ranking.bm25(docs, content_tokens(query)).where("score > 0").orderBy(F.desc("score"), "id").limit(20).select("id", F.col("score").alias("weight"))
     weighted = visible.withColumn("weight", F.coalesce(*[F.when(F.col("kind") == n, F.lit(w)) for n, w in EDGE_WEIGHTS.items()], F.lit(0.3)))
-    rank = traverse.personalised_pagerank(weighted, seeds, rounds=8, depth=3)
+    rank = traverse.personalised_pagerank(weighted, seeds)
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("k"))
     best = rank.join(degree, "id", "left").select("id", ranking.damped(F.col("score"), F.coalesce("k", F.lit(0))).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     items = best.join(nodes, "id").select(F.lit(0).alias("query_id"), "id", I.token_cost(F.col("signature"), F.col("kind"), F.col("path")).alias("cost"), "score")

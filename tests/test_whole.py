@@ -110,3 +110,54 @@ def test_typo_correct_whole(spark, g):
 def test_vocab_expand_whole(spark, g):
     want = [(q, t) for q in ("widget", "brand", "building") for _, t in near(g, q, 0.2)[:16]]
     assert rows(spark, "vocab_expand_whole") == Counter(want)
+
+
+def test_context_ranks_at_full_depth(spark, monkeypatch):
+    from skein.operators import traverse
+    from skein.plans import retrieval
+
+    seen, real = [], traverse.personalised_pagerank
+    monkeypatch.setattr(traverse, "personalised_pagerank", lambda *a, **k: (seen.append(k), real(*a, **k))[1])
+    nodes = spark.createDataFrame([(i, "x", "a.ts", "ts", "fn:charge" if i == 1 else f"fn:f{i}", "function", "p", 1, 2, 0) for i in range(1, 9)], "id long, corpus string, path string, language string, signature string, kind string, package string, line int, end_line int, test_role int")
+    chain = spark.createDataFrame([(i, i + 1, "ref/call") for i in range(1, 8)], "src long, dst long, kind string")
+    assert {r["id"] for r in retrieval.context(nodes, chain, "charge", 500).collect()} == set(range(1, 8)) and seen == [{}]
+
+
+def test_ppr_rbac_whole(spark, g, nodes):
+    corpus = {n["id"]: n["corpus"] for n in nodes}
+    out, p = defaultdict(list), {n["id"] for n in nodes if n["kind"] == "file" and n["corpus"] == "asia"}
+    for e in graph.weighted(g.edges).collect():
+        if corpus.get(e["dst"]) in ("asia", "parts"):
+            out[e["src"]].append((e["dst"], e["weight"]))
+    held, front = set(p), set(p)
+    for _ in range(5):
+        front = {v for u in front for v, _ in out[u]} - held
+        held |= front
+    p = {i: 1 / len(p) for i in p}
+    rank = p
+    for _ in range(50):
+        now = defaultdict(float, {i: 0.15 * x for i, x in p.items()})
+        for u, x in rank.items():
+            if u in held and out[u]:
+                total = sum(w for _, w in out[u])
+                for v, w in out[u]:
+                    now[v] += 0.85 * x * w / total
+        change = sum(abs(now[i] - rank.get(i, 0.0)) for i in now)
+        rank = now
+        if change < 1e-6:
+            break
+    found = {r["id"]: r["score"] for r in QUERIES["ppr_rbac_whole"](spark, DATA).collect()}
+    assert set(found) == set(rank) and all(abs(found[i] - x) < 1e-9 for i, x in rank.items())
+
+
+def test_connecting_path(spark):
+    from skein.operators import traverse
+
+    ids = lambda x: spark.createDataFrame([(x,)], "id long")
+    # A chain of eight edges, dearer branches off it, and a loop.
+    e = spark.createDataFrame([*((i, i + 1, 1.0) for i in range(8)), (2, 1, 1.0), (0, 20, 11.5), (0, 21, 12.5), (20, 22, 0.5), (30, 8, 1.0)], "src long, dst long, cost double")
+    found = {r["id"]: (r["cost"], r["on_route"]) for r in traverse.connecting_path(e, ids(0), ids(8)).collect()}
+    assert found == {**{i: (float(i), True) for i in range(9)}, 20: (11.5, False), 22: (12.0, False)}
+    # Twelve edges lie beyond five hops from each end.
+    far = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src long, dst long, cost double")
+    assert {(r["id"], r["cost"], r["on_route"]) for r in traverse.connecting_path(far, ids(0), ids(12)).collect()} == {(i, None, False) for i in range(4)}
