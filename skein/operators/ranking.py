@@ -56,9 +56,9 @@ def damped(score: F.Column, in_degree: F.Column) -> F.Column:
     return score / (1 + F.log(F.greatest(F.lit(1), in_degree).cast("double")))
 
 
-def budget_prefix(rows: DataFrame, budget: int, order: list, cost: str = "cost", at_most: int = 10_000) -> DataFrame:
+def budget_prefix(rows: DataFrame, budget: int, order: list, cost: str = "cost") -> DataFrame:
     """The first rows in order whose running cost fits the budget; the first always stays. Each row costs one at least, so that no more than the budget can fit."""
-    best = rows.orderBy(*order).limit(min(at_most, budget + 1))
+    best = rows.orderBy(*order).limit(budget + 1)
     w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = best.withColumn("running", F.sum(cost).over(w)).withColumn("position", F.row_number().over(W.orderBy(*order)))
     return out.where((F.col("running") <= budget) | (F.col("position") == 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.catalog import Graph, query
 from skein.functions import identifiers as I
 from skein.operators import filters, joins, merge
+from skein.sources.storage import counted
 
 NE = ("nodes", "edges")
 
@@ -156,7 +157,7 @@ def scope_gate(spark, d):
     n = Graph(spark, d).nodes
     anchors = n.where("id % 1000 = 7").select(I.package_root(F.col("path")).alias("root")).distinct().withColumn("inside", F.lit(True))
     s = n.select("id", "path", ((F.col("id") % 100) / 100.0).cast("double").alias("norm"), I.package_root(F.col("path")).alias("root"))
-    return s.join(F.broadcast(anchors.limit(10_000)), "root", "left").where("inside OR norm >= 0.3").select("id", "path")
+    return s.join(counted(anchors), "root", "left").where("inside OR norm >= 0.3").select("id", "path")
 
 
 @query("SELECT id, greatest(1, (strlen(signature) + strlen(kind) + strlen(path)) // 4) AS cost FROM nodes", ("nodes",))

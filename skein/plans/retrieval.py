@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.functions import identifiers as I
 from skein.operators import filters, ranking, traverse
 from skein.schemas import EDGE_WEIGHTS
+from skein.sources.storage import counted
 
 
 def similar_tokens(words: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
@@ -69,7 +70,7 @@ def confidence(rare: Column, specific: Column, confirmed: Column, veto: Column,
 
 def resolve_symbols(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(q, rung, candidates, id): the best rung on which a name is found: signature, bare name, file name, part of a signature; an id if it is the only one."""
-    q = F.broadcast(queries.limit(1000))
+    q = counted(queries, 1000)
     j = nodes.select("id", "signature", "path").join(q, F.col("signature").contains(F.col("q")) | F.col("path").contains(F.col("q")))
     rung = F.when(F.col("signature") == F.col("q"), 0).when(F.regexp_replace("signature", "^[^:]*:", "") == F.col("q"), 1).when(F.regexp_replace("path", "^.*/", "") == F.col("q"), 2).when(F.col("signature").contains(F.col("q")), 3)
     by = j.select("q", "id", rung.alias("rung")).where("rung IS NOT NULL").groupBy("q", "rung").agg(F.count(F.lit(1)).alias("candidates"), F.min("id").alias("id"))

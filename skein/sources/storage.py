@@ -8,6 +8,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+#: Rows up to which a side is broadcast; beyond, Spark joins without a hint.
+BROADCAST_ROWS = 500_000
+
+
+def counted(side: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side, whole, with a broadcast hint if it has few rows, by count."""
+    return F.broadcast(side) if side.count() <= at_most else side
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -161,3 +161,24 @@ def test_connecting_path(spark):
     # Twelve edges lie beyond five hops from each end.
     far = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src long, dst long, cost double")
     assert {(r["id"], r["cost"], r["on_route"]) for r in traverse.connecting_path(far, ids(0), ids(12)).collect()} == {(i, None, False) for i in range(4)}
+
+
+def test_symbols_beyond_a_thousand(spark):
+    from skein.plans import retrieval
+
+    n = spark.range(1200).selectExpr("id", "'fn:f' || id || '_' AS signature", "'a.py' AS path")
+    found = retrieval.resolve_symbols(spark.range(1200).selectExpr("'f' || id || '_' AS q"), n)
+    assert {(r["q"], r["id"]) for r in found.collect()} == {(f"f{i}_", i) for i in range(1200)}
+
+
+def test_budget_prefix_beyond_ten_thousand(spark):
+    from skein.operators import ranking
+
+    r = ranking.budget_prefix(spark.range(13_000).selectExpr("id", "1L AS cost"), 12_000, ["id"])
+    assert r.count() == 12_000
+
+
+def test_scope_gate_takes_all_package_roots(spark, monkeypatch):
+    n = spark.range(12_000).selectExpr("id * 1000 + 7 AS id", "'r' || id || '/p/f.py' AS path")
+    monkeypatch.setattr(relational, "Graph", lambda spark, d: type("G", (), {"nodes": n}))
+    assert relational.scope_gate(spark, "").count() == 12_000
