@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
 folder and reads it again as the next stage's docs. All stages but the last return the columns of documents; n_chars
-follows a text that was cut. Documents without an id pass the dedup stages.
+follows a text that was cut. Stages decide by row: rows without an id or with the same id are documents of their own.
 """
 
 from __future__ import annotations
@@ -20,31 +20,44 @@ from skein.llm.toxicity import fit, toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, which tells rows apart and is ordered as doc_id: doc_id itself where it does, else the row's place by doc_id (nulls first), written once."""
+    docs = docs.select(*COLUMNS)
+    n, ids = docs.select(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    return C.written(docs.orderBy("doc_id").withColumn("row_key", F.monotonically_increasing_id()))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids of dropped; few such ids are broadcast, by count, many are joined by shuffle."""
-    dropped = C.written(dropped.select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(C.checked(dropped), "doc_id", "left_anti").select(*COLUMNS)
+    """Keyed docs without the rows of dropped (doc_id: a row key); few such keys are broadcast, by count, many are joined by shuffle."""
+    dropped = C.written(dropped.select(F.col("doc_id").alias("row_key")).distinct())
+    return docs.join(C.checked(dropped), "row_key", "left_anti").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity(docs, fit(docs, labels)).where("predicted = 1"))
+    docs = _keyed(docs)
+    return _without(docs, toxicity(docs, fit(docs, labels), id_col="row_key").where("predicted = 1"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup(docs).where("NOT kept"))
+    docs = _keyed(docs)
+    return _without(docs, exact_dedup(docs, id_col="row_key").where("NOT kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard_join(docs).where("component_id <> doc_id"))
+    docs = _keyed(docs)
+    return _without(docs, jaccard_join(docs, id_col="row_key").where("component_id <> doc_id"))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose words get their kept words, joined by one space; one that loses all goes. The others' texts are left as they are."""
-    cut = C.written(find_spans(docs).where("n_removed > 0").select("doc_id", F.decode("kept_text", "UTF-8").alias("kept_text")))
+    docs = _keyed(docs)
+    cut = C.written(find_spans(docs, id_col="row_key").where("n_removed > 0").select(F.col("doc_id").alias("row_key"), F.decode("kept_text", "UTF-8").alias("kept_text")))
     text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
     n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars").cast("long")).otherwise(F.length("kept_text").cast("long"))
-    joined = docs.select(*COLUMNS).join(cut, "doc_id", "left").where("kept_text IS NULL OR kept_text <> ''")
+    joined = docs.join(cut, "row_key", "left").where("kept_text IS NULL OR kept_text <> ''")
     return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
