@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,32 +14,46 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's word-to-hash table before it is emptied.
-CACHE_WORDS = 400_000
-#: Rows in an ordinary block of documents, and bytes of text from which a document is a block of its own.
-BLOCK_ROWS, LONG_TEXT = 2048, 1 << 16
+CACHE_WORDS = 200_000
+#: Rows and bytes of text of a block of documents; a longer text is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 #: Entries that one key range should hold, so that a range fits a task's memory at any input size.
 RANGE_ENTRIES = 1_500_000
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Texts handed to Python at once.
-BATCH_ROWS = 1024
+#: Bytes handed to Python at once; a single row may be larger.
+BATCH_BYTES = 4 << 20
 #: Slots of the bounded bitmap that thins rows before a shuffle: 2 MB of bits whatever the input.
 BITMAP_BITS = 1 << 24
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
+def _give_back() -> None:
+    """Lets workers, which live on from stage to stage, give the memory of large arrays back when they are freed. Without this C library there is nothing to set."""
+    libc = ctypes.util.find_library("c")
+    mallopt = getattr(ctypes.CDLL(libc), "mallopt", None) if libc else None
+    if mallopt is not None:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped apart
+        mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
+_give_back()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give executors this package, so that workers can import it wherever the driver runs, and keep batches of texts small where the session has no setting of its own."""
+    """Give executors this package, so that workers can import it wherever the driver runs, and bound the bytes of a batch where the session has no bound of its own."""
     app = spark.sparkContext.applicationId
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get(_BATCH, str(1 << 30))) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if app not in _shipped:
         _shipped.add(app)
         root = Path(__file__).resolve().parents[2]
@@ -51,9 +68,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder of this machine."""
+    """A new folder under spark.checkpoint.dir; where that is unset and all runs in one process (tests), under a temporary folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", f"file://{base}")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -124,14 +143,14 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """Rabin-Karp hash of each window of so many words: a polynomial in an odd base modulo 2^64 over mixed word hashes, by Horner's rule across the window."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = hashes[:n].copy()
     for i in range(1, width):
-        h *= np.uint64(_BASE)
+        h *= np.uint64(base)
         h += hashes[i : i + n]
     return mix(h)
 
@@ -165,41 +184,67 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
 
 
-def ranges_for(docs: DataFrame, per_word: float = 1.0, text_col: str = "text") -> int:
-    """Key ranges for an input: from its bytes of text, about six a word."""
-    n = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, math.ceil(n / 6 * per_word / RANGE_ENTRIES))
+def extent(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Rows and bytes of text."""
+    rows, size = docs.select(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
+    return rows, size or 0
 
 
-def blocks(docs: DataFrame, apart=None) -> DataFrame:
-    """texts() rows with a block number that a second reading of the same input gives again: rows that follow each other in a partition, and each long text alone.
+def ranges_of(size: int, per_word: float = 1.0) -> int:
+    """Key ranges for so many bytes of text, about six a word."""
+    return max(1, math.ceil(size / 6 * per_word / RANGE_ENTRIES))
 
-    apart (boolean column): such rows get blocks of their own, which span eight times as many rows.
-    """
-    at, shift = F.monotonically_increasing_id(), BLOCK_ROWS.bit_length() - 1
-    number = F.shiftright(at, shift) * 2
-    if apart is not None:
-        number = F.when(apart, F.shiftright(at, shift + 3) * 2 + 1).otherwise(number)
-    return docs.withColumn("block", F.when(F.octet_length("text") > LONG_TEXT, -1 - at).otherwise(number))
+
+def ranges_for(docs: DataFrame, per_word: float = 1.0, text_col: str = "text") -> int:
+    return ranges_of(extent(docs, text_col)[1], per_word)
 
 
-def in_blocks(batches, flush, columns=("doc_id", "text")):
-    """Gathers the rows of each block from pandas batches and gives them to flush(block, *lists), whose frames are passed on."""
-    held: dict[int, tuple[int, tuple[list, ...]]] = {}
+def gathered(batches, columns=("doc_id", "text"), apart: str | None = None):
+    """Lists of the columns' values, a block at a time, from pandas batches with texts as bytes. apart: a boolean column; its rows get blocks of their own."""
+    held: dict[bool, tuple[list, ...]] = {}
+    size: dict[bool, int] = {}
+    text = columns.index("text")
     for pdf in batches:
-        for block, *row in zip(pdf["block"], *(pdf[c] for c in columns)):
-            if block < 0:
-                yield from flush(block, *([x] for x in row))
-                continue
-            kind = block & 1
-            if kind not in held or held[kind][0] != block:
-                if kind in held:
-                    yield from flush(held[kind][0], *held[kind][1])
-                held[kind] = block, tuple([] for _ in columns)
-            for kept, x in zip(held[kind][1], row):
+        kinds = pdf[apart] if apart else [False] * len(pdf)
+        for kind, *row in zip(kinds, *(pdf[c] for c in columns)):
+            kind, n = bool(kind), len(row[text])
+            if kind in held and (size[kind] + n > BLOCK_BYTES or len(held[kind][0]) >= BLOCK_ROWS):
+                yield held.pop(kind)
+            if kind not in held:
+                held[kind], size[kind] = tuple([] for _ in columns), 0
+            size[kind] += n
+            for kept, x in zip(held[kind], row):
                 kept.append(x)
-    for block, kept in held.values():
-        yield from flush(block, *kept)
+    yield from held.values()
+
+
+_BLOCKS = "block long, ids binary, sizes binary, marks binary, texts binary"
+
+
+def block_table(docs: DataFrame, mark=None) -> DataFrame:
+    """texts() rows as a table of blocks in the shared folder, a row each, so that every later reading finds the same blocks whatever happened to executors meanwhile.
+
+    mark (an expression, 0 to 255) is kept with each document; documents with mark 1 get blocks of their own.
+    """
+    marked = docs.select("doc_id", "text", (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
+
+    def build(batches):
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        with_kind = (pdf.assign(apart=pdf["mark"] == 1) for pdf in batches)
+        for i, (ids, texts, marks) in enumerate(gathered(with_kind, ("doc_id", "text", "mark"), "apart")):
+            sizes = np.array([len(t) for t in texts], np.int64)
+            row = first + i, np.array(ids, np.int64).tobytes(), sizes.tobytes(), np.array(marks, np.uint8).tobytes(), zstandard.compress(b"".join(texts), 1)
+            yield pd.DataFrame([row], columns=["block", "ids", "sizes", "marks", "texts"])
+
+    return written(marked.mapInPandas(build, _BLOCKS), "uncompressed")
+
+
+def block_rows(ids: bytes, sizes: bytes, marks: bytes, texts: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The documents of a block: ids, texts and marks."""
+    flat, ends = zstandard.decompress(texts) if len(sizes) else b"", np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    return np.frombuffer(ids, np.int64), [flat[a:b] for a, b in zip([0, *ends], ends)], np.frombuffer(marks, np.uint8)
 
 
 def bitmap(keys: DataFrame, column: str) -> DataFrame:

@@ -113,21 +113,41 @@ def test_lm_scoring(docs, rows):
     tokens = {d: brute.words(brute.lower(t)) + [None] for d, t in rows}
     c = collections.Counter(w for d, own in tokens.items() if brute.fold(d, 10) for w in own)
     n, v = sum(c.values()), len(c)
+    score = brute.interpolated(rows)
     for d, own in tokens.items():
-        held, n_tokens, known, train, base, score = got[d]
+        held, n_tokens, known, train, base, got_score = got[d]
         assert (held, n_tokens, known, train) == (brute.fold(d, 10) == 0, len(own), sum(c[w] > 0 for w in own), n)
         assert base == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
-        assert -1e9 < score < 0
+        assert got_score == pytest.approx(score[d], rel=1e-3, abs=0.02)
 
 
 def test_lm_probabilities_sum_to_one():
-    """Over a vocabulary and one unknown word, the mixture after any seen context is a distribution."""
-    h = lm_scoring.pd.DataFrame({"bucket": [1, 2, 2], "p2": [-3, lm_scoring.LOWEST, -10], "p1": [-20, -25, lm_scoring.LOWEST], "n": [5, 7, 2]})
+    """Over a vocabulary and one unknown word, the mixture after any context, seen or not, is a distribution."""
+    cells = {"b2": [1, 2, 2], "b3": [0, 1, 2], "s1": [-20, -25, -20], "s2": [-3, lm_scoring.LOWEST, -10], "s3": [lm_scoring.LOWEST, 0, -1], "n": [5, 7, 2]}
+    h = lm_scoring.pd.DataFrame(cells | {"log1": [-25.0, -40.0, -10.0], "log2": [-4.0, 0.0, -5.0], "log3": [0.0, 0.0, -0.4]})
     w = lm_scoring.learn_weights(h, 1 / 11)
-    assert np.allclose(w.sum(1), 1) and (w[:, 2] > 0).all()
-    bigram, unigram = np.full(10, 0.1), np.full(10, 0.1)
-    for own in w:
-        assert (own[0] * bigram + own[1] * unigram + own[2] / 11).sum() + own[2] / 11 == pytest.approx(1)
+    assert ((w >= 0) & (w < 1)).all() and not w[1:, 0].any()
+    for bigram, c2 in ((np.full(10, 0.1), 5), (np.zeros(10), 0)):
+        for trigram, c3 in ((np.array([1.0] + [0.0] * 9), 1), (np.zeros(10), 0)):
+            contexts = [np.full(11, c2), np.full(11, c3)]
+            estimates = [np.append(x, 0) for x in (np.full(10, 0.1), bigram, trigram)]
+            assert lm_scoring.mixed(w, estimates, contexts, 1 / 11).sum() == pytest.approx(1)
+
+
+def test_blocks_over_several_ranges_and_long_texts(spark, rows, monkeypatch):
+    """Operators that meet by hash range give the same with many ranges and small blocks, and for texts larger than a block."""
+    long = [(900 + i, " ".join(f"l{(j * (7 + i % 2)) % 5000}" for j in range(14_000))) for i in range(4)]
+    both = rows + long
+    assert len(long[0][1]) > 1 << 16
+    docs = make(spark, both)
+    whole = by_id(lm_scoring.lm_scoring(docs), "n_known", "base_score", "score")
+    monkeypatch.setattr(C, "RANGE_ENTRIES", 700)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 5)
+    assert by_id(substring_dedup.substring_dedup(docs), "n_words", "n_removed", "kept_sha256") == brute.substring(both)
+    assert by_id(jaccard_join.jaccard_join(docs), "n_shingles", "component_id") == brute.components(both)
+    got = by_id(lm_scoring.lm_scoring(docs), "n_known", "base_score", "score")
+    assert all(got[d] == pytest.approx(whole[d], rel=1e-6) for d in whole)
 
 
 def test_quality_rules(docs, rows):
@@ -326,3 +346,49 @@ def test_null_ids_and_repeated_rows(spark, name):
     assert set(got) == {None, 7, 8, 2**60 + 1}
     if name != "packing":
         assert got == {None: 2, 7: 2, 8: 1, 2**60 + 1: 1}
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 30, 500, 2047, 2049, 3000, 9000, 20_000):
+        for change in (0, 1, n // 9, n):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[change:], rng.integers(0, 2**64, change, dtype=np.uint64)]))
+            both, either = jaccard_join.similar(a, b)
+            far = jaccard_join.distances([jaccard_join.sketch(a)], [jaccard_join.sketch(b)])[0]
+            assert far <= either - both
+            if change == n and n >= 500:  # sets of unrelated texts don't pass
+                assert 180 * far > 20 * (len(a) + len(b))
+
+
+def test_jaccard_join_of_large_sets_in_tiles_and_ranges(spark, monkeypatch):
+    """Families of copies of copies with 1500 to 5000 shingles, many components, keys in several ranges and tiles; texts of more bytes than a block."""
+    monkeypatch.setattr(C, "RANGE_ENTRIES", 3000)
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "SLICE", 3)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 30_000)
+    rng = random.Random(12)
+    out = []
+    for n in (1500, 2050, 5000):
+        base = [f"v{rng.randrange(4000)}" for _ in range(n)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.choice([1, 12, 25, 60]) * n // 1500):
+                w[rng.randrange(n)] = f"z{rng.randrange(9000)}"
+            out.append(" ".join(w))
+            if rng.random() < 0.4:
+                base = w
+        out += [out[-1], " ".join(f"v{rng.randrange(4000)}" for _ in range(n))]
+    rows = list(enumerate(out, 100))
+    got = by_id(jaccard_join.jaccard_join(make(spark, rows, 4)), "n_shingles", "component_id")
+    want = brute.components(rows)
+    assert got == want and 6 < len({c for _, c in want.values()}) < len(rows) - 3
+
+
+def test_gathered_blocks_are_bounded_by_bytes_and_rows(monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 3)
+    import pandas as pd
+
+    pdf = pd.DataFrame({"doc_id": range(9), "text": [b"1234567", b"123", b"1", b"x" * 50, b"", b"", b"", b"", b"z"], "apart": [False] * 8 + [True]})
+    assert [ids for ids, _ in C.gathered([pdf[:5], pdf[5:]], apart="apart")] == [[0, 1], [2], [3], [4, 5, 6], [7], [8]]
