@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (a dummy prefix, white space written as U+2581), the pieces and
-the byte fallback. Their composition with an input is a lattice whose states are (position, piece that ends there).
-An arc reads a piece, or a character that no piece spells (and then writes its bytes' pieces); it weighs one, or
-infinitely much if a byte-pair encoder could not have left the two pieces side by side, that is, if it merges their
-joined text otherwise. A text has one finite path, the encoder's own result; the tropical semiring's shortest path finds
-it. Arcs are composed on demand and their weights are kept, as are the paths of words.
+A model file is compiled once into three machines: the normaliser (its character map as a trie with outputs, white space, the dummy
+prefix), the pieces as a trie whose final states write a piece, and the byte fallback, which reads a character that no piece spells and
+writes its bytes' pieces. Their composition with an input is a lattice whose states are positions with the piece that ends
+there. An arc weighs one, or infinitely much where a byte-pair encoder could not leave its piece beside the last one. That is read off
+the two pieces' compiled derivations: of the last piece the ever longer parts that end it, of the next one those that begin it, each with
+the rank of the merge that takes it; two parts that merge across the border before either is taken make the weight infinite. Each
+position has one finite path from the start, so arcs are relaxed in the order of positions, in time linear in the input's
+length, and the tropical semiring's shortest path is the encoder's own result.
 
 Pieces never join two words, so that the lattice falls apart before each word's white space and around each character
-that no longer piece contains.
+that no longer piece contains. The paths of words and the weights of pairs are kept in bounded tables.
 
-Null text is empty and has no ids. An empty table gives an empty result. Rows are encoded each for itself.
+Byte-pair models with byte fallback are compiled, with any character map; others raise a ValueError.
+
+Null text is empty and has no ids. An empty table gives an empty result. Rows, repeated ones too, are encoded each for itself; a very long
+text or word takes time and memory in proportion. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +30,8 @@ from pyspark.sql import DataFrame
 from skein.llm import common as C
 
 SPACE = "▁"
-#: Paths of words and weights of pairs kept before a table is emptied.
-PATHS, PAIRS = 800_000, 600_000
-#: Characters of an input that are composed at once with the pieces; longer words are read by the merges that define the weights.
-LONGEST = 64
+#: Paths of words and weights of pairs kept before a table is emptied; words of more characters than LONGEST are not kept.
+PATHS, PAIRS, LONGEST = 600_000, 600_000, 64
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
 
@@ -56,13 +59,70 @@ def _fields(b: bytes):
             i += n
 
 
+def character_map(blob: bytes) -> dict[bytes, str]:
+    """What a precompiled character map reads and writes: a double-array trie of 32-bit units after its size, then the outputs, each ended by a zero."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, outputs = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+    found = {}
+
+    def offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    todo = [(b"", offset(units[0]))]
+    while todo:
+        read, base = todo.pop()
+        for c in range(1, 256):
+            at = base ^ c
+            if at >= len(units) or units[at] & 0x800000FF != c:
+                continue
+            below = at ^ offset(units[at])
+            if units[at] >> 8 & 1:
+                start = units[below] & 0x7FFFFFFF
+                found[read + bytes([c])] = outputs[start : outputs.index(b"\0", start)].decode()
+            todo.append((read + bytes([c]), below))
+    return found
+
+
+class Normaliser:
+    """Reads a text and writes it as the pieces spell it: the longest entry of the character map at each place, white space as U+2581."""
+
+    def __init__(self, charsmap: bytes, dummy_prefix: bool, squeeze: bool):
+        self.dummy_prefix, self.squeeze = dummy_prefix, squeeze
+        self.written = {read.decode(): text for read, text in character_map(charsmap).items()}
+        longest_first = sorted(self.written, key=len, reverse=True)
+        by_first: dict[str, list[str]] = {}
+        for read in longest_first:
+            by_first.setdefault(read[0], []).append(read)
+        self._one = {ord(c): self.written[c] for c, own in by_first.items() if own == [c]}
+        several = [re.escape(read) for own in by_first.values() if len(own) > 1 or len(own[0]) > 1 for read in own]
+        self._several = re.compile("|".join(several)) if several else None
+
+    def __call__(self, text: str) -> str:
+        if self._several:
+            # Places that start longer entries first; what stands between them goes through the map of single characters.
+            out, at = [], 0
+            for m in self._several.finditer(text):
+                out += [text[at : m.start()].translate(self._one), self.written[m[0]]]
+                at = m.end()
+            text = "".join(out) + text[at:].translate(self._one)
+        elif self._one:
+            text = text.translate(self._one)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if self.dummy_prefix and text:
+            text = " " + text
+        return text.replace(" ", SPACE)
+
+
 class Transducer:
     def __init__(self, path: str):
         self.pieces: dict[str, int] = {}
         self.rank: dict[str, float] = {}
         self.bytes: dict[int, int] = {}
         self.text: list[bytes] = []
-        self.dummy_prefix, self.squeeze_spaces, charsmap = True, True, b""
+        dummy_prefix, squeeze, charsmap, model_type, suffix = True, True, b"", 1, 0
         with open(path, "rb") as f:
             model = f.read()
         for number, value in _fields(model):
@@ -74,80 +134,143 @@ class Transducer:
                     self.bytes[int(piece[3:5], 16)] = at
                 elif kind == _NORMAL:
                     self.pieces[piece] = at
-                    self.rank[piece] = float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
+                    self.rank[piece] = -float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0])
+            elif number == 2:
+                own = dict(_fields(value))
+                model_type, suffix = own.get(3, 1), own.get(24, 0)
             elif number == 3:
                 own = dict(_fields(value))
-                self.dummy_prefix, self.squeeze_spaces, charsmap = bool(own.get(3, 1)), bool(own.get(4, 1)), own.get(2, b"")
-        if charsmap or self.squeeze_spaces:
-            raise ValueError("only the identity normaliser that keeps white space is compiled")
-        inside = {c for p in self.pieces if len(p) > 1 for c in p}
+                dummy_prefix, squeeze, charsmap = bool(own.get(3, 1)), bool(own.get(4, 1)), own.get(2, b"")
+        if model_type != 2 or len(self.bytes) != 256 or suffix:
+            raise ValueError("only byte-pair models with byte fallback and white space before words are compiled")
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces that join words aren't supported")
-        self.longest = max(map(len, self.pieces))
+        self.dummy_prefix = dummy_prefix
+        self.normalised = Normaliser(charsmap, dummy_prefix, squeeze)
+        inside = {c for p in self.pieces if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         self._parts = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._paths: dict[str, bytes] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-
-    def normalised(self, text: str) -> str:
-        return ((" " if self.dummy_prefix and text else "") + text).replace(" ", SPACE)
-
-    def merged(self, text: str) -> list[str]:
-        """Byte-pair encoding by its definition: the best pair first, of equal pairs the first one."""
+        self._pairs: dict[int, bool] = {}
+        self._compile()
+
+    def _compile(self) -> None:
+        """The trie of the pieces that stand by themselves, and the parts that end and that begin each with the ranks of the merges that take them."""
+        self._next: list[dict[str, int]] = [{}]
+        self._final: list[int] = [-1]
+        self._names: list[str] = []
+        self._ids: list[bytes] = []
+        self._ends: list[list[tuple[str, float]] | None] = []
+        self._begins: list[list[tuple[str, float]] | None] = []
+        for piece, at in self.pieces.items():
+            merges: list[tuple[str, str]] = []
+            if self.merged(piece, merges) != [piece]:
+                continue
+            state = 0
+            for c in piece:
+                if c not in self._next[state]:
+                    self._next[state][c] = len(self._next)
+                    self._next.append({})
+                    self._final.append(-1)
+                state = self._next[state][c]
+            self._final[state] = len(self._names)
+            self._names.append(piece)
+            self._ids.append(np.array([at], "<u4").tobytes())
+            ranks = [self.rank[a + b] for a, b in merges]
+            if ranks != sorted(ranks):  # merges in another order than their ranks: left to the definition
+                self._ends.append(None)
+                self._begins.append(None)
+                continue
+            end, begin, ends, begins = piece[-1], piece[0], [], []
+            right, left = len(piece) - 1, 0  # where the part that ends the piece starts; how far the part that begins it goes
+            for (a, b), r in zip(merges, ranks):
+                if b == end and a + b == piece[right - len(a) :]:
+                    ends.append((end, r))
+                    end, right = a + b, right - len(a)
+                if a == begin and a + b == piece[: len(a + b)] and len(a) == left + 1:
+                    begins.append((begin, r))
+                    begin, left = a + b, len(a + b) - 1
+            exact = end == piece and begin == piece
+            self._ends.append([*ends, (piece, np.inf)] if exact else None)
+            self._begins.append([*begins, (piece, np.inf)] if exact else None)
+
+    def merged(self, text: str, merges: list | None = None) -> list[str]:
+        """Byte-pair encoding by its definition: the best pair first, of equal pairs the first one. merges gets the pairs in order."""
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = self.rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r > best):
+                if r is not None and (best is None or r < best):
                     best, at = r, i
             if best is None:
                 break
+            if merges is not None:
+                merges.append((parts[at], parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def side_by_side(self, a: str, b: str) -> bool:
-        """Whether the weight of going from piece a to piece b is finite; a is empty at the start."""
-        ok = self._pairs.get((a, b))
-        if ok is None:
-            if len(self._pairs) > PAIRS:
-                self._pairs.clear()
-            ok = self._pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return ok
-
-    def shortest(self, word: str) -> list[str]:
-        """The pieces of the shortest path through a word's lattice."""
-        if len(word) > LONGEST:
-            return self.merged(word)
-        n = len(word)
-        # states[i]: last piece -> (length of the shortest path, the piece before the last)
-        states: list[dict[str, tuple[int, str]]] = [{} for _ in range(n + 1)]
-        states[0][""] = 0, ""
+    def side_by_side(self, a: int, b: int) -> bool:
+        """Whether the weight of going from piece a to piece b is finite."""
+        ends, begins = self._ends[a], self._begins[b]
+        if ends is None or begins is None:
+            return self.merged(self._names[a] + self._names[b]) == [self._names[a], self._names[b]]
+        rank, i, j = self.rank, 0, 0
+        while True:
+            (x, takes_x), (y, takes_y) = ends[i], begins[j]
+            across = rank.get(x + y)
+            # Of equal merges the first in the text comes first: that which takes x, then the one across.
+            if across is not None and across < takes_x and across <= takes_y:
+                return False
+            if takes_x == takes_y == np.inf:
+                return True
+            if takes_x <= takes_y:
+                i += 1
+            else:
+                j += 1
+
+    def shortest(self, word: str) -> list[int]:
+        """The pieces of the shortest path through a word's lattice; -1 is a character that no piece spells."""
+        n, follow, final, pairs = len(word), self._next, self._final, self._pairs
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        last: list[int | None] = [None] * (n + 1)  # of each position, the piece that ends there
         for i in range(n):
-            if not states[i]:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                if j > i + 1 and piece not in self.pieces:
-                    continue
-                for last, (length, _) in states[i].items():
-                    if self.side_by_side(last, piece) and (piece not in states[j] or length + 1 < states[j][piece][0]):
-                        states[j][piece] = length + 1, last
-        last = min(states[n], key=lambda p: states[n][p][0])
+            before, state, j = last[i] if i else -1, 0, i
+            while j < n:
+                state = follow[state].get(word[j], 0)
+                if not state:
+                    break
+                j += 1
+                piece = final[state]
+                if piece >= 0 and last[j] is None:
+                    if before >= 0:
+                        key = before << 32 | piece
+                        ok = pairs.get(key)
+                        if ok is None:
+                            ok = pairs[key] = self.side_by_side(before, piece)
+                        if not ok:
+                            continue
+                    last[j] = piece
+            if last[i + 1] is None:
+                last[i + 1] = -1
         out, at = [], n
         while at:
-            out.append(last)
-            last, at = states[at][last][1], at - len(last)
+            piece = last[at]
+            out.append(piece)
+            at -= len(self._names[piece]) if piece >= 0 else 1
         return out[::-1]
 
     def _path(self, word: str) -> bytes:
-        ids: list[int] = []
-        for p in self.shortest(word):
-            if p in self.pieces:
-                ids.append(self.pieces[p])
-            else:
-                ids += [self.bytes[b] for b in p.encode()]
-        return np.array(ids, "<u4").tobytes()
+        pieces, ids = self.shortest(word), self._ids
+        if -1 not in pieces:
+            return b"".join([ids[p] for p in pieces])
+        out, at = [], 0
+        for p in pieces:
+            size = len(self._names[p]) if p >= 0 else 1
+            out.append(ids[p] if p >= 0 else np.array([self.bytes[x] for x in word[at].encode()], "<u4").tobytes())
+            at += size
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""

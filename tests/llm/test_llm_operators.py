@@ -392,3 +392,52 @@ def test_gathered_blocks_are_bounded_by_bytes_and_rows(monkeypatch):
 
     pdf = pd.DataFrame({"doc_id": range(9), "text": [b"1234567", b"123", b"1", b"x" * 50, b"", b"", b"", b"", b"z"], "apart": [False] * 8 + [True]})
     assert [ids for ids, _ in C.gathered([pdf[:5], pdf[5:]], apart="apart")] == [[0, 1], [2], [3], [4, 5, 6], [7], [8]]
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def test_weights_of_pairs_are_those_of_the_definition():
+    m = piece_fst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    names = m._names
+    short = [i for i, p in enumerate(names) if len(p) <= 3]
+    for _ in range(20_000):
+        a, b = rng.choice([rng.randrange(len(names)), rng.choice(short)]), rng.choice([rng.randrange(len(names)), rng.choice(short)])
+        assert m.side_by_side(a, b) == (m.merged(names[a] + names[b]) == [names[a], names[b]]), (names[a], names[b])
+
+
+def test_transducer_on_a_very_long_word():
+    spm = pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, m = spm.SentencePieceProcessor(model_file=path), piece_fst.Transducer(path)
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "0123456789abcdefé日"):
+        word = "".join(rng.choice(letters) for _ in range(100_000))
+        assert np.frombuffer(m.encode(word), "<u4").tolist() == sp.encode(word)
+
+
+def test_transducer_with_a_character_map(tmp_path):
+    """The public model's pieces behind a normaliser that composes, folds and squeezes."""
+    spm = pytest.importorskip("sentencepiece")
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    fields, kept, i = list(piece_fst._fields(model)), b"", 0
+    for number, value in fields:
+        if number != 3:
+            kept += _varint(number << 3 | 2) + _varint(len(value)) + value
+    for rule in ("nmt_nfkc", "nmt_nfkc_cf"):
+        spec = spm.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+        own = b"".join(_varint(n << 3 | 2) + _varint(len(v)) + v for n, v in piece_fst._fields(spec) if n in (1, 2)) + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1])
+        path = tmp_path / f"{rule}.model"
+        path.write_bytes(kept + _varint(3 << 3 | 2) + _varint(len(own)) + own)
+        sp, m = spm.SentencePieceProcessor(model_file=str(path)), piece_fst.Transducer(str(path))
+        rng = random.Random(5)
+        texts = ["  Ａｂｃ  ﬁne x ", "été ½ ① ｶﾞ ​", "", " ", "ẞß Straße"]
+        texts += ["".join(rng.choice("aAé́ 　ﬁ①½Ａ­ß\tßķｶﾞ‍日") for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+        for t in texts:
+            assert np.frombuffer(m.encode(t), "<u4").tolist() == sp.encode(t), (rule, t)
