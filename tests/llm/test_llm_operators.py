@@ -63,11 +63,25 @@ def test_exact_dedup(docs, rows):
 
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(1)
-    parts = [rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(3)] + [np.arange(40, dtype=np.uint64).repeat(3)]
-    made = [exact_dedup.CountingQuotientFilter.of(p, 10) for p in parts + parts[:1]]
-    merged = exact_dedup.CountingQuotientFilter.merged([exact_dedup.CountingQuotientFilter.from_bytes(10, *f.to_bytes()) for f in made])
+    crowded = np.uint64(2**64 - 1) - np.arange(70, dtype=np.uint64)  # runs that go beyond the last home
+    parts = [rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(3)] + [np.arange(40, dtype=np.uint64).repeat(3), crowded, crowded[:9], np.empty(0, np.uint64)]
+    made = [exact_dedup.CountingQuotientFilter.of(p) for p in parts + parts[:1]]
+    for f, p in zip(made, parts):
+        keys, counts = f.entries()
+        assert dict(zip(keys.tolist(), counts.tolist())) == collections.Counter(p.tolist()) and (np.diff(keys.astype(object)) > 0).all()
+    assert len({f.q for f in made}) > 2
+    merged = exact_dedup.CountingQuotientFilter.merged([exact_dedup.CountingQuotientFilter.from_bytes(*f.to_bytes()) for f in made])
     want = collections.Counter(np.concatenate(parts + parts[:1]).tolist())
-    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == want
+    keys, counts = merged.entries()
+    assert dict(zip(keys.tolist(), counts.tolist())) == want
+
+
+def test_exact_dedup_over_several_filter_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_SIZE", 16)
+    monkeypatch.setattr(exact_dedup, "FLUSH", 20)
+    rows = [(i, f"text {i % 90}" * (1 + 9000 * (i == 91))) for i in range(200)]
+    got = by_id(exact_dedup.exact_dedup(make(spark, rows)), "keep_id", "group_size")
+    assert got == brute.exact(rows)
 
 
 def test_substring_dedup(docs, rows):
