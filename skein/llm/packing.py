@@ -1,23 +1,31 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every window of `length` tokens serves each source queue its target share. In a round, queue s earns a quantum of
-share(s) * length tokens; what it earns beyond whole tokens is its deficit, which the next window takes over. Served
-one after another in the order of their names, queues hand the fraction they can't spend to the next one in the
-round (error diffusion), so that each window is exactly full and no queue is ever more than one token off what it has earned.
-After w windows queue s has then been served floor(C(s) w' / T) - floor(C(s-1) w' / T) tokens, where w' = min(w length, T),
-C(s) are the tokens of the queues up to s and T those of all. This closed form is the carried deficit: any partition
-can cut its own documents from their start positions alone, with no state handed from one to the next.
-
-A queue is a source's documents in the order they are read; start positions are prefix sums over (task, source). Target shares
-are the sources' shares of all tokens, so that all queues end together and only the last window is short.
-
-Null text is empty, and a document is at least its end token. A null source is a queue of its own, the first. Rows with the same
-doc_id are documents of their own. An empty table gives no pieces.
+Every window of `length` tokens serves each source queue its target share. Queues have weights: targets gives them, and a source
+without one weighs its own share of all tokens; without targets all queues end together. In a round each queue earns length times
+its weight over that of the queues that are not empty. It is served what it has earned, rounded to whole tokens, and its
+deficit, the part of a token by which that differs, goes to its next round; a queue that runs dry leaves its share to the
+others in proportion to their weights. Rounds follow each other without a gap, so that windows are exactly full. No queue is ever
+more than one token off what it has earned.
+
+The state after any number of rounds has a closed form: with T_i tokens and weight w_i, queue i has earned min(T_i, w_i v), where the
+virtual time v is such that all queues together have earned the round's tokens. So any partition can cut its own documents from
+their start positions alone, with no state handed from one to the next: deficits carry across windows and partitions.
+
+A queue is a source's documents in the order they are read; start positions are prefix sums over (task, source). The sources with a
+target and the largest others, QUEUES in all, have queues of their own; the rest share one, in the order of their names, which
+weighs what they weigh together.
+
+Null text is empty, and a document is at least its end token. A very long text is cut like any other; a task holds one such text's ids at
+once. A null source is a queue of its own. Rows with the same doc_id are documents of their own. An empty table gives no pieces. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_left
+from fractions import Fraction
 from itertools import accumulate
 
 import numpy as np
@@ -31,48 +39,75 @@ from skein.llm.tokens import encoder
 
 #: Documents encoded at once.
 BATCH = 256
-#: Distinct sources up to which the queues' totals go to the driver; beyond, the names are hashed into so many queues.
-SOURCES = 4096
+#: Queues at most; their totals are known to the driver and all tasks.
+QUEUES = 4096
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
 
 class Schedule:
-    """Which window and offset each token of each queue gets."""
-
-    def __init__(self, totals: list[int], length: int):
-        self.length, self.upto = length, [0, *accumulate(totals)]
-        self.total = self.upto[-1]
-
-    def served(self, queue: int, windows: int) -> int:
-        """Tokens of a queue in the first so many windows."""
-        tokens = min(windows * self.length, self.total)
-        return self.upto[queue + 1] * tokens // self.total - self.upto[queue] * tokens // self.total
-
-    def before(self, queue: int, window: int) -> int:
-        """Tokens of earlier queues in a window: where the queue's part starts in it."""
-        a, b = min(window * self.length, self.total), min((window + 1) * self.length, self.total)
-        return self.upto[queue] * b // self.total - self.upto[queue] * a // self.total
+    """Which window and offset each token of each queue gets. weights: by queue, of any scale; by default the queues' totals."""
+
+    def __init__(self, totals: list[int], length: int, weights: list[Fraction | int] | None = None):
+        self.totals, self.length, self.total = totals, length, sum(totals)
+        exact = [Fraction(w) for w in (totals if weights is None else weights)]
+        scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+        self.weights = [int(w * scale) for w in exact]
+        # Phases, between which a queue runs dry: tokens up to there, tokens of dry queues, weight of the others.
+        order = sorted(range(len(totals)), key=lambda i: Fraction(totals[i], self.weights[i]))
+        dry, alive, self._phases = 0, sum(self.weights), []
+        for i in order:
+            self._phases.append((dry + alive * Fraction(totals[i], self.weights[i]), dry, alive))
+            dry, alive = dry + totals[i], alive - self.weights[i]
+        self._ends = [p[0] for p in self._phases]
+        self._rounds: dict[int, tuple[list[int], list[int]]] = {}
+
+    def served(self, rounds: int) -> tuple[list[int], list[int]]:
+        """(tokens of each queue in the first so many rounds, the same summed up to each queue)."""
+        found = self._rounds.get(rounds)
+        if found is None:
+            tokens = min(rounds * self.length, self.total)
+            _, dry, alive = self._phases[min(bisect_left(self._ends, tokens), len(self._ends) - 1)]
+            p, q = tokens - dry, alive  # the virtual time
+            own = [min(t, (2 * w * p + q) // (2 * q)) for t, w in zip(self.totals, self.weights)]
+            if len(self._rounds) > max(64, (1 << 20) // len(self.totals)):
+                self._rounds.clear()
+            found = self._rounds[rounds] = own, [0, *accumulate(own)]
+        return found
+
+    def round_of(self, queue: int, token: int) -> int:
+        """The round that serves a queue's token."""
+        a, b = 2 * token + 1, 2 * self.weights[queue]
+        earned = sum(min(t * b, w * a) for t, w in zip(self.totals, self.weights)) // b
+        at = max(0, earned // self.length)
+        while at and self.served(at)[0][queue] > token:
+            at -= 1
+        while self.served(at + 1)[0][queue] <= token:
+            at += 1
+        return at
 
     def cuts(self, queue: int, start: int, n: int):
         """(window, offset in the window, position in the document, length) of each piece of a document that starts there in its queue."""
-        share = self.upto[queue + 1] - self.upto[queue]
-        window = max(0, start * self.total // (share * self.length) - 2)
-        while self.served(queue, window + 1) <= start:
-            window += 1
-        at, end = start, start + n
-        low = self.served(queue, window)
+        at, end, turn = start, start + n, self.round_of(queue, start)
         while at < end:
-            high = self.served(queue, window + 1)
-            if high > at:
-                stop = min(high, end)
-                yield window, self.before(queue, window) + at - low, at - start, stop - at
-                at = stop
-            window, low = window + 1, high
+            (low, before), (high, after) = self.served(turn), self.served(turn + 1)
+            stop = min(high[queue], end)
+            place = before[-1] + after[queue] - before[queue] + at - low[queue]
+            while at < stop:
+                window, offset = divmod(place, self.length)
+                size = min(stop - at, self.length - offset)
+                yield window, offset, at - start, size
+                at, place = at + size, place + size
+            turn += 1
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool, queues: int | None) -> DataFrame:
-    """doc_id, source, ids (flat unsigned 16-bit where all fit, else 32-bit), n, task, start in the task's part of the queue."""
+def _name(source):
+    """A source's name as text; a null source's is empty."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool) -> DataFrame:
+    """doc_id, source, ids (flat unsigned 32-bit, squeezed), n, task, start in the task's part of the source."""
 
     def encode(batches):
         from pyspark import TaskContext
@@ -90,34 +125,43 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool, que
                     starts[source] = start[-1] + k
                 yield pd.DataFrame({"doc_id": own["doc_id"], "source": own["source"], "ids": [C.squeeze(np.frombuffer(b, "<u4")) for b in ids], "n": n, "task": task, "start": start})
 
-    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    if queues:
-        name = F.format_string("%06d", F.pmod(F.xxhash64(name), F.lit(queues)))
-    plain = docs.select(C.hidden(), F.coalesce("text", F.lit("")).alias("text"), name.alias("source"))
+    plain = docs.select(C.hidden(), F.coalesce("text", F.lit("")).alias("text"), _name(F.col("source")).alias("source"))
     return C.written(plain.mapInPandas(encode, "doc_id long, source string, ids binary, n long, task int, start long"))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, keep_space: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and ids if asked for."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, keep_space: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_ids: bool = False, targets: dict | None = None) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, and ids if asked for.
+
+    targets: positive weights by source (None: the null source).
+    """
     spark = C.prepare(docs.sparkSession)
+    wanted = {"" if k is None else f"={k}": Fraction(str(w)) for k, w in (targets or {}).items()}
+    if len(wanted) >= QUEUES or any(w <= 0 for w in wanted.values()):
+        raise ValueError(f"targets are positive, and fewer than {QUEUES}")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    many = plain.select(F.approx_count_distinct("source")).first()[0] > SOURCES
-    encoded = _encoded(plain, tokenizer, end_id, keep_space, SOURCES if many else None)
+    encoded = _encoded(plain, tokenizer, end_id, keep_space)
     parts = C.written(encoded.groupBy("source", "task").agg(F.sum("n").alias("n")))
-    totals = sorted((r[0], r[1]) for r in parts.groupBy("source").agg(F.sum("n")).collect())  # SOURCES rows at most, about
-    schedule = Schedule([n for _, n in totals], length)
-    queue_of = {source: k for k, (source, _) in enumerate(totals)}
-    bases = parts.select("source", "task", (F.sum("n").over(W.partitionBy("source").orderBy("task")) - F.col("n")).alias("base"))
-    placed = encoded.join(C.checked(bases, parts.count()), ["source", "task"]).select("doc_id", "source", "ids", (F.col("start") + F.col("base")).alias("at"))
+    sums = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    largest = sums.orderBy(F.col("source").isin(list(wanted)).desc(), F.desc("n"), "source").limit(QUEUES - 1).collect()
+    own = sorted((r["source"], r["n"]) for r in largest)
+    pooled = total - sum(n for _, n in own)
+    names, totals = [x for x, _ in own], [n for _, n in own] + [pooled] * (pooled > 0)
+    weights = [wanted.get(x, Fraction(n, total)) for x, n in own] + [Fraction(pooled, max(1, total))] * (pooled > 0)
+    schedule = Schedule(totals, length, weights)
+    queues = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "source string, queue int")
+    placed_parts = parts.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
+    bases = placed_parts.select("source", "task", "queue", (F.sum("n").over(W.partitionBy("queue").orderBy("source", "task")) - F.col("n")).alias("base"))
+    placed = encoded.join(C.checked(bases, parts.count()), ["source", "task"]).select("doc_id", "queue", "ids", (F.col("start") + F.col("base")).alias("at"))
 
     def cut(batches):
         for pdf in batches:
             for i in range(0, len(pdf), BATCH):
                 own, rows = pdf.iloc[i : i + BATCH], []
-                for doc, source, packed, at in zip(own["doc_id"], own["source"], own["ids"], own["at"]):
-                    ids, queue = C.unsqueeze(packed, "<u4"), queue_of[source]
+                for doc, queue, packed, at in zip(own["doc_id"], own["queue"], own["ids"], own["at"]):
+                    ids = C.unsqueeze(packed, "<u4")
                     raw = memoryview(ids.tobytes())
-                    for window, offset, start, n in schedule.cuts(queue, int(at), len(ids)):
+                    for window, offset, start, n in schedule.cuts(int(queue), int(at), len(ids)):
                         rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(ids), window, offset, queue, *([ids[start : start + n]] if keep_ids else [])))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * keep_ids)
 

@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Rules are predicates over a document's counts. On a sample of documents each rule's cost (seconds a document) and
-selectivity (share it rejects) are estimated; rules then run in the order of rejection per cost, each over the
-documents that no earlier rule rejected. The order changes only what the verdict costs: a document is kept if no rule
+Rules are predicates over a document's measures. On a sample of whole documents each rule's cost (seconds a document, with all that it
+has to measure) and its selectivity are estimated where the cascade will run it: over the documents that the rules before it
+leave, with what those have measured already known. The rule that rejects most per cost comes next. Rules then run in that order,
+each over the documents that no earlier rule rejected. The order changes only what the verdict costs: a document is kept if no rule
 rejects it.
 
-Null text has no words; a text without words is rejected. Repeated rows get equal results. An empty table gives an empty result.
+Null text has no words; a text without words is rejected. A very long text is measured whole by one task. Repeated rows get equal results.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,27 +19,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import common as C
 
-#: Documents (those with the smallest hashes of their text) on which costs and selectivities are estimated. No verdict depends on it.
+#: Different texts (those with the smallest hashes) on which costs and selectivities are estimated. No verdict depends on it.
 SAMPLE = 400
 #: Words of texts counted at once for repeated windows.
 WORDS_AT_ONCE = 1 << 20
 WINDOW = 5
 
 _symbols = re.compile(rb"[#*$%&|<>]")
-_letters = re.compile(r"[^\W\d_]")
+_letters = regex.compile(r"\p{L}")
 _upper = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
 class Document:
     """A text and what rules measure of it, each measured once when first asked for."""
 
-    def __init__(self, text: bytes, words: list[bytes], repeated: int):
-        self.text, self.words, self.n_words, self.n_repeat_words, self._known = text, words, len(words), repeated, {}
+    def __init__(self, text: bytes, words: list[bytes], repeated: int | None = None):
+        self.text, self.words, self.n_words = text, words, len(words)
+        self._known = {} if repeated is None else {"repeated": repeated}
 
     def once(self, name: str, measure: Callable):
         if name not in self._known:
@@ -48,6 +52,10 @@ class Document:
     def string(self) -> str:
         return self.once("string", lambda d: d.text.decode("utf-8", "replace"))
 
+    @property
+    def n_repeat_words(self) -> int:
+        return self.once("repeated", lambda d: repeated_window_words([C.word_hashes(d.words)])[0])
+
     @property
     def word_chars(self) -> int:
         return self.once("word_chars", lambda d: len(d.string) - sum(d.text.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
@@ -140,22 +148,38 @@ def measured(texts: list[bytes]) -> list[Document]:
     return [Document(*x) for x in zip(texts, words, repeated_window_words([C.word_hashes(w) for w in words]))]
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """The rules by rejection per cost, on SAMPLE documents."""
-    # First the hashes alone, as each task sends its best to the driver; then the texts of those chosen.
-    chosen = [r[0] for r in docs.select(F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    sample = docs.where(F.xxhash64("text") <= max(chosen, default=0)).select(F.substring("text", 1, 1 << 16).alias("text")).limit(SAMPLE)
-    texts = [bytes(r[0]) for r in sample.collect()]
-    rank = []
-    for i, rule in enumerate(rules):
-        own = [Document(t, C.split(t), 0) for t in texts]
-        for d, r in zip(own, repeated_window_words([C.word_hashes(d.words) for d in own])):
-            d.n_repeat_words = r
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(d) for d in own)
-        cost = (time.perf_counter() - began) / max(1, len(own)) + 1e-9
-        rank.append((-(rejected / max(1, len(own))) / cost, cost, i))
-    return [rules[i] for *_, i in sorted(rank)]
+def order_of(texts: list[bytes], rules: list[Rule]) -> list[int]:
+    """The rules by rejection per cost, each measured on the texts that those before it leave."""
+    docs, left, order = [Document(t, C.split(t)) for t in texts], list(range(len(rules))), []
+    while left:
+        ranked = []
+        for i in left:
+            # Copies, so that every rule pays for what it measures itself, and only for that.
+            own = [Document(d.text, d.words) for d in docs]
+            for d, known in zip(own, docs):
+                d._known = dict(known._known)
+            began = time.perf_counter()
+            rejected = [rules[i].rejects(d) for d in own]
+            cost = (time.perf_counter() - began) / max(1, len(own)) + 1e-9
+            ranked.append((-(sum(rejected) / max(1, len(own))) / cost, cost, i, own, rejected))
+        _, _, best, own, rejected = min(ranked, key=lambda x: x[:3])
+        order.append(best)
+        left.remove(best)
+        docs = [d for d, r in zip(own, rejected) if not r]
+    return order
+
+
+def plan_cascade(docs: DataFrame, rules: Callable[[], list[Rule]]) -> list[int]:
+    """Where each rule stands, measured on SAMPLE different texts by one task; no text goes to the driver."""
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    sample = hashed.where(F.col("h") <= max(chosen, default=0)).dropDuplicates(["h"]).select("text")
+
+    def measure(batches):
+        texts = [t for pdf in batches for t in pdf["text"]]
+        yield pd.DataFrame({"rule": order_of(texts, rules())})
+
+    return [r["rule"] for r in sample.coalesce(1).mapInPandas(measure, "rule int").collect()]
 
 
 def run_cascade(docs: list[Document], rules: list[Rule]) -> list[str | None]:
@@ -176,25 +200,25 @@ def run_cascade(docs: list[Document], rules: list[Rule]) -> list[str | None]:
 _COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, the counts, base_failed (few words or repeated windows) and kept."""
+def quality_rules(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """A row per document: doc_id, the counts, base_failed (few words or repeated windows) and kept; without counts doc_id, n_words, kept alone, and no rule measures more than the cascade reaches."""
     C.prepare(docs.sparkSession)
     plain = C.texts(docs, id_col, text_col)
-    rules = default_rules() if rules is None else rules
-    names = [r.name for r in plan_cascade(plain, rules)]
-    custom = None if rules and [r.name for r in default_rules()] == [r.name for r in rules] else rules
+    order = plan_cascade(plain, rules)
 
     def judge(batches):
-        by_name = {r.name: r for r in (default_rules() if custom is None else custom)}
-        cascade = [by_name[n] for n in names]
+        made = rules()
+        cascade = [made[i] for i in order]
         for pdf in batches:
             for i in range(0, len(pdf), 512):
                 own = pdf.iloc[i : i + 512]
-                found = measured(list(own["text"]))
-                verdict = run_cascade(found, cascade)
-                out = pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), **{c: [getattr(d, c) for d in found] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}})
-                out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
-                out["kept"] = ~out["base_failed"] & np.array([v is None for v in verdict], bool)
-                yield out
-
-    return C.shown(plain.mapInPandas(judge, _COLUMNS))
+                found = measured(list(own["text"])) if counts else [Document(t, C.split(t)) for t in own["text"]]
+                kept = np.array([v is None for v in run_cascade(found, cascade)], bool)
+                names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") if counts else ("n_words",)
+                out = pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), **{c: [getattr(d, c) for d in found] for c in names}})
+                if counts:
+                    out["base_failed"] = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
+                    kept &= ~out["base_failed"].to_numpy()
+                yield out.assign(kept=kept)
+
+    return C.shown(plain.mapInPandas(judge, _COLUMNS if counts else "doc_id long, n_words long, kept boolean"))
