@@ -1,10 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, words, hashes and compact key blocks."""
+"""What the operators of this subpackage share: the shared folder, words, hashes and compact key blocks.
+
+texts() gives null texts as empty ones, null ids as a number that shown() turns back, and no other column, whatever its name. A block holds
+at most BLOCK_ROWS documents and BLOCK_BYTES of text, or one longer text. Of empty tables there are no blocks and no ranges but one.
+Tables that written() makes stay in the shared folder until spark.checkpoint.dir is emptied: lost executors may need them until the result is read.
+"""
 
 from __future__ import annotations
 
 import atexit
 import ctypes
 import ctypes.util
+import json
 import math
 import re
 import shutil
@@ -218,25 +224,27 @@ def gathered(batches, columns=("doc_id", "text"), apart: str | None = None):
     yield from held.values()
 
 
-_BLOCKS = "block long, ids binary, sizes binary, marks binary, texts binary"
+_BLOCKS = "block long, ids binary, sizes binary, marks binary, texts binary, carried binary"
 
 
-def block_table(docs: DataFrame, mark=None) -> DataFrame:
+def block_table(docs: DataFrame, mark=None, carry=None) -> DataFrame:
     """texts() rows as a table of blocks in the shared folder, a row each, so that every later reading finds the same blocks whatever happened to executors meanwhile.
 
-    mark (an expression, 0 to 255) is kept with each document; documents with mark 1 get blocks of their own.
+    mark (an expression, 0 to 255) is kept with each document; documents with mark 1 get blocks of their own. carry (a
+    string expression) is kept as well and never looked at.
     """
-    marked = docs.select("doc_id", "text", (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
+    none = F.lit("")
+    marked = docs.select("doc_id", "text", (F.lit(0) if mark is None else mark).cast("int").alias("mark"), (none if carry is None else F.coalesce(carry, none)).alias("carried"))
 
     def build(batches):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
         with_kind = (pdf.assign(apart=pdf["mark"] == 1) for pdf in batches)
-        for i, (ids, texts, marks) in enumerate(gathered(with_kind, ("doc_id", "text", "mark"), "apart")):
+        for i, (ids, texts, marks, carried) in enumerate(gathered(with_kind, ("doc_id", "text", "mark", "carried"), "apart")):
             sizes = np.array([len(t) for t in texts], np.int64)
-            row = first + i, np.array(ids, np.int64).tobytes(), sizes.tobytes(), np.array(marks, np.uint8).tobytes(), zstandard.compress(b"".join(texts), 1)
-            yield pd.DataFrame([row], columns=["block", "ids", "sizes", "marks", "texts"])
+            row = first + i, np.array(ids, np.int64).tobytes(), sizes.tobytes(), np.array(marks, np.uint8).tobytes(), zstandard.compress(b"".join(texts), 3), zstandard.compress(json.dumps(carried).encode(), 1)
+            yield pd.DataFrame([row], columns=[x.split()[0] for x in _BLOCKS.split(", ")])
 
     return written(marked.mapInPandas(build, _BLOCKS), "uncompressed")
 
@@ -247,6 +255,10 @@ def block_rows(ids: bytes, sizes: bytes, marks: bytes, texts: bytes) -> tuple[np
     return np.frombuffer(ids, np.int64), [flat[a:b] for a, b in zip([0, *ends], ends)], np.frombuffer(marks, np.uint8)
 
 
+def carried_of(packed: bytes) -> list[str]:
+    return json.loads(zstandard.decompress(packed))
+
+
 def bitmap(keys: DataFrame, column: str) -> DataFrame:
     """A bitmap of 64-bit keys, as rows (word, bits): BITMAP_BITS / 64 rows at most. A key's slot is its low bits."""
     slot = f"({column} & {BITMAP_BITS - 1}L)"

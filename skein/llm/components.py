@@ -1,4 +1,7 @@
-"""Connected components of links, by alternating large-star and small-star steps; nothing is gathered at the driver."""
+"""Connected components of links, by alternating large-star and small-star steps; nothing is gathered at the driver.
+
+Links with a null end, of a node with itself and repeated ones are left out. Without links there are no rows. Other columns are ignored.
+"""
 
 from __future__ import annotations
 

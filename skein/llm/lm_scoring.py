@@ -7,7 +7,8 @@ from expectation-maximisation over held-out events: the training documents of on
 enter as a histogram by buckets and by steps of the estimates' logarithms, each cell with its events' mean logarithms; it has a
 bounded size whatever the input and covers every event of the fold. Scores then use the counts of all training documents.
 
-Counts are exact and cover all training documents. The input is written once as blocks of documents; blocks count their
+Counts cover all training documents. N-grams are told apart by 59 bits of their hashes: of n different words two share them with probability
+n^2 / 2^60, and a longer n-gram shares its count with another one with probability n / 2^59. The input is written once as blocks of documents; blocks count their
 distinct n-grams, and counts meet by ranges of their hashes; a block gets back, in the order of its own sorted keys, the training
 count of each. A frequent word is one entry per block. No table of counts is ever broadcast or gathered.
 
@@ -30,16 +31,16 @@ FOLDS, ADDED = 10, 0.1
 #: Buckets of context frequency: 0, then powers of two, the last one open.
 BUCKETS = 24
 #: Steps of a histogram's estimates in decades, and the smallest step.
-STEP, LOWEST = 0.25, -60
+STEP, LOWEST = 0.5, -40
 ROUNDS = 60
 #: Least share that a level leaves to the next one.
 FLOOR = 1e-7
 #: The highest order of n-grams.
 ORDER = 3
 
-_ONE, _EVEN = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFE)
-#: Keys of words are odd, those of longer n-grams even. The end token and the place before a text have keys of their own.
-_END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Keys are the upper 60 bits, the last of which tells words from longer n-grams. The end token and the place before a text have keys of their own.
+_LOW, _WORD, _HASH = np.uint64(4), np.uint64(16), np.uint64(0xFFFFFFFFFFFFFFE0)
+_END, _START = np.uint64(0x5851F42D4C957F30), np.uint64(0x14057B7EF7678150)
 _ENTRIES = "part int, block long, held boolean, keys binary, counts binary"
 _ANSWERS = "block long, part int, n long, counts binary, others binary, tokens long, types long, other_tokens long, other_types long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -60,13 +61,13 @@ class Grams:
         inside = np.ones(total, bool)
         inside[ends - 1] = False
         if total:
-            token[inside] = np.concatenate(hashes) | _ONE
+            token[inside] = np.concatenate(hashes) & _HASH | _WORD
         grams, mixed = [token], C.mix(token)
         for k in range(2, ORDER + 1):
             before = np.empty(total, np.uint64)
             before[1:] = grams[-1][:-1]
             before[self.starts] = _START
-            grams.append(C.mix(before * np.uint64(2 * k + 1) + mixed) & _EVEN)
+            grams.append(C.mix(before * np.uint64(2 * k + 1) + mixed) & _HASH)
         flat = np.concatenate([*grams, np.full(docs, _START)])
         trained = np.repeat(trains, self.lengths)
         weight = np.concatenate([*[trained] * ORDER, trains]).astype(np.int64)
@@ -161,15 +162,15 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def emit(batches):
         for pdf in batches:
-            for block, *packed in zip(pdf["block"], pdf["ids"], pdf["sizes"], pdf["marks"], pdf["texts"]):
+            for block, *packed in zip(*(pdf[c] for c in ("block", "ids", "sizes", "marks", "texts"))):
                 _, texts, folds = C.block_rows(*packed)
                 g = Grams(texts, folds != 0)
                 at, held = C.range_starts(g.keys, ranges), bool(folds[0] == 1)
-                rows = [(p, block, held, C.squeeze_sorted(g.keys[a:b]), C.squeeze(g.counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+                rows = [(p, block, held, C.squeeze_sorted(g.keys[a:b] >> _LOW), C.squeeze(g.counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
                 yield pd.DataFrame(rows, columns=["part", "block", "held", "keys", "counts"])
 
     def meet(pdf):
-        keys = [C.unsqueeze_sorted(b) for b in pdf["keys"]]
+        keys = [C.unsqueeze_sorted(b) << _LOW for b in pdf["keys"]]
         sizes = [len(k) for k in keys]
         flat = np.concatenate(keys)
         own = np.concatenate([C.unsqueeze(b, np.uint32) for b in pdf["counts"]]).astype(np.int64)
@@ -178,7 +179,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         starts = C.runs(sorted_)
         lengths = np.diff(np.append(starts, len(flat)))
         words = sorted_[starts]
-        words = (words & _ONE == _ONE) & (words != _START)
+        words = (words & _WORD > 0) & (words != _START)
 
         def over(counts):
             summed = np.add.reduceat(counts[order], starts)

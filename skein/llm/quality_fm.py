@@ -8,6 +8,7 @@ sigmoid(b + sum w_i x_i + sum over i<j of <v_i, v_j> x_i x_j); the pairwise part
 Labels come from a bounded sample (sample_rows, by a hash of the id); a row has at most WORD_BUCKETS entries of four bytes. Every document is
 scored by its whole text. Null text is empty and is scored like any other. Rules for labels are those of the toxicity operator.
 Without labels of both kinds every score is 0. An empty table gives an empty result.
+A very long text is measured whole by one task. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,9 +52,8 @@ def measure(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.n
         words = C.split(t.lower())
         hashes = C.word_hashes(words)
         stats.append(statistics(t, words, hashes))
-        counts = np.bincount((hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
-        own = np.flatnonzero(counts)
-        v = np.sqrt(counts[own])
+        own, counts = np.unique((hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), return_counts=True)
+        v = np.sqrt(counts)
         buckets.append(own)
         values.append(v / max(1e-9, np.sqrt((v * v).sum())))
     return np.array(stats, float).reshape(len(texts), len(STATISTICS)), buckets, values
@@ -126,14 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_r
     def collect(batches):
         for pdf in batches:
             stats, buckets, values = measure(list(pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "stats": list(stats), "buckets": [b.astype(np.uint16).tobytes() for b in buckets], "values": [v.astype(np.float16).tobytes() for v in values]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "stats": list(stats), "buckets": [b.astype(np.uint16).tobytes() for b in buckets], "values": [v.astype(np.float32).tobytes() for v in values]})
 
     rows = sample.mapInPandas(collect, "doc_id long, label int, stats array<double>, buckets binary, values binary").orderBy("doc_id").toPandas()
     if rows["label"].nunique() < 2:
         return Machine([], 0.0, np.empty(0), np.empty((0, FACTORS)), np.empty(0), np.empty(0))
     stats, y = np.array(rows["stats"].tolist()), rows["label"].to_numpy(float)
     buckets = [np.frombuffer(b, np.uint16).astype(np.int64) for b in rows["buckets"]]
-    values = [np.frombuffer(b, np.float16).astype(float) for b in rows["values"]]
+    values = [np.frombuffer(b, np.float32).astype(float) for b in rows["values"]]
     rest = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[~rest])) < 2 or len(np.unique(y[rest])) < 2:
         rest = np.ones(len(y), bool)

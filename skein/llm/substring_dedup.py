@@ -28,7 +28,7 @@ WINDOW = 13
 #: Base of the second rolling hash.
 _SECOND = 0xC2B2AE3D27D4EB4F
 _ENTRIES = "part int, block long, keys binary, tags binary, first binary"
-_SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept_text binary"
+_SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept_text binary, carried string"
 
 
 class Windows:
@@ -62,15 +62,19 @@ def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + width).tolist()))
 
 
-def find_spans(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_words, n_removed, spans (of words, removed) and kept_text (bytes; kept words joined by one space)."""
+def find_spans(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), originals: bool = False) -> DataFrame:
+    """A row per document: doc_id, n_words, n_removed, spans (of words, removed), kept_text (bytes; kept words joined by one space), carried.
+
+    carried is a struct of the columns in carry, so that they need no join; originals: a text that loses nothing is its own kept_text.
+    """
     C.prepare(docs.sparkSession)
     ranges = C.ranges_for(docs, text_col=text_col)
-    blocks = C.block_table(C.texts(docs, id_col, text_col))
+    kept = F.to_json(F.struct(*carry)).alias("carried") if carry else F.lit("{}").alias("carried")
+    blocks = C.block_table(C.texts(docs, id_col, text_col, kept), carry=F.col("carried"))
 
     def emit(batches):
         for pdf in batches:
-            for block, *packed in zip(pdf["block"], pdf["ids"], pdf["sizes"], pdf["marks"], pdf["texts"]):
+            for block, *packed in zip(*(pdf[c] for c in ("block", "ids", "sizes", "marks", "texts"))):
                 ids, texts, _ = C.block_rows(*packed)
                 w = Windows(ids, texts, width)
                 if len(w.keys):
@@ -99,16 +103,17 @@ def find_spans(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", tex
         answer = answer.sort_values("part")
         earlier = np.concatenate([np.empty(0, np.uint8), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(answer["bits"], answer["n"]))]).astype(bool)
         out = []
-        for doc, words, starts in zip(ids.tolist(), w.words, w.removed(earlier)):
+        for doc, text, words, starts, carried in zip(ids.tolist(), texts, w.words, w.removed(earlier), C.carried_of(rows["carried"].iloc[0])):
             spans, kept, at = intervals(starts, width), [], 0
             for a, b in spans:
                 kept += words[at:a]
                 at = b
             kept += words[at:]
-            out.append((doc, len(words), len(words) - len(kept), [{"start": a, "stop": b} for a, b in spans], b" ".join(kept)))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+            out.append((doc, len(words), len(words) - len(kept), [{"start": a, "stop": b} for a, b in spans], text if originals and not spans else b" ".join(kept), carried))
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text", "carried"])
 
-    return C.shown(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, _SPANS))
+    out = C.shown(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, _SPANS))
+    return out.withColumn("carried", F.from_json("carried", docs.select(*carry).schema)) if carry else out.drop("carried")
 
 
 def substring_dedup(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

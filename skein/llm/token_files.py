@@ -7,6 +7,7 @@ shards' totals and is kept in the manifest, not in the shards, so that shards ca
 
 Null text is empty: such a document has the end id alone. Rows with equal doc_id follow each other in the order of a
 hash of the text. A null doc_id is written as the smallest 64-bit integer and read back as null. An empty table gives no shards.
+A very long text is encoded whole by one task. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,20 +12,31 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: Pieces kept before the table is emptied: some 200 MB.
-PIECES = 800_000
+#: Pieces kept before the table is emptied: some 180 MB.
+PIECES = 700_000
 #: Unknown pieces encoded at once, and the longest piece that is kept.
 BATCH, LONGEST = 4096, 256
 
 _whole = re.compile(r"[\x1c-\x1f\x00]")
 #: White space other than the space and the line feed, and the characters of _whole: one scan tells that a text has none.
 _odd = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_wide = re.compile(r"[^\x00-\xff]")
 _piece = re.compile(r"\s*\S+|\s+")
 #: A word of Latin letters and the punctuation after it: pre-tokenizers always part them.
-_word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
+_word, _MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?;:*#$%&|"
+
+
+def _flat(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 def _letters_of_bytes() -> dict[int, str]:
@@ -74,7 +85,8 @@ class PieceEncoder:
         if odd and _whole.search(text):
             return ["\0" + text]
         if not self.keep_space:
-            return text.split()
+            # A tokenizer of this kind lowers case; up to U+00FF, text may be lowered at once.
+            return (text if _wide.search(text) else text.lower()).split()
         if odd or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace():
             return ["\0" + p for p in _piece.findall(text)]
         out: list[str] = []
@@ -92,17 +104,17 @@ class PieceEncoder:
             self.parts.clear()
         parts, out, odd, space = self.parts, {}, [], self.keep_space
         for k in keys:
-            m = _word.fullmatch(k)
-            if m is None:
-                odd.append(k)
-                continue
-            word, tail = m.groups()
+            word = k.rstrip(_MARKS)
+            tail = k[len(word) :]
             if not space:
                 word = word.lower()
             ids = parts.get(word)
             if ids is None:
+                if _word.fullmatch(word) is None:
+                    odd.append(k)
+                    continue
                 read = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters)
-                ids = parts[word] = np.array([t.id for t in self.model.tokenize("Ġ" + read if space else read)], "<u4").tobytes()
+                ids = parts[word] = _flat([t.id for t in self.model.tokenize("Ġ" + read if space else read)])
             if tail:
                 end = parts.get("\0" + tail)
                 if end is None:

@@ -9,6 +9,7 @@ all that the driver gets. Every document is scored by its whole text.
 
 Null text is empty and is scored like any other. Labelled rows without a label or without a document are left out; of repeated labels of an id
 the largest counts. Without labels of both kinds there is no evidence, and every score is 0. An empty table gives an empty result.
+A very long text is measured whole by one task. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
