@@ -53,12 +53,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose words get their kept words, joined by one space; one that loses all goes. The others' texts are left as they are."""
-    docs = _keyed(docs)
-    cut = C.written(find_spans(docs, id_col="row_key").where("n_removed > 0").select(F.col("doc_id").alias("row_key"), F.decode("kept_text", "UTF-8").alias("kept_text")))
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    n_chars = F.when(F.col("kept_text").isNull(), F.col("n_chars").cast("long")).otherwise(F.length("kept_text").cast("long"))
-    joined = docs.join(cut, "row_key", "left").where("kept_text IS NULL OR kept_text <> ''")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    found = find_spans(_keyed(docs), id_col="row_key", carry=("doc_id", "lang", "source", "n_chars"), originals=True)
+    text = F.decode("kept_text", "UTF-8")
+    n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("carried.n_chars").cast("long"))
+    whole = found.where("n_removed = 0 OR octet_length(kept_text) > 0")
+    return whole.select("carried.doc_id", text.alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
