@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File endings and the languages they stand for.
-EXTENSIONS = {
-    "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "java": "java", "kt": "kotlin", "scala": "scala", "rb": "ruby",
-    "php": "php", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "swift": "swift", "dart": "dart", "m": "objc", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "xml": "xml", "md": "markdown",
-}
+#: Languages and the file endings that stand for them.
+ENDINGS = {
+    "typescript": "ts tsx mts cts js jsx mjs cjs",
+    "rust": "rs",
+    "python": "py pyi",
+    "go": "go",
+    "java": "java",
+    "kotlin": "kt kts",
+    "ruby": "rb rake gemspec",
+    "csharp": "cs",
+    "php": "php phtml php8",
+    "scala": "scala sc",
+    "cpp": "cpp cc cxx hpp hh hxx",
+    "c": "c h",
+    "swift": "swift",
+    "dart": "dart",
+    "objc": "m mm",
+    "json": "json jsonc",
+    "yaml": "yml yaml",
+    "toml": "toml",
+    "xml": "xml xsd xsl",
+    "markdown": "md markdown mdx",
+}
+EXTENSIONS = {ending: language for language, own in ENDINGS.items() for ending in own.split()}
 #: Folders that a walk of sources leaves out.
-SKIPPED_FOLDERS = "node_modules target dist build vendor .git .venv __pycache__".split()
+SKIPPED_FOLDERS = ".claude .git target node_modules dist .next .vscode .vscode-test".split()
 #: How high a neighbour's score may be shown by the answer's confidence.
 CEILINGS = {"exact": 1.0, "strong": 1.0, "weak": 0.6, "none": 0.4}
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.sources.storage import written
+
 #: Saturation and length of BM25, and the constant of rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Of the exact knapsack, the largest table, the scale of values and the largest budget.
@@ -13,14 +15,15 @@ DP_CELLS, DP_SCALE, MAX_BUDGET = 1_000_000, 1e6, 32_000
 
 
 def bm25(docs: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, score) of documents (id, field, tokens): a field's tokens count once; fields add up by weight. Documents without a hit score 0 and stay.
+    """(id, score) of documents (id, field, tokens): an index has a token of a field once; fields add up by weight. Documents without a hit score 0 and stay.
 
     Corpus statistics are one aggregate; a document's score needs no shuffle beyond its own fields.
     """
     weights = weights or {"": 1.0}
     d = docs.withColumn("dl", F.size("tokens"))
     hits = {t: f"h{i}" for i, t in enumerate(dict.fromkeys(terms))}
-    d = d.withColumns({h: F.array_contains("tokens", t).cast("int") for t, h in hits.items()})
+    # Tokens are made once: the table has a document's length and hits alone.
+    d = written(d.withColumns({h: F.array_contains("tokens", t).cast("int") for t, h in hits.items()}).select("id", "field", "dl", *hits.values()))
     stats = d.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(h).alias(f"df_{h}") for h in hits.values()])
     j = d.join(F.broadcast(stats), "field")  # a row per field
     score = F.lit(0.0)

@@ -2,19 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.sources.storage import written
 
 
+#: Edges up to which, by count, a traversal is one task's matter; beyond, each round is a join over all tasks.
+ONE_TASK = 2_000_000
+
+
+def _in_one_task(edges: DataFrame, starts: DataFrame, solve: Callable, schema: str) -> DataFrame | None:
+    """What solve(nodes, src, dst, value, starts) gives as columns, in a single task over the counted edges (src, dst, value) and starts (kind, id, value); None if they are too many.
+
+    Nodes are numbered from 0 in solve; its first column is such a number.
+    """
+    if edges.count() > ONE_TASK or starts.count() > ONE_TASK:
+        return None
+    rows = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("value").cast("double").alias("value"))
+    rows = rows.union(starts.select("kind", "id", F.col("id"), F.col("value").cast("double")))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        pdf = pd.concat([pd.DataFrame(columns=["kind", "a", "b", "value"]), *batches], ignore_index=True)
+        if not len(pdf):
+            return
+        ids, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        at = at.reshape(-1, 2)
+        kind, value = pdf["kind"].to_numpy(int), pdf["value"].to_numpy(float)
+        e = kind == 0
+        given = {int(k): (at[kind == k, 0], value[kind == k]) for k in np.unique(kind[~e])}
+        out = solve(len(ids), at[e, 0], at[e, 1], value[e], given)
+        yield pd.DataFrame({n: ids[c] if i == 0 else c for i, (n, c) in enumerate(zip(names, out))})
+
+    return rows.coalesce(1).mapInPandas(run, schema)
+
+
+def _hops(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
+    """Hops of each node from seeds, -1 beyond the depth."""
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    first = np.searchsorted(src, np.arange(n + 1))
+    hop = np.full(n, -1)
+    frontier = np.unique(seeds)
+    hop[frontier] = 0
+    for k in range(1, depth + 1):
+        size = first[frontier + 1] - first[frontier]
+        at = np.repeat(first[frontier], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        found = np.unique(dst[at])
+        frontier = found[hop[found] < 0]
+        if not len(frontier):
+            break
+        hop[frontier] = k
+    return hop
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:
-    """(id, depth) of nodes within so many hops of seeds (id). A frontier meets the edges by an equality; visited nodes leave by an anti-join."""
+    """(id, depth) of nodes within so many hops of seeds (id)."""
     e = edges.select("src", "dst")
     if both:
         e = e.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e = written(e.where("src IS NOT NULL AND dst IS NOT NULL"))
+
+    def solve(n, src, dst, _, given):
+        hop = _hops(n, src, dst, given[1][0], depth) if 1 in given else np.full(n, -1)
+        at = np.flatnonzero(hop >= 0)
+        return at, hop[at]
+
+    starts = seeds.where("id IS NOT NULL").select(F.lit(1).alias("kind"), "id", F.lit(0.0).alias("value"))
+    found = _in_one_task(e.withColumn("value", F.lit(0.0)), starts, solve, "id long, depth int")
+    return found if found is not None else bfs_by_joins(e, seeds, depth)
+
+
+def bfs_by_joins(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """bfs with a join a round: a frontier meets the edges by an equality; visited nodes leave by an anti-join."""
+    e = edges.select("src", "dst")
     seen = written(seeds.select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for hop in range(1, depth + 1):
@@ -57,13 +124,37 @@ def directional_subgraph(edges: DataFrame, seed: DataFrame, depth: int, containm
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, depth: int = 6) -> DataFrame:
     """(id, score) by power iteration over the subgraph within `depth` hops of seeds (id, weight): r' = (1 - alpha) p + alpha sum r w / W.
 
-    edges have a weight; nodes at the last hop aren't expanded, and what reaches a node without out-edges is lost.
-    Transition weights are a table that all rounds read; a round is one join and one aggregation that combines before it shuffles.
+    edges have a weight; nodes at the last hop aren't expanded, and what reaches a node without out-edges is lost. Seeds without any
+    weight count alike.
     """
+    e = written(edges.select("src", "dst", F.col("weight").cast("double").alias("value")))
+
+    def solve(n, src, dst, weight, given):
+        at, own = given.get(1, (np.empty(0, np.int64), np.empty(0)))
+        p = np.bincount(at, own / own.sum() if own.sum() > 0 else np.full(len(own), 1 / max(1, len(own))), n)
+        hop = _hops(n, src, dst, at, depth - 1)
+        used = hop[src] >= 0
+        src, dst, weight = src[used], dst[used], weight[used]
+        q = weight / np.bincount(src, weight, n)[src]
+        score, seeded = p, p > 0
+        for _ in range(rounds):
+            now = (1 - alpha) * p + alpha * np.bincount(dst, score[src] * q, n)
+            change, score = np.abs(now - score).sum(), now
+            if change < tolerance:
+                break
+        keep = np.flatnonzero((score > 0) | seeded)
+        return keep, score[keep]
+
+    found = _in_one_task(e, seeds.select(F.lit(1).alias("kind"), "id", F.col("weight").alias("value")), solve, "id long, score double")
+    return found if found is not None else pagerank_by_joins(e.withColumnRenamed("value", "weight"), seeds, alpha, rounds, tolerance, depth)
+
+
+def pagerank_by_joins(edges: DataFrame, seeds: DataFrame, alpha: float, rounds: int, tolerance: float, depth: int) -> DataFrame:
+    """personalised_pagerank with a join a round: transition weights are a table that all rounds read, and an aggregation combines before it shuffles."""
     total = seeds.agg(F.sum("weight")).first()[0] or 0.0
     n = seeds.count()
     start = written(seeds.groupBy("id").agg(F.sum(F.col("weight") / total if total > 0 else F.lit(1.0 / max(1, n))).alias("p")))
-    held = bfs(edges, start, depth - 1)
+    held = bfs_by_joins(edges, start, depth - 1)
     own = edges.join(held.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", F.col("weight").cast("double").alias("w"))
     sums = own.groupBy("src").agg(F.sum("w").alias("total"))
     moves = written(own.join(sums, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("q")))
@@ -96,17 +187,54 @@ def shortest_costs(edges: DataFrame, seeds: DataFrame, rounds: int | None = None
 
 
 def connecting_path(edges: DataFrame, source: DataFrame, sink: DataFrame, depth: int = 5, slack: float = 0.5, fallback: int = 3) -> DataFrame:
-    """execution_path over the union of what lies within `depth` hops after the source and before the sink, with paths of any length.
+    """(id, cost, on_route): execution_path over the union of what lies within `depth` hops after the source and before the sink, with paths of any length.
 
     Without a route: the nodes within `fallback` hops of the source, their cost null.
     """
-    edges = written(edges.select("src", "dst", "cost"))
-    ahead, behind = bfs(edges, source, depth), bfs(reverse(edges), sink, depth)
+    e = written(edges.select("src", "dst", F.col("cost").alias("value")))
+
+    def costs(n, src, dst, cost, starts):
+        best = np.full(n, np.inf)
+        best[starts] = 0
+        while True:
+            now = best.copy()
+            np.minimum.at(now, dst, best[src] + cost)
+            if not (now < best - 1e-12).any():
+                return best
+            best = now
+
+    def solve(n, src, dst, cost, given):
+        none = np.empty(0, np.int64), None
+        a, z = given.get(1, none)[0], given.get(2, none)[0]
+        ahead, behind = _hops(n, src, dst, a, depth) >= 0, _hops(n, dst, src, z, depth) >= 0
+        held = ahead | behind
+        used = held[src] & held[dst] & (ahead[src] | behind[dst])
+        s, d, c = src[used], dst[used], cost[used]
+        there, back = costs(n, s, d, c, a), costs(n, d, s, c, z)
+        best = there[z].min() if len(z) else np.inf
+        if not np.isfinite(best):
+            at = np.flatnonzero(_hops(n, src, dst, a, fallback) >= 0)
+            return at, np.full(len(at), np.nan), np.zeros(len(at), bool)
+        on = np.isfinite(there) & np.isfinite(back)
+        on[on] = np.abs(there[on] + back[on] - best) < 1e-9
+        at = np.flatnonzero(on | (there <= (1 + slack) * best))
+        return at, there[at], on[at]
+
+    starts = source.select(F.lit(1).alias("kind"), "id", F.lit(0.0).alias("value")).union(sink.select(F.lit(2), "id", F.lit(0.0)))
+    found = _in_one_task(e, starts, solve, "id long, cost double, on_route boolean")
+    if found is not None:
+        return found.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))
+    return path_by_joins(e.withColumnRenamed("value", "cost"), source, sink, depth, slack, fallback)
+
+
+def path_by_joins(edges: DataFrame, source: DataFrame, sink: DataFrame, depth: int, slack: float, fallback: int) -> DataFrame:
+    """connecting_path with a join a round."""
+    ahead, behind = bfs_by_joins(edges, source, depth), bfs_by_joins(reverse(edges), sink, depth)
     held = written(ahead.select("id", F.lit(True).alias("ahead")).union(behind.select("id", F.lit(False))).groupBy("id").agg(F.bool_or("ahead").alias("ahead"), F.bool_or(~F.col("ahead")).alias("behind")))
     both = edges.join(held.select(F.col("id").alias("src"), F.col("ahead").alias("_a")), "src").join(held.select(F.col("id").alias("dst"), F.col("behind").alias("_b")), "dst")
     found = written(execution_path(written(both.where("_a OR _b").select("src", "dst", "cost")), source, sink, None, slack))
     if found.isEmpty():
-        return bfs(edges, source, fallback).select("id", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("on_route"))
+        return bfs_by_joins(edges, source, fallback).select("id", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("on_route"))
     return found
 
 

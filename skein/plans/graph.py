@@ -81,21 +81,20 @@ def _ppr_sql(edges: str, seeds: str, rounds: int, depth: int) -> str:
     ]
     for k in range(1, rounds + 1):
         ctes.append(f"p{k} AS MATERIALIZED (SELECT id, sum(x) AS score FROM (SELECT id, 0.15 * p AS x FROM s UNION ALL SELECT q.dst, 0.85 * r.score * q.q FROM p{k - 1} r JOIN q ON r.id = q.src) GROUP BY id)")
-    return "WITH " + ", ".join(ctes) + f" SELECT id, round(score, 10) AS score FROM p{rounds}"
+    both = "SELECT id, sum(x) AS x FROM (SELECT id, score AS x FROM p{a} UNION ALL SELECT id, -score FROM p{b}) GROUP BY id"
+    ctes.append("d AS (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(x)) AS change FROM ({both.format(a=k, b=k - 1)})" for k in range(1, rounds + 1)) + ")")
+    ctes.append(f"last AS (SELECT coalesce(min(k), {rounds}) AS k FROM d WHERE change < {_LEAST})")
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, id, score FROM p{k}" for k in range(1, rounds + 1))
+    return "WITH " + ", ".join(ctes) + f" SELECT id, round(score, 10) AS score FROM ({rows}) WHERE k = (SELECT k FROM last)"
 
 
 _EDGES_W = f"SELECT src, dst, {_WEIGHT_SQL} AS w FROM edges"
-_ROUNDS, _DEPTH = 6, 4
+#: Rounds at most, hops, and the change under which a round is the last.
+_ROUNDS, _DEPTH, _LEAST = 50, 6, "0.000001"
 
 
 @query(_ppr_sql(_EDGES_W, "SELECT id, CAST(1.0 AS DOUBLE) AS weight FROM nodes WHERE kind = 'file' AND id % 8 = 2", _ROUNDS, _DEPTH), NE)
 def ppr_uniform(spark, d):
-    return _ppr_uniform(spark, d, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
-
-
-@query()
-def ppr_uniform_whole(spark, d):
-    """ppr_uniform with the operator's own depth, rounds and tolerance; its SQL is of six rounds at depth four."""
     return _ppr_uniform(spark, d)
 
 
@@ -108,12 +107,6 @@ def _ppr_uniform(spark, d, **settings):
 
 @query(_ppr_sql(_EDGES_W, "SELECT id, CAST(id % 5 + 1 AS DOUBLE) AS weight FROM nodes WHERE kind = 'class' AND id % 90 = 2", _ROUNDS, _DEPTH), NE)
 def ppr_weighted(spark, d):
-    return _ppr_weighted(spark, d, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
-
-
-@query()
-def ppr_weighted_whole(spark, d):
-    """ppr_weighted with the operator's own depth, rounds and tolerance; its SQL is of six rounds at depth four."""
     return _ppr_weighted(spark, d)
 
 
@@ -126,12 +119,6 @@ def _ppr_weighted(spark, d, **settings):
 
 @query(_ppr_sql(f"SELECT src, dst, {_WEIGHT_SQL} AS w FROM edges WHERE dst IN (SELECT id FROM nodes WHERE corpus IN ('asia', 'parts'))", "SELECT id, CAST(1.0 AS DOUBLE) AS weight FROM nodes WHERE kind = 'file' AND corpus = 'asia'", _ROUNDS, _DEPTH), NE)
 def ppr_rbac(spark, d):
-    return _ppr_rbac(spark, d, rounds=_ROUNDS, tolerance=0.0, depth=_DEPTH)
-
-
-@query()
-def ppr_rbac_whole(spark, d):
-    """ppr_rbac with the operator's own depth, rounds and tolerance; its SQL is of six rounds at depth four."""
     return _ppr_rbac(spark, d)
 
 
@@ -142,30 +129,9 @@ def _ppr_rbac(spark, d, **settings):
     return r.select("id", F.round("score", 10).alias("score"))
 
 
-def _costs(name: str, edges: str, seed: int, rounds: int) -> str:
-    """Bellman-Ford unrolled."""
-    ctes = [f"{name}0 AS (SELECT CAST({seed} AS BIGINT) AS id, CAST(0.0 AS DOUBLE) AS cost)"]
-    for k in range(1, rounds + 1):
-        ctes.append(f"{name}{k} AS MATERIALIZED (SELECT id, min(cost) AS cost FROM (SELECT * FROM {name}{k - 1} UNION ALL SELECT e.dst, f.cost + e.cost FROM {name}{k - 1} f JOIN ({edges}) e ON f.id = e.src) GROUP BY id)")
-    return ", ".join(ctes)
-
-
-_COST = f"SELECT src, dst, min(least(10.0, 1.0 / ({_WEIGHT_SQL}))) AS cost FROM edges GROUP BY src, dst"
-
-
-@query(
-    f"WITH c AS MATERIALIZED ({_COST}), " + _costs("a", "SELECT * FROM c", 20000000007, 5) + ", " + _costs("b", "SELECT dst AS src, src AS dst, cost FROM c", 40000000003, 5)
-    + ", t AS (SELECT min(cost) AS best FROM a5 WHERE id = 40000000003) SELECT a5.id, round(a5.cost, 6) AS cost, coalesce(abs(a5.cost + b5.cost - best) < 1e-9, FALSE) AS on_route FROM a5 LEFT JOIN b5 ON a5.id = b5.id, t WHERE best IS NOT NULL AND (coalesce(abs(a5.cost + b5.cost - best) < 1e-9, FALSE) OR a5.cost <= 1.5 * best)",
-    ("edges",),
-)
-def execution_path(spark, d):
-    one = lambda x: spark.createDataFrame([(x,)], "id long")
-    return traverse.execution_path(_costed(spark, d), one(20000000007), one(40000000003)).select("id", F.round("cost", 6).alias("cost"), "on_route")
-
-
 @query()
-def execution_path_whole(spark, d):
-    """execution_path over expansions from both ends; its SQL relaxes five rounds from the source."""
+def execution_path(spark, d):
+    """Routes over expansions from both ends; SQL has no number of rounds that is enough."""
     ends = [Graph(spark, d).nodes.where(f"id = {x}").select("id") for x in (20000000007, 40000000003)]
     if any(x.isEmpty() for x in ends):
         ends = [x.limit(0) for x in ends]

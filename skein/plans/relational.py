@@ -27,14 +27,8 @@ def language_distribution(spark, d):
     return Graph(spark, d).nodes.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id, signature FROM nodes ORDER BY id LIMIT 500", ("nodes",))
+@query("SELECT id, signature FROM nodes", ("nodes",))
 def node_scan(spark, d):
-    return Graph(spark, d).nodes.orderBy("id").limit(500).select("id", "signature")
-
-
-@query()
-def node_scan_whole(spark, d):
-    """All nodes; the SQL of node_scan is of the first 500."""
     return Graph(spark, d).nodes.select("id", "signature")
 
 
@@ -55,20 +49,10 @@ def out_edges(spark, d):
     return g.edges.join(g.nodes.where("kind = 'file'").select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "kind")
 
 
-@query("SELECT e.src, e.dst, e.kind FROM edges e JOIN nodes n ON e.dst = n.id WHERE n.kind = 'method' AND n.id % 10 = 3", NE)
+@query("SELECT e.src, e.dst, e.kind FROM edges e JOIN nodes n ON e.dst = n.id WHERE n.kind = 'method'", NE)
 def in_edges(spark, d):
     g = Graph(spark, d)
-    return _edges_into(g, "kind = 'method' AND id % 10 = 3")
-
-
-@query()
-def in_edges_whole(spark, d):
-    """in_edges over all methods; the SQL of in_edges is of a tenth of them."""
-    return _edges_into(Graph(spark, d), "kind = 'method'")
-
-
-def _edges_into(g, which):
-    return g.edges.join(g.nodes.where(which).select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
+    return g.edges.join(g.nodes.where("kind = 'method'").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
 
 
 @query("SELECT DISTINCT path, kind FROM nodes WHERE kind IN ('function', 'class', 'method')", ("nodes",))
@@ -221,16 +205,8 @@ def reindex_replace_report(spark, d):
     return merge.replace_report(old, new, g.edges)
 
 
-@query(r"SELECT page_id, left(replace(replace(regexp_replace(html, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '<', '&lt;'), '>', '&gt;'), 200) AS clean FROM pages")
+@query(r"SELECT page_id, replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g'), '<', '&lt;'), '>', '&gt;') AS clean FROM pages")
 def sanitize_text(spark, d):
-    from skein.functions.text import ASCII_CONTROLS, sanitize
-
-    return Graph(spark, d).table("pages").select("page_id", sanitize(F.col("html"), 200, ASCII_CONTROLS).alias("clean"))
-
-
-@query()
-def sanitize_text_whole(spark, d):
-    """Whole pages; the SQL of sanitize_text is of 200 characters each."""
     from skein.functions.text import sanitize
 
     return Graph(spark, d).table("pages").select("page_id", sanitize(F.col("html")).alias("clean"))
@@ -279,7 +255,7 @@ def nearest_line(spark, d):
 
 
 @query(
-    """WITH f AS (SELECT id AS sym_id, CASE WHEN id % 3 = 0 THEN path ELSE 'moved/' || path END AS path, language, CASE WHEN id % 7 = 0 THEN 'sym:gone' ELSE signature END AS symbol FROM nodes WHERE kind IN ('class', 'method', 'function') AND id % 2 = 0),
+    """WITH f AS (SELECT id AS sym_id, CASE WHEN id % 3 = 0 THEN path ELSE 'moved/' || path END AS path, language, CASE WHEN id % 7 = 0 THEN 'sym:gone' ELSE signature END AS symbol FROM nodes WHERE kind IN ('class', 'method', 'function')),
     n AS (SELECT id, path, language, list_last(string_split(regexp_replace(signature, '^[^:]*:', ''), '.')) AS leaf FROM nodes WHERE kind NOT IN ('file', 'doc-chunk', 'package')),
     g AS (SELECT *, list_last(string_split(regexp_replace(symbol, '^[^:]*:', ''), '.')) AS leaf FROM f),
     a AS (SELECT sym_id, min(n.id) AS one FROM g JOIN n ON g.leaf = n.leaf AND g.path = n.path GROUP BY sym_id),
@@ -288,17 +264,8 @@ def nearest_line(spark, d):
     ("nodes",),
 )
 def unify_ladder(spark, d):
-    return _unified(Graph(spark, d).nodes, "kind IN ('class', 'method', 'function') AND id % 2 = 0")
-
-
-@query()
-def unify_ladder_whole(spark, d):
-    """unify_ladder over all symbols; the SQL of unify_ladder is of half of them."""
-    return _unified(Graph(spark, d).nodes, "kind IN ('class', 'method', 'function')")
-
-
-def _unified(n, which):
-    f = n.where(which).select(F.col("id").alias("sym_id"), F.expr("CASE WHEN id % 3 = 0 THEN path ELSE 'moved/' || path END").alias("path"), "language", F.expr("CASE WHEN id % 7 = 0 THEN 'sym:gone' ELSE signature END").alias("symbol"))
+    n = Graph(spark, d).nodes
+    f = n.where("kind IN ('class', 'method', 'function')").select(F.col("id").alias("sym_id"), F.expr("CASE WHEN id % 3 = 0 THEN path ELSE 'moved/' || path END").alias("path"), "language", F.expr("CASE WHEN id % 7 = 0 THEN 'sym:gone' ELSE signature END").alias("symbol"))
     return joins.unify(f, n)
 
 
@@ -419,25 +386,14 @@ def reverse_closure(spark, d):
 
 
 @query(
-    """WITH h AS (SELECT o_orderkey AS hunk_id, n.path, CAST(o_orderkey % 1900 + 2 AS INT) AS a, CAST(o_orderkey % 1900 + 8 AS INT) AS b FROM orders JOIN nodes n ON n.id = 60000000000 + o_orderkey WHERE o_orderkey % 10 = 0),
+    """WITH h AS (SELECT o_orderkey AS hunk_id, n.path, CAST(o_orderkey % 1900 + 2 AS INT) AS a, CAST(o_orderkey % 1900 + 8 AS INT) AS b FROM orders JOIN nodes n ON n.id = 60000000000 + o_orderkey),
     t AS (SELECT hunk_id, n.id, n.line, n.end_line FROM h JOIN nodes n ON h.path = n.path WHERE n.line <= b AND n.end_line >= a)
     SELECT hunk_id, id FROM t WHERE NOT EXISTS (SELECT 1 FROM t i WHERE i.hunk_id = t.hunk_id AND i.id <> t.id AND i.line >= t.line AND i.end_line <= t.end_line AND i.end_line - i.line < t.end_line - t.line)""",
     ("nodes",),
 )
 def edit_overlap(spark, d):
     g = Graph(spark, d)
-    return _overlapped(g, g.table("orders").where("o_orderkey % 10 = 0"))
-
-
-@query()
-def edit_overlap_whole(spark, d):
-    """edit_overlap over the hunks of all orders; the SQL of edit_overlap is of a tenth of them."""
-    g = Graph(spark, d)
-    return _overlapped(g, g.table("orders"))
-
-
-def _overlapped(g, orders):
-    o = orders.select(F.col("o_orderkey").alias("hunk_id"), (F.col("o_orderkey") + 60000000000).alias("id"), (F.col("o_orderkey") % 1900 + 2).alias("hunk_start"), (F.col("o_orderkey") % 1900 + 8).alias("hunk_end"))
+    o = g.table("orders").select(F.col("o_orderkey").alias("hunk_id"), (F.col("o_orderkey") + 60000000000).alias("id"), (F.col("o_orderkey") % 1900 + 2).alias("hunk_start"), (F.col("o_orderkey") % 1900 + 8).alias("hunk_end"))
     return joins.edit_overlap(o.join(g.nodes.select("id", "path"), "id").drop("id"), g.nodes)
 
 

@@ -12,18 +12,34 @@ from skein.operators import joins, render
 from skein.plans.graph import _spine_sql
 from skein.plans.relational import NE
 
-_EXT_SQL = "CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scores.EXTENSIONS.items()) + " ELSE 'unknown' END"
+# Written out here, not taken from the library, so that a wrong entry there shows.
+_EXT_SQL = r"""CASE
+    WHEN e IN ('ts', 'tsx', 'mts', 'cts', 'js', 'jsx', 'mjs', 'cjs') THEN 'typescript' WHEN e = 'rs' THEN 'rust' WHEN e IN ('py', 'pyi') THEN 'python' WHEN e = 'go' THEN 'go'
+    WHEN e = 'java' THEN 'java' WHEN e IN ('kt', 'kts') THEN 'kotlin' WHEN e IN ('rb', 'rake', 'gemspec') THEN 'ruby' WHEN e = 'cs' THEN 'csharp' WHEN e IN ('php', 'phtml', 'php8') THEN 'php'
+    WHEN e IN ('scala', 'sc') THEN 'scala' WHEN e IN ('cpp', 'cc', 'cxx', 'hpp', 'hh', 'hxx') THEN 'cpp' WHEN e IN ('c', 'h') THEN 'c' WHEN e = 'swift' THEN 'swift' WHEN e = 'dart' THEN 'dart'
+    WHEN e IN ('m', 'mm') THEN 'objc' WHEN e IN ('json', 'jsonc') THEN 'json' WHEN e IN ('yml', 'yaml') THEN 'yaml' WHEN e = 'toml' THEN 'toml' WHEN e IN ('xml', 'xsd', 'xsl') THEN 'xml'
+    WHEN e IN ('md', 'markdown', 'mdx') THEN 'markdown' ELSE 'unknown' END"""
+_MANY_ENDINGS = "'go', 'tsx', 'cjs', 'JS', 'rs', 'pyi', 'kts', 'rake', 'gemspec', 'phtml', 'php8', 'sc', 'cxx', 'hh', 'h', 'mm', 'jsonc', 'yml', 'toml', 'xsd', 'mdx', 'scala', 'swift', 'dart', 'cs', 'java', 'exe', ''"
 
 
-@query(f"SELECT {_EXT_SQL} AS language, count(DISTINCT path) AS n FROM nodes GROUP BY ALL", ("nodes",))
+@query(
+    rf"""WITH p AS (SELECT DISTINCT path FROM nodes UNION SELECT p_name || '.' || ([{_MANY_ENDINGS}])[CAST(p_partkey % 28 + 1 AS INT)] FROM part)
+    SELECT {_EXT_SQL} AS language, count(*) AS n FROM (SELECT lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS e FROM p) GROUP BY ALL""",
+    ("nodes",),
+)
 def language_by_extension(spark, d):
-    return Graph(spark, d).nodes.select("path").distinct().groupBy(scores.language_of(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    g = Graph(spark, d)
+    ending = F.expr(f"element_at(array({_MANY_ENDINGS}), cast(p_partkey % 28 + 1 AS int))")
+    paths = g.nodes.select("path").union(g.table("part").select(F.concat("p_name", F.lit("."), ending))).distinct()
+    return paths.groupBy(scores.language_of(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_PLACES = "CASE id % 11 WHEN 0 THEN 'node_modules/' || path WHEN 1 THEN 'a/dist/' || path WHEN 2 THEN '.vscode-test/' || path WHEN 3 THEN 'x/.git/' || path WHEN 4 THEN 'distant/' || path WHEN 5 THEN 'a/target' WHEN 6 THEN '.claude/b' WHEN 7 THEN 'build/' || path ELSE path END"
 
 
-@query("WITH p AS (SELECT DISTINCT CASE WHEN id % 5 = 0 THEN 'node_modules/' || path WHEN id % 7 = 0 THEN 'a/dist/' || path ELSE path END AS path FROM nodes) SELECT path FROM p WHERE len(list_intersect(string_split(path, '/'), ['node_modules', 'target', 'dist', 'build', 'vendor', '.git', '.venv', '__pycache__'])) = 0", ("nodes",))
+@query(f"WITH p AS (SELECT DISTINCT {_PLACES} AS path FROM nodes) SELECT path FROM p WHERE len(list_intersect(string_split(path, '/'), ['.claude', '.git', 'target', 'node_modules', 'dist', '.next', '.vscode', '.vscode-test'])) = 0", ("nodes",))
 def source_walk(spark, d):
-    p = Graph(spark, d).nodes.select(F.expr("CASE WHEN id % 5 = 0 THEN 'node_modules/' || path WHEN id % 7 = 0 THEN 'a/dist/' || path ELSE path END").alias("path")).distinct()
-    return p.where(~scores.is_skipped(F.col("path")))
+    return Graph(spark, d).nodes.select(F.expr(_PLACES).alias("path")).distinct().where(~scores.is_skipped(F.col("path")))
 
 
 _O = "SELECT o_orderkey AS id, (o_custkey % 100) / CAST(100 AS DOUBLE) AS score, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 50) / CAST(50 AS DOUBLE) END AS rr, o_orderkey % 4 = 0 AS is_primary, CASE o_orderstatus WHEN 'F' THEN 'strong' WHEN 'O' THEN 'weak' ELSE 'none' END AS confidence FROM orders"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.functions import identifiers as I
 from skein.operators import filters, ranking, traverse
 from skein.schemas import EDGE_WEIGHTS
-from skein.sources.storage import counted
+from skein.sources.storage import counted, written
 
 
 def similar_tokens(words: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
@@ -20,11 +20,11 @@ def similar_tokens(words: DataFrame, vocabulary: DataFrame, least: float) -> Dat
     return both.select("q", "token", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("sim")).where(F.col("sim") >= least)
 
 
-def corrections(words: DataFrame, vocabulary: DataFrame, least: float = 0.7) -> DataFrame:
-    """(q, token, sim, n): each word's nearest token and how many are near enough; n above one is an ambiguity."""
-    s = similar_tokens(words, vocabulary, least)
-    w = W.partitionBy("q")
-    return s.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("sim"), "token"))).where("k = 1").drop("k")
+def corrections(words: DataFrame, vocabulary: DataFrame, least: float = 0.7, margin: float = 0.05) -> DataFrame:
+    """(q, token, sim): each word's nearest token; the token is null where another one is as near but for the margin, as the word is ambiguous then."""
+    w = W.partitionBy("q").orderBy(F.desc("sim"), "token")
+    s = similar_tokens(words, vocabulary, least).withColumns({"k": F.row_number().over(w), "next": F.lead("sim").over(w)})
+    return s.where("k = 1").select("q", F.when(F.col("next").isNull() | (F.col("sim") - F.col("next") >= margin), F.col("token")).alias("token"), "sim")
 
 
 def with_synonyms(words: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
@@ -101,7 +101,7 @@ def content_tokens(query: str) -> list[str]:
 def fuzzy_search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """(id, signature, score): words, trigrams and exact names fused by rank; filters come before limits."""
     words = content_tokens(query)
-    docs = nodes.select("id", F.lit("").alias("field"), I.segments(F.col("signature")).alias("tokens"))
+    docs = nodes.select("id", F.lit("").alias("field"), I.index_tokens(F.col("signature")).alias("tokens"))
     lexical = ranking.top_ranked(ranking.bm25(docs, words).where("score > 0"), "score", limit)
     grams = [w[i : i + 3] for w in words for i in range(len(w) - 2)]
     tri = nodes.select("id", F.lit("").alias("field"), I.trigrams(F.lower("signature")).alias("tokens"))
@@ -118,11 +118,12 @@ def context(nodes: DataFrame, edges: DataFrame, query: str, budget: int, allowed
     Seeds by words of signatures, ranks by personalised PageRank over visible edges, damped by in-degree, chosen by a knapsack.
     A query without a hit gives no rows: that is an answer.
     """
+    nodes, edges = written(nodes), written(edges)
     visible = filters.visible_edges(edges, nodes, allowed)
     plain = nodes.where(~filters.is_structural_noise(F.col("path"), F.col("signature"), F.col("kind")))
     if allowed is not None:
         plain = plain.where(F.col("corpus").isin(allowed))
-    docs = plain.select("id", F.lit("").alias("field"), I.segments(F.col("signature")).alias("tokens"))
+    docs = plain.select("id", F.lit("").alias("field"), I.index_tokens(F.col("signature")).alias("tokens"))
     seeds = ranking.bm25(docs, content_tokens(query)).where("score > 0").orderBy(F.desc("score"), "id").limit(20).select("id", F.col("score").alias("weight"))
     weighted = visible.withColumn("weight", F.coalesce(*[F.when(F.col("kind") == n, F.lit(w)) for n, w in EDGE_WEIGHTS.items()], F.lit(0.3)))
     rank = traverse.personalised_pagerank(weighted, seeds)

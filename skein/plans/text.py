@@ -10,11 +10,14 @@ from skein.functions import identifiers as I
 from skein.operators import ingest, ranking
 from skein.plans.relational import NE, SEG
 
-_TOK = f"list_distinct({SEG(c='{c}')})".format
+def _tokens_sql(c):
+    """Segments of three bytes or more, and the whole in lower case where it has no white space and isn't one of them; at most 64."""
+    own = f"list_filter(list_distinct({SEG(c=c)}), lambda x: strlen(x) >= 3)"
+    return f"list_concat({own}, CASE WHEN strlen({c}) >= 3 AND NOT regexp_matches({c}, '\\s') AND NOT list_contains({own}, lower({c})) THEN [lower({c})] ELSE [] END)[1:64]"
 
 
 def _spark_tokens(n, c="signature"):
-    return n.select("id", F.lit("").alias("field"), I.segments(F.col(c)).alias("tokens"))
+    return n.select("id", F.lit("").alias("field"), I.index_tokens(F.col(c)).alias("tokens"))
 
 
 def _bm25_sql(terms, source, weights=(("", 1.0),)):
@@ -30,7 +33,7 @@ def _bm25_sql(terms, source, weights=(("", 1.0),)):
     return f"SELECT id, round(sum(s), 6) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY id"
 
 
-_METHODS = f"SELECT id, '' AS field, list_distinct({SEG(c='signature')}) AS tokens FROM nodes WHERE kind = 'method'"
+_METHODS = f"SELECT id, '' AS field, {_tokens_sql('signature')} AS tokens FROM nodes WHERE kind = 'method'"
 
 
 @query(_bm25_sql(["red", "widget"], _METHODS), ("nodes",))
@@ -38,13 +41,13 @@ def bm25(spark, d):
     return ranking.bm25(_spark_tokens(Graph(spark, d).nodes.where("kind = 'method'")), ["red", "widget"]).select("id", F.round("score", 6).alias("score"))
 
 
-_FIELDS = f"SELECT id, 'signature' AS field, list_distinct({SEG(c='signature')}) AS tokens FROM nodes WHERE kind = 'method' UNION ALL SELECT id, 'path', list_distinct({SEG(c='path')}) FROM nodes WHERE kind = 'method'"
+_FIELDS = f"SELECT id, 'signature' AS field, {_tokens_sql('signature')} AS tokens FROM nodes WHERE kind = 'method' UNION ALL SELECT id, 'path', {_tokens_sql('path')} FROM nodes WHERE kind = 'method'"
 
 
 @query(_bm25_sql(["brand", "ring", "economy"], _FIELDS, (("signature", 3.0), ("path", 1.0))), ("nodes",))
 def bm25_fields(spark, d):
     n = Graph(spark, d).nodes.where("kind = 'method'")
-    docs = n.select("id", F.lit("signature").alias("field"), I.segments(F.col("signature")).alias("tokens")).union(n.select("id", F.lit("path").alias("field"), I.segments(F.col("path")).alias("tokens")))
+    docs = n.select("id", F.lit("signature").alias("field"), I.index_tokens(F.col("signature")).alias("tokens")).union(n.select("id", F.lit("path").alias("field"), I.index_tokens(F.col("path")).alias("tokens")))
     return ranking.bm25(docs, ["brand", "ring", "economy"], {"signature": 3.0, "path": 1.0}).select("id", F.round("score", 6).alias("score"))
 
 
@@ -106,14 +109,8 @@ def degree_damping(spark, d):
     return g.nodes.select("id").join(deg, "id", "left").select("id", F.round(ranking.damped(F.col("id") % 100, F.coalesce("k", F.lit(0))), 6).alias("score"))
 
 
-@query("SELECT id, kind, band, row_number() OVER (PARTITION BY band ORDER BY k, score DESC, id) AS position FROM (SELECT *, row_number() OVER (PARTITION BY band, kind ORDER BY score DESC, id) AS k FROM (SELECT id, kind, id % 100 AS score, (id % 100) // 10 AS band FROM nodes WHERE id % 50 = 0))", ("nodes",))
+@query("SELECT id, kind, band, row_number() OVER (PARTITION BY band ORDER BY k, score DESC, id) AS position FROM (SELECT *, row_number() OVER (PARTITION BY band, kind ORDER BY score DESC, id) AS k FROM (SELECT id, kind, id % 100 AS score, (id % 100) // 10 AS band FROM nodes))", ("nodes",))
 def kind_diversity(spark, d):
-    return _diverse(Graph(spark, d).nodes.where("id % 50 = 0"))
-
-
-@query()
-def kind_diversity_whole(spark, d):
-    """kind_diversity over all nodes; the SQL of kind_diversity is of one in fifty."""
     return _diverse(Graph(spark, d).nodes)
 
 
@@ -145,42 +142,34 @@ _TRI = "list_distinct([substr({c}, i, 3) FOR i IN range(1, length({c}) - 1)])".f
 
 
 @query(
-    f"""WITH q AS (SELECT unnest(['widgte', 'brandd', 'nationn', 'housholdd', 'order_77']) AS q), v AS (SELECT DISTINCT unnest({SEG(c='signature || path')}) AS token FROM nodes WHERE kind <> 'function'),
+    f"""WITH q AS (SELECT unnest(['buildingg', 'automobilee', 'machineryy', 'housholdd', 'furnitur', 'nation']) AS q), v AS (SELECT DISTINCT unnest({SEG(c='signature || path')}) AS token FROM nodes),
     j AS (SELECT q, token, len(list_intersect({_TRI(c='q')}, {_TRI(c='token')})) / CAST(len(list_distinct(list_concat({_TRI(c='q')}, {_TRI(c='token')}))) AS DOUBLE) AS sim FROM q, v WHERE length(token) >= 4),
-    r AS (SELECT *, count(*) OVER (PARTITION BY q) AS n, row_number() OVER (PARTITION BY q ORDER BY sim DESC, token) AS k FROM j WHERE sim >= 0.4) SELECT q, token, round(sim, 6) AS sim, CAST(n AS BIGINT) AS n FROM r WHERE k = 1""",
+    r AS (SELECT *, count(*) OVER (PARTITION BY q) AS n, row_number() OVER (PARTITION BY q ORDER BY sim DESC, token) AS k FROM j WHERE sim >= 0.7), a AS (SELECT q, token, sim, max(CASE WHEN k = 2 THEN sim END) OVER (PARTITION BY q) AS next, k FROM r)
+    SELECT q, CASE WHEN next IS NULL OR sim - next >= 0.05 THEN token END AS token, round(sim, 6) AS sim FROM a WHERE k = 1""",
     ("nodes",),
 )
 def typo_correct(spark, d):
-    return _corrected(spark, Graph(spark, d).nodes.where("kind <> 'function'"))
+    return _corrected(spark, Graph(spark, d).nodes)
 
 
-@query()
-def typo_correct_whole(spark, d):
-    """typo_correct with the vocabulary of all nodes; the SQL of typo_correct leaves out functions."""
-    return _corrected(spark, Graph(spark, d).nodes)
+_TYPOS = ("buildingg", "automobilee", "machineryy", "housholdd", "furnitur", "nation")
 
 
 def _corrected(spark, n):
     from skein.plans.retrieval import corrections
 
     vocab = n.select(F.explode(I.segments(F.concat("signature", "path"))).alias("token")).distinct()
-    words = spark.createDataFrame([(x,) for x in ("widgte", "brandd", "nationn", "housholdd", "order_77")], "q string")
-    return corrections(words, vocab, 0.4).select("q", "token", F.round("sim", 6).alias("sim"), "n")
+    words = spark.createDataFrame([(x,) for x in _TYPOS], "q string")
+    return corrections(words, vocab).select("q", "token", F.round("sim", 6).alias("sim"))
 
 
 @query(
-    f"""WITH q AS (SELECT unnest(['widget', 'brand', 'building']) AS q), v AS (SELECT DISTINCT unnest({SEG(c='signature || path')}) AS token FROM nodes WHERE kind <> 'function'),
+    f"""WITH q AS (SELECT unnest(['widget', 'brand', 'building']) AS q), v AS (SELECT DISTINCT unnest({SEG(c='signature || path')}) AS token FROM nodes),
     j AS (SELECT q, token, len(list_intersect({_TRI(c='q')}, {_TRI(c='token')})) / CAST(len(list_distinct(list_concat({_TRI(c='q')}, {_TRI(c='token')}))) AS DOUBLE) AS sim FROM q, v WHERE length(token) >= 4)
-    SELECT q, token FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, token) AS k FROM j WHERE sim >= 0.2) WHERE k <= 16""",
+    SELECT q, token FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, token) AS k FROM j WHERE sim >= 0.4) WHERE k <= 16""",
     ("nodes",),
 )
 def vocab_expand(spark, d):
-    return _expanded(spark, Graph(spark, d).nodes.where("kind <> 'function'"))
-
-
-@query()
-def vocab_expand_whole(spark, d):
-    """vocab_expand with the vocabulary of all nodes; the SQL of vocab_expand leaves out functions."""
     return _expanded(spark, Graph(spark, d).nodes)
 
 
@@ -189,7 +178,7 @@ def _expanded(spark, n):
 
     vocab = n.select(F.explode(I.segments(F.concat("signature", "path"))).alias("token")).distinct()
     words = spark.createDataFrame([(x,) for x in ("widget", "brand", "building")], "q string")
-    s = similar_tokens(words, vocab, 0.2).withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "token")))
+    s = similar_tokens(words, vocab, 0.4).withColumn("k", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "token")))
     return s.where("k <= 16").select("q", "token")
 
 
@@ -331,16 +320,10 @@ def file_hash_delta(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rid FROM lineitem WHERE l_orderkey % 50 = 0)
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rid FROM lineitem)
     SELECT 'order_' || CAST(l_orderkey AS VARCHAR) || '.ts' AS path, l_linenumber AS line, 'part_' || CAST(l_partkey AS VARCHAR) AS symbol FROM r"""
 )
 def lsif_occurrences(spark, d):
-    return _occurrences(spark, Graph(spark, d).table("lineitem").where("l_orderkey % 50 = 0"))
-
-
-@query()
-def lsif_occurrences_whole(spark, d):
-    """lsif_occurrences over all of lineitem; the SQL of lsif_occurrences is of one order in fifty."""
     return _occurrences(spark, Graph(spark, d).table("lineitem"))
 
 

@@ -26,25 +26,25 @@ def rows(spark, name):
     return Counter(tuple(r) for r in QUERIES[name](spark, DATA).collect())
 
 
-def test_in_edges_whole(spark, g, nodes):
+def test_in_edges(spark, g, nodes):
     methods = {n["id"] for n in nodes if n["kind"] == "method"}
-    assert rows(spark, "in_edges_whole") == Counter((e["src"], e["dst"], e["kind"]) for e in g.edges.collect() if e["dst"] in methods)
+    assert rows(spark, "in_edges") == Counter((e["src"], e["dst"], e["kind"]) for e in g.edges.collect() if e["dst"] in methods)
 
 
-def test_node_scan_whole(spark, nodes):
-    assert rows(spark, "node_scan_whole") == Counter((n["id"], n["signature"]) for n in nodes) and len(nodes) > 500
+def test_node_scan(spark, nodes):
+    assert rows(spark, "node_scan") == Counter((n["id"], n["signature"]) for n in nodes) and len(nodes) > 500
 
 
-def test_sanitize_text_whole(spark, g):
+def test_sanitize_text(spark, g):
     clean = lambda s: "".join(c for c in s if c in "\t\n\r" or not (ord(c) < 32 or 127 <= ord(c) < 160 or c in "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069")).replace("<", "&lt;").replace(">", "&gt;")
-    assert rows(spark, "sanitize_text_whole") == Counter((p["page_id"], clean(p["html"])) for p in g.table("pages").collect())
+    assert rows(spark, "sanitize_text") == Counter((p["page_id"], clean(p["html"])) for p in g.table("pages").collect())
     odd = "".join(map(chr, (*range(1, 0x110), *range(0x2020, 0x2070), 0x1F600)))
     assert spark.createDataFrame([(odd,)], "c string").select(sanitize(relational.F.col("c"))).first()[0] == clean(odd)
 
 
-def test_lsif_occurrences_whole(spark, g):
+def test_lsif_occurrences(spark, g):
     want = Counter((f"order_{r['l_orderkey']}.ts", r["l_linenumber"], f"part_{r['l_partkey']}") for r in g.table("lineitem").collect())
-    assert rows(spark, "lsif_occurrences_whole") == want
+    assert rows(spark, "lsif_occurrences") == want
 
 
 def test_python_symbols_of_all_parts(spark, g):
@@ -52,17 +52,17 @@ def test_python_symbols_of_all_parts(spark, g):
     assert sorted(r["path"] for r in found) == sorted(f"p{r['p_partkey']}.py" for r in g.table("part").collect())
 
 
-def test_kind_diversity_whole(spark, nodes):
+def test_kind_diversity(spark, nodes):
     bands, want = defaultdict(lambda: defaultdict(list)), []
     for n in nodes:
         bands[n["id"] % 100 // 10][n["kind"]].append((-(n["id"] % 100), n["id"]))
     for band, kinds in bands.items():
         order = sorted((k, score, id_, kind) for kind, own in kinds.items() for k, (score, id_) in enumerate(sorted(own)))
         want += [(id_, kind, band, i) for i, (_, _, id_, kind) in enumerate(order, 1)]
-    assert rows(spark, "kind_diversity_whole") == Counter(want)
+    assert rows(spark, "kind_diversity") == Counter(want)
 
 
-def test_edit_overlap_whole(spark, g, nodes):
+def test_edit_overlap(spark, g, nodes):
     spans, path_of, want = defaultdict(list), {n["id"]: n["path"] for n in nodes}, []
     for n in nodes:
         if n["line"] is not None:
@@ -72,10 +72,10 @@ def test_edit_overlap_whole(spark, g, nodes):
         a, b = key % 1900 + 2, key % 1900 + 8
         hit = [s for s in spans[path_of[60000000000 + key]] if s[1] <= b and s[2] >= a]
         want += [(key, i) for i, x, y in hit if not any(j != i and u >= x and v <= y and v - u < y - x for j, u, v in hit)]
-    assert rows(spark, "edit_overlap_whole") == Counter(want)
+    assert rows(spark, "edit_overlap") == Counter(want)
 
 
-def test_unify_ladder_whole(spark, nodes):
+def test_unify_ladder(spark, nodes):
     leaf = lambda s: s.split(":", 1)[-1].split(".")[-1]
     here, there, want = defaultdict(list), defaultdict(list), []
     for n in nodes:
@@ -88,7 +88,7 @@ def test_unify_ladder_whole(spark, nodes):
             one = here.get((name, n["path"] if n["id"] % 3 == 0 else "moved/" + n["path"]))
             two = there.get((name, n["language"]), [])
             want.append((n["id"], min(one), "same-file") if one else (n["id"], two[0], "unique") if len(two) == 1 else (n["id"], None, "missed"))
-    assert rows(spark, "unify_ladder_whole") == Counter(want)
+    assert rows(spark, "unify_ladder") == Counter(want)
 
 
 def near(g, word, least):
@@ -99,17 +99,18 @@ def near(g, word, least):
     return sorted((-s, t) for s, t in sims if s >= least)
 
 
-def test_typo_correct_whole(spark, g):
+def test_typo_correct(spark, g):
     want = []
-    for q in ("widgte", "brandd", "nationn", "housholdd", "order_77"):
-        if best := near(g, q, 0.4):
-            want.append((q, best[0][1], round(-best[0][0], 6), len(best)))
-    assert rows(spark, "typo_correct_whole") == Counter(want)
+    for q in text._TYPOS:
+        if best := near(g, q, 0.7):
+            alone = len(best) == 1 or best[1][0] - best[0][0] >= 0.05
+            want.append((q, best[0][1] if alone else None, round(-best[0][0], 6)))
+    assert rows(spark, "typo_correct") == Counter(want)
 
 
-def test_vocab_expand_whole(spark, g):
-    want = [(q, t) for q in ("widget", "brand", "building") for _, t in near(g, q, 0.2)[:16]]
-    assert rows(spark, "vocab_expand_whole") == Counter(want)
+def test_vocab_expand(spark, g):
+    want = [(q, t) for q in ("widget", "brand", "building") for _, t in near(g, q, 0.4)[:16]]
+    assert rows(spark, "vocab_expand") == Counter(want)
 
 
 def test_context_ranks_at_full_depth(spark, monkeypatch):
@@ -123,7 +124,7 @@ def test_context_ranks_at_full_depth(spark, monkeypatch):
     assert {r["id"] for r in retrieval.context(nodes, chain, "charge", 500).collect()} == set(range(1, 8)) and seen == [{}]
 
 
-def test_ppr_rbac_whole(spark, g, nodes):
+def test_ppr_rbac(spark, g, nodes):
     corpus = {n["id"]: n["corpus"] for n in nodes}
     out, p = defaultdict(list), {n["id"] for n in nodes if n["kind"] == "file" and n["corpus"] == "asia"}
     for e in graph.weighted(g.edges).collect():
@@ -146,7 +147,7 @@ def test_ppr_rbac_whole(spark, g, nodes):
         rank = now
         if change < 1e-6:
             break
-    found = {r["id"]: r["score"] for r in QUERIES["ppr_rbac_whole"](spark, DATA).collect()}
+    found = {r["id"]: r["score"] for r in QUERIES["ppr_rbac"](spark, DATA).collect()}
     assert set(found) == set(rank) and all(abs(found[i] - x) < 1e-9 for i, x in rank.items())
 
 
