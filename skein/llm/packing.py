@@ -107,12 +107,13 @@ def _name(source):
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool) -> DataFrame:
-    """doc_id, source, ids (flat unsigned 32-bit, squeezed), n, task, start in the task's part of the source."""
+    """doc_id, source, ids (flat unsigned 16-bit where all ids of the tokenizer fit, else 32-bit), n, task, start in the task's part of the source."""
 
     def encode(batches):
         from pyspark import TaskContext
 
         task, enc, starts = TaskContext.get().partitionId(), encoder(tokenizer, keep_space), {}
+        narrow = max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             for i in range(0, len(pdf), BATCH):
@@ -123,7 +124,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, keep_space: bool) ->
                 for source, k in zip(own["source"], n):
                     start.append(starts.get(source, 0))
                     starts[source] = start[-1] + k
-                yield pd.DataFrame({"doc_id": own["doc_id"], "source": own["source"], "ids": [C.squeeze(np.frombuffer(b, "<u4")) for b in ids], "n": n, "task": task, "start": start})
+                yield pd.DataFrame({"doc_id": own["doc_id"], "source": own["source"], "ids": [np.frombuffer(b, "<u4").astype("<u2").tobytes() for b in ids] if narrow else ids, "n": n, "task": task, "start": start})
 
     plain = docs.select(C.hidden(), F.coalesce("text", F.lit("")).alias("text"), _name(F.col("source")).alias("source"))
     return C.written(plain.mapInPandas(encode, "doc_id long, source string, ids binary, n long, task int, start long"))
@@ -152,17 +153,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, k
     queues = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "source string, queue int")
     placed_parts = parts.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
     bases = placed_parts.select("source", "task", "queue", (F.sum("n").over(W.partitionBy("queue").orderBy("source", "task")) - F.col("n")).alias("base"))
-    placed = encoded.join(C.checked(bases, parts.count()), ["source", "task"]).select("doc_id", "queue", "ids", (F.col("start") + F.col("base")).alias("at"))
+    placed = encoded.join(C.checked(bases, parts.count()), ["source", "task"]).select("doc_id", "queue", "ids", "n", (F.col("start") + F.col("base")).alias("at"))
 
     def cut(batches):
         for pdf in batches:
             for i in range(0, len(pdf), BATCH):
-                own, rows = pdf.iloc[i : i + BATCH], []
-                for doc, queue, packed, at in zip(own["doc_id"], own["queue"], own["ids"], own["at"]):
-                    ids = C.unsqueeze(packed, "<u4")
+                own, rows, kept = pdf.iloc[i : i + BATCH], [], []
+                for doc, queue, packed, total, at in zip(own["doc_id"], own["queue"], own["ids"], own["n"], own["at"]):
+                    ids = np.frombuffer(packed, "<u2" if len(packed) == 2 * total else "<u4").astype("<u4")
                     raw = memoryview(ids.tobytes())
-                    for window, offset, start, n in schedule.cuts(int(queue), int(at), len(ids)):
-                        rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(ids), window, offset, queue, *([ids[start : start + n]] if keep_ids else [])))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * keep_ids)
+                    for window, offset, start, n in schedule.cuts(queue, at, total):
+                        rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), total, window, offset, queue))
+                        if keep_ids:
+                            kept.append(ids[start : start + n])
+                out = pd.DataFrame({x.split()[0]: np.array(c, np.int64) for x, c in zip(_PIECES.split(", "), zip(*rows))}).astype({"queue": np.int32})
+                yield out.assign(ids=kept) if keep_ids else out
 
     return C.shown(placed.mapInPandas(cut, _PIECES + ", ids array<long>" * keep_ids))

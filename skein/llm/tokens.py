@@ -22,10 +22,9 @@ PIECES = 700_000
 #: Unknown pieces encoded at once, and the longest piece that is kept.
 BATCH, LONGEST = 4096, 256
 
-_whole = re.compile(r"[\x1c-\x1f\x00]")
-#: White space other than the space and the line feed, and the characters of _whole: one scan tells that a text has none.
+_WHOLE = "\x00\x1c\x1d\x1e\x1f"
+#: White space other than the space and the line feed, and those of _WHOLE: one scan tells that a text has none.
 _odd = re.compile(r"[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_wide = re.compile(r"[^\x00-\xff]")
 _piece = re.compile(r"\s*\S+|\s+")
 #: A word of Latin letters and the punctuation after it: pre-tokenizers always part them.
 _word, _MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?;:*#$%&|"
@@ -81,12 +80,14 @@ class PieceEncoder:
         self.known.clear()
 
     def keys(self, text: str) -> list[str]:
-        odd = _odd.search(text) is not None
-        if odd and _whole.search(text):
-            return ["\0" + text]
         if not self.keep_space:
+            if any(c in text for c in _WHOLE):
+                return ["\0" + text]
             # A tokenizer of this kind lowers case; up to U+00FF, text may be lowered at once.
-            return (text if _wide.search(text) else text.lower()).split()
+            return (text.lower() if text.isascii() or len(text.encode("latin-1", "ignore")) == len(text) else text).split()
+        odd = _odd.search(text) is not None
+        if odd and any(c in text for c in _WHOLE):
+            return ["\0" + text]
         if odd or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace():
             return ["\0" + p for p in _piece.findall(text)]
         out: list[str] = []
