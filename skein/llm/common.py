@@ -21,17 +21,18 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's word-to-hash table before it is emptied.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Rows and bytes of text of a block of documents; a longer text is a block of its own.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 #: Entries that one key range should hold, so that a range fits a task's memory at any input size.
-RANGE_ENTRIES = 1_500_000
+RANGE_ENTRIES = 500_000
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Bytes handed to Python at once; a single row may be larger.
@@ -45,6 +46,7 @@ _shipped: set[str] = set()
 
 def _give_back() -> None:
     """Lets workers, which live on from stage to stage, give the memory of large arrays back when they are freed. Without this C library there is nothing to set."""
+    pa.set_memory_pool(pa.system_memory_pool())
     libc = ctypes.util.find_library("c")
     mallopt = getattr(ctypes.CDLL(libc), "mallopt", None) if libc else None
     if mallopt is not None:
