@@ -97,6 +97,32 @@ def stem(c: Column) -> Column:
     return F.when(c.rlike("^[A-Za-z]{5,}$") & (F.length(cut) >= 4), cut)
 
 
+def stem_with_e(c: Column) -> Column:
+    """The stem and an e, where the stem is the word without a whole es, ed or ing (cached: cache); null elsewhere."""
+    low, own = F.lower(c), stem(c)
+    whole = (low == F.concat(own, F.lit("es"))) | (low == F.concat(own, F.lit("ed"))) | (low == F.concat(own, F.lit("ing")))
+    return F.when(whole, F.concat(own, F.lit("e")))
+
+
+def canonical_corpus(url: Column) -> Column:
+    """host/org/repo of a remote's address, in small letters; local/name where it has no path."""
+    s = F.trim(url)
+    tidy = lambda p: F.regexp_replace(F.regexp_replace(F.lower(p), "/+$", ""), r"(\.git)+$", "")
+    scp = F.regexp_extract(s, "^git@([^:]*):", 1)
+    rest = F.regexp_replace(F.regexp_replace(s, "^(?s:.*?)://", ""), "^[^@]*@", "")
+    host = F.lower(F.regexp_extract(rest, "^([^/:]*)[^/]*/", 1))
+    return (
+        F.when(s.rlike("^git@[^:]*:"), F.concat(F.lower(scp), F.lit("/"), tidy(F.regexp_replace(s, "^git@[^:]*:", ""))))
+        .when(rest.contains("/"), F.concat(host, F.lit("/"), tidy(F.regexp_replace(rest, "^[^/]*/", ""))))
+        .otherwise(local_corpus(s))
+    )
+
+
+def local_corpus(name: Column) -> Column:
+    """local/name, with a dash for what is neither letter, digit, dash nor underscore."""
+    return F.concat(F.lit("local/"), F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "-")))
+
+
 def package_key(path: Column) -> Column:
     """A path's first folder; files at the top are (root); odd paths have none."""
     odd = path.startswith("..") | path.startswith("/") | path.contains("://")

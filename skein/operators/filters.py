@@ -24,6 +24,12 @@ def is_structural_noise(path: Column, signature: Column, kind: Column) -> Column
     return is_noise(path, signature) | kind.isin("doc-chunk", "crate") | signature.startswith("scip:") | path.rlike(STRUCTURAL)
 
 
+def is_anchor_noise(path: Column, signature: Column, kind: Column, test_role: Column) -> Column:
+    """What may not anchor a query: structural noise, packages of build workflows, and tests among the sources."""
+    workflow = signature.startswith("pkg:") & path.rlike(r"(^|/)\.(github|gitlab|circleci|buildkite)/")
+    return is_structural_noise(path, signature, kind) | workflow | (F.coalesce(test_role, F.lit(0)) > 0)
+
+
 def visible_edges(edges: DataFrame, nodes: DataFrame, allowed: list[str] | None) -> DataFrame:
     """Edges whose target lies in an allowed corpus; an unknown corpus is denied; None allows all. Denied targets never enter a traversal."""
     if allowed is None:

@@ -93,6 +93,20 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.select("call_id").join(only, "call_id", "left").select("call_id", F.when(F.col("n") == 1, F.col("target")).alias("target"))
 
 
+#: Kinds of node that a live edge of each kind may point at; other kinds of edge are refused.
+DEFINITIONS = ("function", "method", "class", "type")
+LIVE_TARGETS = {"ref/call": DEFINITIONS, "ref/field": ("field",), "is-implementation": ("interface", "trait", "class", "struct", "protocol")}
+
+
+def sound(candidates: DataFrame, nodes: DataFrame, targets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Candidate edges (src, dst, kind) that may be written: between two different known nodes of one corpus, to a kind of node that the kind of edge allows."""
+    allowed = F.lit(False)
+    for kind, own in (LIVE_TARGETS if targets is None else targets).items():
+        allowed = allowed | ((F.col("kind") == kind) & F.col("_kind").isin(*own))
+    s, t = nodes.select(F.col("id").alias("src"), F.col("corpus").alias("_a")), nodes.select(F.col("id").alias("dst"), F.col("corpus").alias("_b"), F.col("kind").alias("_kind"))
+    return candidates.where("src <> dst").join(s, "src").join(t, "dst").where(F.col("_a") == F.col("_b")).where(allowed).select(*candidates.columns)
+
+
 def unify(foreign: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ladder of symbol unification: (sym_id, node_id, rung). Same file and leaf; else the only node of that leaf in the language; else missed."""
     from skein.functions.identifiers import leaf_of

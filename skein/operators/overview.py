@@ -34,7 +34,21 @@ def component_dependencies(nodes: DataFrame, edges: DataFrame, by: str) -> DataF
     return edges.join(s, "src").join(t, "dst").where("component <> target").groupBy("component", "target").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def rule_violations(pairs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(component, target) dependencies that a component's allow list (component, allowed) doesn't name; components without a list are free."""
-    bound = pairs.join(rules.select("component").distinct(), "component", "left_semi")
-    return bound.join(rules.select("component", F.col("allowed").alias("target")), ["component", "target"], "left_anti").select("component", "target")
+def rule_violations(pairs: DataFrame, known: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, violation, component, target) of rules (rule, components, may_depend_on, may_be_used_by, acyclic) over dependencies (component, target) between known components (component).
+
+    'dependency': a component of the rule depends on one that may_depend_on, unless null, doesn't name. 'user': one that may_be_used_by,
+    unless null, doesn't name depends on it. 'cycle': a dependency that closes a cycle, where acyclic. 'unknown': the rule is about a
+    component that doesn't exist. A component may depend on itself.
+    """
+    from skein.operators.traverse import closure
+
+    p = pairs.select("component", "target").where("component <> target").distinct()
+    about = rules.select("rule", "may_depend_on", "may_be_used_by", F.explode("components").alias("of")).distinct()
+    row = lambda what, df: df.select("rule", F.lit(what).alias("violation"), "component", "target")
+    out = about.where("may_depend_on IS NOT NULL").join(p, F.col("of") == F.col("component")).where(~F.array_contains("may_depend_on", F.col("target")))
+    into = about.where("may_be_used_by IS NOT NULL").join(p, F.col("of") == F.col("target")).where(~F.array_contains("may_be_used_by", F.col("component")))
+    lost = about.join(known.select(F.col("component").alias("of")).distinct(), "of", "left_anti").withColumns({"component": F.col("of"), "target": F.lit(None).cast("string")})
+    back = closure(p.select(F.col("component").alias("src"), F.col("target").alias("dst"))).select(F.col("dst").alias("component"), F.col("src").alias("target"))
+    closing = rules.where("acyclic").select("rule").distinct().join(p.join(back, ["component", "target"], "left_semi"))
+    return row("dependency", out).unionByName(row("user", into)).unionByName(row("cycle", closing)).unionByName(row("unknown", lost)).distinct()

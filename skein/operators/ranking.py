@@ -74,6 +74,13 @@ def retrieval_metrics(ranked: DataFrame) -> DataFrame:
     return f.agg(F.count(F.lit(1)).alias("n"), hit(1), hit(3), hit(10), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def abstain_accuracy(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row of n, abstained, accuracy from queries (query_id, answerable) and their results (query_id, ...): right are no results where there is no answer and some where there is one."""
+    j = queries.join(ranked.select("query_id").distinct().withColumn("_some", F.lit(True)), "query_id", "left")
+    some = F.col("_some").isNotNull()
+    return j.agg(F.count(F.lit(1)).alias("n"), F.sum((~some).cast("long")).alias("abstained"), F.round(F.avg((some == F.col("answerable")).cast("double")), 6).alias("accuracy"))
+
+
 def choose(costs: list[int], scores: list[float], budget: int) -> list[int]:
     """Positions chosen by a 0-1 knapsack: exact while the table is small, else by ratio, items that don't fit skipped."""
     n = len(costs)

@@ -267,47 +267,63 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             return bound
 
 
-def cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """(id) of nodes on a cycle of at most so many edges. For graphs of components, which are small."""
-    e = written(edges.select("src", "dst").distinct())
-    reach, on = e, None
-    for _ in range(depth):
-        hit = reach.where("src = dst").select(F.col("src").alias("id"))
-        on = hit if on is None else on.union(hit)
-        step = reach.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        more = written(reach.union(step).distinct())
-        if more.count() == reach.count():
-            break
-        reach = more
-    return on.distinct()
-
-
-def layers(edges: DataFrame, rounds: int) -> DataFrame:
-    """(id, layer): the length of the longest path of at most so many edges that leaves a node; 0: it depends on none."""
-    e = written(edges.select("src", "dst").distinct())
-    level = written(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct().withColumn("layer", F.lit(0)))
-    for k in range(1, rounds + 1):
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst): all pairs that a path of one edge or more joins, by rounds that double its length. For graphs of components, which are small."""
+    reach = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    size = reach.count()
+    while True:
+        step = reach.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        reach = written(reach.union(step).distinct())
+        now = reach.count()
+        if now == size:
+            return reach
+        size = now
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id) of nodes on a cycle of any length. For graphs of components, which are small."""
+    return closure(edges).where("src = dst").select(F.col("src").alias("id"))
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(id, layer): the length of the longest path that leaves a node; 0: it depends on none. Nodes on a common cycle are one node."""
+    e = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+    reach = closure(e)
+    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_m"))
+    home = written(ids.join(mutual, "id", "left").select("id", F.least("id", F.coalesce("_m", "id")).alias("home")))
+    one = e.join(home.select(F.col("id").alias("src"), F.col("home").alias("a")), "src").join(home.select(F.col("id").alias("dst"), F.col("home").alias("b")), "dst")
+    e = written(one.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    level = written(home.select(F.col("home").alias("id")).distinct().withColumn("layer", F.lit(0)))
+    for k in count(1):
         up = e.join(level.where(F.col("layer") == k - 1).select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().withColumn("up", F.lit(k))
-        now = written(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
-        if now.where(F.col("layer") == k).isEmpty():
-            return now
-        level = now
-    return level
+        level = written(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
+        if level.where(F.col("layer") == k).isEmpty():
+            return home.join(level.withColumnRenamed("id", "home"), "home").select("id", "layer")
 
 
-def call_spine(edges: DataFrame, seed: DataFrame, depth: int = 4, width: int = 6) -> DataFrame:
-    """(depth, src, dst): at each depth the first `width` calls of each caller, by callee, to nodes not yet met."""
+def call_spine(edges: DataFrame, homes: DataFrame, seed: DataFrame, depth: int = 4, width: int = 6) -> DataFrame:
+    """(depth, src, dst, side) around an entry point, with the component of each node from homes (id, component).
+
+    side 'call': at each depth the first `width` calls of each caller, by callee, within its component and to nodes not yet met; these are
+    followed. 'boundary': all calls into another component; shown, not followed. 'in', at depth 0: all calls of the seed from elsewhere.
+    """
     from pyspark.sql import Window as W
 
-    e = edges.select("src", "dst").distinct()
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    a, b = homes.select(F.col("id").alias("src"), F.col("component").alias("_a")), homes.select(F.col("id").alias("dst"), F.col("component").alias("_b"))
     seen = frontier = written(seed.select("id").distinct())
-    out = None
+    out = e.join(seen.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.lit(0).alias("depth"), "src", "dst", F.lit("in").alias("side"))
     for hop in range(1, depth + 1):
-        met = frontier.select(F.col("id").alias("src")).join(e, "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
-        kept = written(met.withColumn("_n", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= width).select(F.lit(hop).alias("depth"), "src", "dst"))
-        if kept.isEmpty():
+        met = frontier.select(F.col("id").alias("src")).join(e, "src").join(a, "src", "left").join(b, "dst", "left").withColumn("_out", ~F.col("_a").eqNullSafe(F.col("_b")))
+        inner = met.where("NOT _out").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        first = inner.withColumn("_n", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= width)
+        kept = first.select(F.lit(hop).alias("depth"), "src", "dst", F.lit("call").alias("side"))
+        shown = written(kept.unionByName(met.where("_out").select(F.lit(hop).alias("depth"), "src", "dst", F.lit("boundary").alias("side"))))
+        out = out.unionByName(shown)
+        frontier = written(shown.where("side = 'call'").select(F.col("dst").alias("id")).distinct())
+        if frontier.isEmpty():
             break
-        out = kept if out is None else out.unionByName(kept)
-        frontier = written(kept.select(F.col("dst").alias("id")).distinct())
         seen = seen.union(frontier)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.catalog import Graph, query
-from skein.operators import filters, overview, traverse
+from skein.operators import filters, overview, seeding, traverse
 from skein.plans.relational import NE
 from skein.schemas import EDGE_WEIGHTS
 
@@ -168,58 +168,98 @@ def anchor_neighbourhood(spark, d):
 _COMPONENTS = "c AS MATERIALIZED (SELECT DISTINCT s.corpus AS src, t.corpus AS dst FROM edges e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id WHERE s.corpus <> t.corpus)"
 
 
-@query(f"WITH {_COMPONENTS}, r1 AS (SELECT src, dst FROM c), r2 AS (SELECT src, dst FROM r1 UNION SELECT r1.src, c.dst FROM r1 JOIN c ON r1.dst = c.src), r3 AS (SELECT src, dst FROM r2 UNION SELECT r2.src, c.dst FROM r2 JOIN c ON r2.dst = c.src), r4 AS (SELECT src, dst FROM r3 UNION SELECT r3.src, c.dst FROM r3 JOIN c ON r3.dst = c.src) SELECT DISTINCT src AS id FROM r4 WHERE src = dst", NE)
+@query(f"WITH {_COMPONENTS}, t AS (SELECT src, dst FROM c UNION SELECT t.src, c.dst FROM t JOIN c ON t.dst = c.src) SELECT DISTINCT src AS id FROM t WHERE src = dst", NE)
 def cycles(spark, d):
-    g = Graph(spark, d)
-    return traverse.cycles(overview.component_dependencies(g.nodes, weighted(g.edges), "corpus").select(F.col("component").alias("src"), F.col("target").alias("dst")), 4)
+    return traverse.cycles(_components(Graph(spark, d)).select(F.col("component").alias("src"), F.col("target").alias("dst")))
+
+
+def _components(g):
+    return overview.component_dependencies(g.nodes, weighted(g.edges), "corpus")
 
 
-_KINDS = "k AS MATERIALIZED (SELECT DISTINCT s.kind AS src, t.kind AS dst FROM edges e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id WHERE e.kind <> 'ref/field' AND s.kind <> t.kind AND NOT (s.kind = 'class' AND t.kind = 'method'))"
+_KINDS = "k AS MATERIALIZED (SELECT DISTINCT s.kind AS src, t.kind AS dst FROM edges e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id)"
 
 
 @query(
-    f"WITH {_KINDS}, l AS (SELECT src AS id, 1 AS depth FROM k UNION SELECT k.src, l.depth + 1 FROM k JOIN l ON k.dst = l.id WHERE l.depth < 8) SELECT id, max(layer) AS layer FROM (SELECT id, depth AS layer FROM l UNION ALL SELECT src, 0 FROM k UNION ALL SELECT dst, 0 FROM k) GROUP BY id",
+    f"""WITH {_KINDS}, t AS (SELECT src, dst FROM k UNION SELECT t.src, k.dst FROM t JOIN k ON t.dst = k.src), i AS (SELECT src AS id FROM k UNION SELECT dst FROM k),
+    h AS (SELECT id, least(id, coalesce(min(b.dst), id)) AS home FROM i LEFT JOIN (SELECT x.src, x.dst FROM t x JOIN t y ON x.src = y.dst AND x.dst = y.src) b ON b.src = id GROUP BY id),
+    k2 AS (SELECT DISTINCT a.home AS src, b.home AS dst FROM k JOIN h a ON k.src = a.id JOIN h b ON k.dst = b.id WHERE a.home <> b.home),
+    l AS (SELECT src AS home, 1 AS depth FROM k2 UNION SELECT k2.src, l.depth + 1 FROM k2 JOIN l ON k2.dst = l.home)
+    SELECT id, max(coalesce(depth, 0)) AS layer FROM h LEFT JOIN l USING (home) GROUP BY id""",
     NE,
 )
 def layering(spark, d):
     g = Graph(spark, d)
     n = g.nodes
-    k = g.edges.where("kind <> 'ref/field'").select("src", "dst").join(n.select(F.col("id").alias("src"), F.col("kind").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("kind").alias("b")), "dst")
-    return traverse.layers(k.where("a <> b AND NOT (a = 'class' AND b = 'method')").select(F.col("a").alias("src"), F.col("b").alias("dst")), 8)
+    k = g.edges.select("src", "dst").join(n.select(F.col("id").alias("src"), F.col("kind").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("kind").alias("b")), "dst")
+    return traverse.layers(k.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query(f"WITH {_COMPONENTS}, a(component, allowed) AS (VALUES ('asia', 'parts'), ('europe', 'asia'), ('events', 'events'), ('parts', 'asia')) SELECT src AS component, dst AS target FROM c WHERE src IN (SELECT component FROM a) AND (src, dst) NOT IN (SELECT component, allowed FROM a)", NE)
+_RULES = [
+    ("asia keeps to itself", ["asia", "europe"], ["parts"], None, False),
+    ("nothing", ["events", "parts"], [], None, False),
+    ("one door", ["parts"], None, ["asia", "africa"], False),
+    ("no cycles", [], None, None, True),
+    ("of a component that is gone", ["atlantis"], None, ["asia"], False),
+]
+
+
+@query(
+    f"""WITH {_COMPONENTS}, t AS (SELECT src, dst FROM c UNION SELECT t.src, c.dst FROM t JOIN c ON t.dst = c.src), known AS (SELECT DISTINCT corpus FROM nodes)
+    SELECT 'asia keeps to itself' AS rule, 'dependency' AS violation, src AS component, dst AS target FROM c WHERE src IN ('asia', 'europe') AND dst <> 'parts'
+    UNION ALL SELECT 'nothing', 'dependency', src, dst FROM c WHERE src IN ('events', 'parts')
+    UNION ALL SELECT 'one door', 'user', src, dst FROM c WHERE dst = 'parts' AND src NOT IN ('asia', 'africa')
+    UNION ALL SELECT 'no cycles', 'cycle', c.src, c.dst FROM c WHERE EXISTS (SELECT 1 FROM t WHERE t.src = c.dst AND t.dst = c.src)
+    UNION ALL SELECT 'of a component that is gone', 'unknown', 'atlantis', NULL WHERE 'atlantis' NOT IN (SELECT corpus FROM known)""",
+    NE,
+)
 def invariants(spark, d):
     g = Graph(spark, d)
-    rules = spark.createDataFrame([("asia", "parts"), ("europe", "asia"), ("events", "events"), ("parts", "asia")], "component string, allowed string")
-    return overview.rule_violations(overview.component_dependencies(g.nodes, weighted(g.edges), "corpus"), rules)
+    rules = spark.createDataFrame(_RULES, "rule string, components array<string>, may_depend_on array<string>, may_be_used_by array<string>, acyclic boolean")
+    return overview.rule_violations(_components(g), g.nodes.select(F.col("corpus").alias("component")).distinct(), rules)
 
 
-def _spine_sql(seed: int, depth: int, width: int) -> str:
-    ctes, out = [f"f0 AS (SELECT CAST({seed} AS BIGINT) AS id)", "e AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges)"], []
+def _spine_sql(seed: int, depth: int, width: int, shown: str = "*") -> str:
+    ctes = [f"f0 AS (SELECT CAST({seed} AS BIGINT) AS id)", "e AS MATERIALIZED (SELECT DISTINCT src, dst, s.corpus IS DISTINCT FROM t.corpus AS away FROM edges LEFT JOIN nodes s ON s.id = src LEFT JOIN nodes t ON t.id = dst WHERE src <> dst)"]
+    out = [f"SELECT 0 AS depth, src, dst, 'in' AS side FROM e WHERE dst = {seed}"]
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT id FROM f{i}" for i in range(k))
-        ctes.append(f"m{k} AS MATERIALIZED (SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) AS n FROM f{k - 1} f JOIN e ON f.id = e.src WHERE e.dst NOT IN ({seen})) WHERE n <= {width})")
+        ctes.append(f"m{k} AS MATERIALIZED (SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) AS n FROM f{k - 1} f JOIN e ON f.id = e.src WHERE NOT away AND e.dst NOT IN ({seen})) WHERE n <= {width})")
         ctes.append(f"f{k} AS MATERIALIZED (SELECT DISTINCT dst AS id FROM m{k})")
-        out.append(f"SELECT {k} AS depth, src, dst FROM m{k}")
-    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(out)
+        out += [f"SELECT {k}, src, dst, 'call' FROM m{k}", f"SELECT {k}, e.src, e.dst, 'boundary' FROM f{k - 1} f JOIN e ON f.id = e.src WHERE away"]
+    return "WITH " + ", ".join(ctes) + ", spine AS (" + " UNION ALL ".join(out) + f") SELECT {shown} FROM spine"
 
 
-@query(_spine_sql(20000000004, 4, 6), ("edges",))
+@query(_spine_sql(20000000004, 4, 6), NE)
 def call_spine(spark, d):
-    return traverse.call_spine(Graph(spark, d).edges, spark.createDataFrame([(20000000004,)], "id long"))
+    g = Graph(spark, d)
+    return traverse.call_spine(g.edges, g.nodes.select("id", F.col("corpus").alias("component")), spark.createDataFrame([(20000000004,)], "id long"))
 
 
 @query(
-    """WITH s AS (SELECT id, CAST(1.0 AS DOUBLE) AS w FROM nodes WHERE kind = 'method' AND id % 700 = 3), a AS (SELECT e.src AS id, max(s.w * 0.35) AS w FROM edges e JOIN s ON e.dst = s.id WHERE e.src NOT IN (SELECT id FROM s) GROUP BY e.src ORDER BY e.src LIMIT 15)
-    SELECT id, round(w, 6) AS weight FROM (SELECT * FROM s UNION ALL SELECT * FROM a)""",
+    """WITH s AS (SELECT id, CAST(id % 7 + 1 AS DOUBLE) AS w FROM nodes WHERE kind = 'method' AND id % 700 = 3),
+    a AS (SELECT e.src AS id, max(s.w) * 0.35 AS w FROM edges e JOIN s ON e.dst = s.id WHERE e.src NOT IN (SELECT id FROM s) GROUP BY e.src ORDER BY 2 DESC, 1 LIMIT 15), s1 AS (SELECT * FROM s UNION ALL SELECT * FROM a),
+    b AS (SELECT e.src AS id, max(s1.w) * 0.35 AS w FROM edges e JOIN s1 ON e.dst = s1.id WHERE e.src NOT IN (SELECT id FROM s1) GROUP BY e.src ORDER BY 2 DESC, 1 LIMIT 10)
+    SELECT id, round(CAST(w AS DOUBLE), 6) AS weight FROM (SELECT * FROM s1 UNION ALL SELECT * FROM b)""",
     NE,
 )
 def caller_enrichment(spark, d):
     g = Graph(spark, d)
-    s = g.nodes.where("kind = 'method' AND id % 700 = 3").select("id", F.lit(1.0).alias("w"))
-    near = g.edges.select("src", F.col("dst").alias("id")).join(s, "id").groupBy(F.col("src").alias("id")).agg(F.max(F.col("w") * 0.35).alias("w")).join(s.select("id"), "id", "left_anti").orderBy("id").limit(15)
-    return s.unionByName(near).select("id", F.round("w", 6).alias("weight"))
+    s = g.nodes.where("kind = 'method' AND id % 700 = 3").select("id", (F.col("id") % 7 + 1).cast("double").alias("weight"))
+    return seeding.with_callers(s, g.edges).select("id", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "WITH s AS (SELECT id, CAST(id % 90 AS DOUBLE) / 100 AS cosine, kind = 'class' AND id % 97 = 5 AS exact FROM nodes WHERE id % 3 = 2 OR (kind = 'class' AND id % 97 = 5)), b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), "
+    + _reach("r", "SELECT src, dst FROM b", "SELECT id FROM s WHERE exact", 2)
+    + " SELECT id, exact, cosine FROM s WHERE exact OR cosine >= 0.85 OR id IN (SELECT id FROM r)",
+    NE,
+)
+def contamination_gate(spark, d):
+    g = Graph(spark, d)
+    exact = (F.col("kind") == "class") & (F.col("id") % 97 == 5)
+    s = g.nodes.where((F.col("id") % 3 == 2) | exact).select("id", exact.alias("exact"), ((F.col("id") % 90).cast("double") / 100).alias("cosine"))
+    return seeding.contamination_gate(s, g.edges)
 
 
 @query(
@@ -246,10 +286,24 @@ def inherited_methods(spark, d):
     return pairs.select(F.col("src").cast("int").alias("id"), F.col("dst").cast("int").alias("base"))
 
 
-@query("WITH s AS (SELECT id, id % 1000 AS score FROM nodes WHERE kind = 'class' AND id % 40 = 3), b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) SELECT id, score FROM s WHERE NOT EXISTS (SELECT 1 FROM b JOIN s t ON b.dst = t.id WHERE b.src = s.id AND (t.score > s.score OR (t.score = s.score AND t.id < s.id)))", NE)
+_SCORE = "(id * 7919) % 1009"
+
+
+def _apart_sql(rounds: int) -> str:
+    """Rounds of the greedy choice; the last one has nothing open left on the given tables."""
+    ctes = [
+        f"s AS MATERIALIZED (SELECT id, {_SCORE} AS score FROM nodes WHERE kind IN ('class', 'function', 'method') AND id % 4 = 3)",
+        "b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)",
+        "t AS MATERIALIZED (SELECT x.id AS src, y.id AS dst FROM s x JOIN b ON b.src = x.id JOIN s y ON b.dst = y.id WHERE y.score > x.score OR (y.score = x.score AND y.id < x.id))",
+        "o0 AS (SELECT id FROM s)",
+    ]
+    for k in range(1, rounds + 1):
+        ctes.append(f"w{k} AS MATERIALIZED (SELECT id FROM o{k - 1} WHERE id NOT IN (SELECT t.src FROM t JOIN o{k - 1} p ON t.dst = p.id))")
+        ctes.append(f"o{k} AS MATERIALIZED (SELECT id FROM o{k - 1} WHERE id NOT IN (SELECT id FROM w{k}) AND id NOT IN (SELECT t.src FROM t JOIN w{k} w ON t.dst = w.id))")
+    return "WITH " + ", ".join(ctes) + f" SELECT id, score FROM s WHERE id IN ({' UNION ALL '.join(f'SELECT id FROM w{k}' for k in range(1, rounds + 1))})"
+
+
+@query(_apart_sql(12), NE)
 def adjacent_seed_dedupe(spark, d):
     g = Graph(spark, d)
-    s = g.nodes.where("kind = 'class' AND id % 40 = 3").select("id", (F.col("id") % 1000).alias("score"))
-    b = g.edges.select("src", "dst").union(traverse.reverse(g.edges)).distinct()
-    beaten = s.join(b, s["id"] == b["src"]).select("id", "score", "dst").join(s.select(F.col("id").alias("dst"), F.col("score").alias("other")), "dst").where("other > score OR (other = score AND dst < id)").select("id")
-    return s.join(beaten, "id", "left_anti")
+    return seeding.apart(g.nodes.where("kind IN ('class', 'function', 'method') AND id % 4 = 3").select("id", F.expr(_SCORE).alias("score")), g.edges)

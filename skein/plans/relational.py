@@ -473,6 +473,49 @@ def ir_metrics(spark, d):
     return retrieval_metrics(r)
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (o IS NULL) AS abstained, round(avg(CASE WHEN (o IS NOT NULL) = (c_custkey % 4 <> 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON o = c_custkey")
+def abstain_accuracy(spark, d):
+    """Customers are queries, their orders the results; those with a number of 1 modulo 4 are marked as without answer."""
+    from skein.operators.ranking import abstain_accuracy
+
+    g = Graph(spark, d)
+    return abstain_accuracy(g.table("customer").select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 4 != 1).alias("answerable")), g.table("orders").select(F.col("o_custkey").alias("query_id")))
+
+
+@query("WITH a AS (SELECT DISTINCT src, dst FROM edge_sites), u AS (SELECT DISTINCT src, dst FROM edges WHERE provenance = 'scip'), m AS (SELECT * FROM a EXCEPT SELECT * FROM u) SELECT (SELECT count(*) FROM a) AS attempted, (SELECT count(*) FROM m) AS missed, round((SELECT count(*) FROM m) / (SELECT count(*) FROM a), 6) AS rate", ("edges", "edge_sites"))
+def miss_rate(spark, d):
+    g = Graph(spark, d)
+    unified = g.edges.where("provenance = 'scip'").select("src", "dst").distinct().withColumn("hit", F.lit(1))
+    j = g.sites.select("src", "dst").distinct().join(unified, ["src", "dst"], "left")
+    missed = F.count(F.lit(1)) - F.count("hit")
+    return j.agg(F.count(F.lit(1)).alias("attempted"), missed.alias("missed"), F.round(missed / F.count(F.lit(1)), 6).alias("rate"))
+
+
+@query(
+    """SELECT e.src, e.dst, e.kind FROM (SELECT src, dst, kind FROM edges UNION ALL SELECT src, src, 'ref/call' FROM edge_sites UNION ALL SELECT dst, src, 'is-implementation' FROM edges WHERE kind = 'exports') e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id
+    WHERE e.src <> e.dst AND s.corpus = t.corpus AND ((e.kind = 'ref/call' AND t.kind IN ('function', 'method', 'class', 'type')) OR (e.kind = 'ref/field' AND t.kind = 'field') OR (e.kind = 'is-implementation' AND t.kind IN ('interface', 'trait', 'class', 'struct', 'protocol')))""",
+    ("nodes", "edges", "edge_sites"),
+)
+def soundness_gate(spark, d):
+    """Candidates are the graph's edges, calls of oneself, and the exports backwards as implementations."""
+    from skein.operators.joins import sound
+
+    g = Graph(spark, d)
+    e = g.edges.select("src", "dst", "kind")
+    back = e.where("kind = 'exports'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("is-implementation").alias("kind"))
+    return sound(e.unionByName(g.sites.select("src", F.col("src").alias("dst"), "kind")).unionByName(back), g.nodes)
+
+
+@query(
+    rf"""SELECT id FROM nodes WHERE NOT (regexp_matches(path, '{filters.VENDORED}|{filters.STRUCTURAL}') OR regexp_matches(signature, 'local [0-9]+$') OR kind IN ('doc-chunk', 'crate') OR starts_with(signature, 'scip:')
+    OR (starts_with(signature, 'pkg:') AND regexp_matches(path, '(^|/)\.(github|gitlab|circleci|buildkite)/')) OR coalesce(test_role, 0) > 0)""",
+    ("nodes",),
+)
+def anchor_noise(spark, d):
+    n = Graph(spark, d).nodes
+    return n.where(~filters.is_anchor_noise(F.col("path"), F.col("signature"), F.col("kind"), F.col("test_role"))).select("id")
+
+
 @query("SELECT round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.95), 6) AS p95 FROM (SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 def cosine_percentiles(spark, d):
     e = Graph(spark, d).table("embeddings").select("vec_id", "embedding")

@@ -111,11 +111,12 @@ def graph_dot(spark, d):
     return render.dot_lines(joins.with_signatures(g.edges.where("kind = 'defines/binding'").select("src", "dst", "kind"), g.nodes))
 
 
-@query(_spine_sql(20000000006, 3, 4).replace("WITH f0", "WITH f0") .replace("SELECT 1 AS depth, src, dst FROM m1", "SELECT 1 AS depth, src, '  ' || CAST(dst AS VARCHAR) AS line FROM m1").replace("SELECT 2 AS depth, src, dst FROM m2", "SELECT 2, src, '    ' || CAST(dst AS VARCHAR) FROM m2").replace("SELECT 3 AS depth, src, dst FROM m3", "SELECT 3, src, '      ' || CAST(dst AS VARCHAR) FROM m3"), ("edges",))
+@query(_spine_sql(20000000006, 3, 4, "depth, src, repeat('  ', depth) || CAST(dst AS VARCHAR) AS line"), NE)
 def graph_tree(spark, d):
     from skein.operators.traverse import call_spine
 
-    return render.tree_lines(call_spine(Graph(spark, d).edges, spark.createDataFrame([(20000000006,)], "id long"), 3, 4))
+    g = Graph(spark, d)
+    return render.tree_lines(call_spine(g.edges, g.nodes.select("id", F.col("corpus").alias("component")), spark.createDataFrame([(20000000006,)], "id long"), 3, 4))
 
 
 @query("SELECT c_custkey AS setting, coalesce(CASE WHEN c_custkey % 5 = 0 THEN 'cli' END, CASE WHEN c_custkey % 3 = 0 THEN 'env' END, CASE WHEN c_custkey % 2 = 0 THEN 'repo' END, 'default') AS value, CASE WHEN c_custkey % 5 = 0 THEN 'cli' WHEN c_custkey % 3 = 0 THEN 'env' WHEN c_custkey % 2 = 0 THEN 'repo' ELSE 'default' END AS source FROM customer")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.catalog import Graph, query
 from skein.functions import identifiers as I
-from skein.operators import ingest, ranking
+from skein.operators import ingest, ranking, seeding
 from skein.plans.relational import NE, SEG
 
 def _tokens_sql(c):
@@ -97,6 +97,17 @@ def anchor_order(spark, d):
     return window.select("id", F.row_number().over(w).alias("position")).where("position <= 3")
 
 
+@query(
+    """WITH r AS (SELECT n.id, n.path, n.id % 1000 AS score, CAST(n.id % 60 AS INT) AS position, 't' || CAST(n.id % 60 AS VARCHAR) AS token FROM nodes n), m AS (SELECT *, row_number() OVER (PARTITION BY position, token ORDER BY score DESC, id) AS t FROM r),
+    p AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY position, token, t) AS p FROM m WHERE t <= 4) SELECT id, path, score, position, token FROM p WHERE t = 1 OR p <= 2""",
+    ("nodes",),
+)
+def anchor_slots(spark, d):
+    k = (F.col("id") % 60).cast("int")
+    n = Graph(spark, d).nodes.select("id", "path", (F.col("id") % 1000).alias("score"), k.alias("position"), F.concat(F.lit("t"), k.cast("string")).alias("token"))
+    return seeding.anchor_slots(n)
+
+
 @query("SELECT id, path, score FROM (SELECT id, path, CAST(id % 1000 AS DOUBLE) AS score, row_number() OVER (PARTITION BY path ORDER BY CAST(id % 1000 AS DOUBLE) DESC, id) AS n FROM nodes) WHERE n <= 2", ("nodes",))
 def per_path_cap(spark, d):
     return ranking.per_path_cap(Graph(spark, d).nodes.select("id", "path", (F.col("id") % 1000).cast("double").alias("score")))
@@ -212,6 +223,16 @@ def inflectional_stem(spark, d):
     return t.select("w", I.stem(F.col("w")).alias("stem")).where("stem IS NOT NULL")
 
 
+@query(
+    r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en'), c AS (SELECT w, lower(w) AS l FROM t WHERE length(w) >= 5),
+    s AS (SELECT w, CASE WHEN ends_with(l, 'ing') THEN l[:-4] WHEN ends_with(l, 'ed') AND NOT ends_with(l, 'ied') THEN l[:-3] WHEN regexp_matches(l, '(s|x|z|ch|sh)es$') THEN l[:-3] END AS stem FROM c)
+    SELECT w, stem || 'e' AS stem FROM s WHERE length(stem) >= 4"""
+)
+def stem_restoring_e(spark, d):
+    t = Graph(spark, d).table("documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w")).distinct()
+    return t.select("w", I.stem_with_e(F.col("w")).alias("stem")).where("stem IS NOT NULL")
+
+
 @query(
     """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q, e.vec_id, list_cosine_similarity(v, CAST(e.embedding AS DOUBLE[])) AS sim FROM q, embeddings e WHERE e.vec_id <> q)
     SELECT q, vec_id, round(sim, 6) AS sim, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS k FROM s) WHERE k <= 10"""
