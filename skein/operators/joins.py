@@ -94,7 +94,7 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 #: Kinds of node that a live edge of each kind may point at; other kinds of edge are refused.
-DEFINITIONS = ("function", "method", "class", "type")
+DEFINITIONS = ("function", "method", "fn", "class", "interface", "struct", "trait", "enum", "type", "typedef", "union", "object", "protocol", "mixin", "extension", "namespace", "init")
 LIVE_TARGETS = {"ref/call": DEFINITIONS, "ref/field": ("field",), "is-implementation": ("interface", "trait", "class", "struct", "protocol")}
 
 

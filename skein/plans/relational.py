@@ -493,7 +493,7 @@ def miss_rate(spark, d):
 
 @query(
     """SELECT e.src, e.dst, e.kind FROM (SELECT src, dst, kind FROM edges UNION ALL SELECT src, src, 'ref/call' FROM edge_sites UNION ALL SELECT dst, src, 'is-implementation' FROM edges WHERE kind = 'exports') e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id
-    WHERE e.src <> e.dst AND s.corpus = t.corpus AND ((e.kind = 'ref/call' AND t.kind IN ('function', 'method', 'class', 'type')) OR (e.kind = 'ref/field' AND t.kind = 'field') OR (e.kind = 'is-implementation' AND t.kind IN ('interface', 'trait', 'class', 'struct', 'protocol')))""",
+    WHERE e.src <> e.dst AND s.corpus = t.corpus AND ((e.kind = 'ref/call' AND t.kind IN ('function', 'method', 'fn', 'class', 'interface', 'struct', 'trait', 'enum', 'type', 'typedef', 'union', 'object', 'protocol', 'mixin', 'extension', 'namespace', 'init')) OR (e.kind = 'ref/field' AND t.kind = 'field') OR (e.kind = 'is-implementation' AND t.kind IN ('interface', 'trait', 'class', 'struct', 'protocol')))""",
     ("nodes", "edges", "edge_sites"),
 )
 def soundness_gate(spark, d):

@@ -165,7 +165,8 @@ def test_requests():
             requests.checked(schema, bad)
     requests.check_text("src/a..b.py")
     requests.check_text("100%.md", decoded=False)
-    for bad in ("../a", "a/..", "..", "/etc", "C:\\a", "a%2e", "a\0b", "x" * 4097):
+    requests.check_text("x" * 4096, requests.MAX_LIST)
+    for bad in ("../a", "a/..", "..", "/etc", "C:\\a", "a%2e", "a\0b", "c:", "a../b", "x" * 513):
         with pytest.raises(ValueError):
             requests.check_text(bad)
 
