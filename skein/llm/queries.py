@@ -125,9 +125,31 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from skein.llm.fim import fill_in_middle, restore
+
+    d = restore(fill_in_middle(_documents(spark, sf_dir)))
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+#: The form, the cuts and the arrangement by the contract; the restored text is the text.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS ws, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(ws) AS n, least(h1 % (len(ws) + 1), h2 % (len(ws) + 1)) AS a, greatest(h1 % (len(ws) + 1), h2 % (len(ws) + 1)) AS b FROM u),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             coalesce(array_to_string(list_slice(ws, 1, a), ''), '') AS p, coalesce(array_to_string(list_slice(ws, a + 1, b), ''), '') AS m, coalesce(array_to_string(list_slice(ws, b + 1, n), ''), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
