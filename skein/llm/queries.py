@@ -125,6 +125,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.conversations import damage, repair
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair(damage(rows), ids=rows)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -148,7 +155,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join, op11_conversation_repair, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
