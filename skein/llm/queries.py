@@ -132,6 +132,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(rows), ids=rows)
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.mixing import mix
+
+    return mix(_documents(spark, sf_dir)).taken()
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -155,7 +161,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join, op11_conversation_repair, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_fm, op3_exact_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_piece_fst, op8_token_files, op9_substring_dedup, op10_jaccard_join, op11_conversation_repair, op12_source_mixing, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
