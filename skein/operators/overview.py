@@ -41,7 +41,7 @@ def rule_violations(pairs: DataFrame, known: DataFrame, rules: DataFrame) -> Dat
     unless null, doesn't name depends on it. 'cycle': a dependency that closes a cycle, where acyclic. 'unknown': the rule is about a
     component that doesn't exist. A component may depend on itself.
     """
-    from skein.operators.traverse import closure
+    from skein.operators.traverse import strong_components
 
     p = pairs.select("component", "target").where("component <> target").distinct()
     about = rules.select("rule", "may_depend_on", "may_be_used_by", F.explode("components").alias("of")).distinct()
@@ -49,6 +49,7 @@ def rule_violations(pairs: DataFrame, known: DataFrame, rules: DataFrame) -> Dat
     out = about.where("may_depend_on IS NOT NULL").join(p, F.col("of") == F.col("component")).where(~F.array_contains("may_depend_on", F.col("target")))
     into = about.where("may_be_used_by IS NOT NULL").join(p, F.col("of") == F.col("target")).where(~F.array_contains("may_be_used_by", F.col("component")))
     lost = about.join(known.select(F.col("component").alias("of")).distinct(), "of", "left_anti").withColumns({"component": F.col("of"), "target": F.lit(None).cast("string")})
-    back = closure(p.select(F.col("component").alias("src"), F.col("target").alias("dst"))).select(F.col("dst").alias("component"), F.col("src").alias("target"))
-    closing = rules.where("acyclic").select("rule").distinct().join(p.join(back, ["component", "target"], "left_semi"))
+    home = strong_components(p.select(F.col("component").alias("src"), F.col("target").alias("dst")))
+    inside = p.join(home.select(F.col("id").alias("component"), F.col("home").alias("_a")), "component").join(home.select(F.col("id").alias("target"), F.col("home").alias("_b")), "target")
+    closing = rules.where("acyclic").select("rule").distinct().join(inside.where("_a = _b").select("component", "target"))
     return row("dependency", out).unionByName(row("user", into)).unionByName(row("cycle", closing)).unionByName(row("unknown", lost)).distinct()

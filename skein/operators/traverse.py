@@ -2,97 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from contextlib import contextmanager
 from itertools import count
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.sources.storage import written
+from skein.sources.storage import running, written
 
+#: Targets of a search at most: they are sent to all tasks.
+ENDS = 100_000
 
-#: Edges up to which, by count, a traversal is one task's matter; beyond, each round is a join over all tasks.
-ONE_TASK = 2_000_000
 
+def known(edges: DataFrame, value: str | None = None) -> DataFrame:
+    """Edges (src, dst) with both ends, and with value as a double where it is a number above zero: an edge without a weight or cost leads nowhere."""
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    if value is None:
+        return e.select("src", "dst")
+    return e.select("src", "dst", F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0))
 
-def _in_one_task(edges: DataFrame, starts: DataFrame, solve: Callable, schema: str) -> DataFrame | None:
-    """What solve(nodes, src, dst, value, starts) gives as columns, in a single task over the counted edges (src, dst, value) and starts (kind, id, value); None if they are too many.
 
-    Nodes are numbered from 0 in solve; its first column is such a number.
-    """
-    if edges.count() > ONE_TASK or starts.count() > ONE_TASK:
-        return None
-    rows = edges.select(F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("value").cast("double").alias("value"))
-    rows = rows.union(starts.select("kind", "id", F.col("id"), F.col("value").cast("double")))
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches):
-        pdf = pd.concat([pd.DataFrame(columns=["kind", "a", "b", "value"]), *batches], ignore_index=True)
-        if not len(pdf):
-            return
-        ids, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
-        at = at.reshape(-1, 2)
-        kind, value = pdf["kind"].to_numpy(int), pdf["value"].to_numpy(float)
-        e = kind == 0
-        given = {int(k): (at[kind == k, 0], value[kind == k]) for k in np.unique(kind[~e])}
-        out = solve(len(ids), at[e, 0], at[e, 1], value[e], given)
-        yield pd.DataFrame({n: ids[c] if i == 0 else c for i, (n, c) in enumerate(zip(names, out))})
-
-    return rows.coalesce(1).mapInPandas(run, schema)
-
-
-def _hops(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
-    """Hops of each node from seeds, -1 beyond the depth."""
-    order = np.argsort(src, kind="stable")
-    src, dst = src[order], dst[order]
-    first = np.searchsorted(src, np.arange(n + 1))
-    hop = np.full(n, -1)
-    frontier = np.unique(seeds)
-    hop[frontier] = 0
-    for k in range(1, depth + 1):
-        size = first[frontier + 1] - first[frontier]
-        at = np.repeat(first[frontier], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        found = np.unique(dst[at])
-        frontier = found[hop[found] < 0]
-        if not len(frontier):
-            break
-        hop[frontier] = k
-    return hop
+@contextmanager
+def by_source(edges: DataFrame):
+    """The edges laid out by src while a loop of joins lasts, so that a round moves the frontier alone. What a lost executor held is made again from the edges' source."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = edges.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:
-    """(id, depth) of nodes within so many hops of seeds (id)."""
-    e = edges.select("src", "dst")
-    if both:
-        e = e.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = written(e.where("src IS NOT NULL AND dst IS NOT NULL"))
+def counted_write(df: DataFrame, *more) -> tuple[DataFrame, dict]:
+    """The rows as a table, with their number n and other aggregates taken while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *more))
+    return table, seen.get
 
-    def solve(n, src, dst, _, given):
-        hop = _hops(n, src, dst, given[1][0], depth) if 1 in given else np.full(n, -1)
-        at = np.flatnonzero(hop >= 0)
-        return at, hop[at]
 
-    starts = seeds.where("id IS NOT NULL").select(F.lit(1).alias("kind"), "id", F.lit(0.0).alias("value"))
-    found = _in_one_task(e.withColumn("value", F.lit(0.0)), starts, solve, "id long, depth int")
-    return found if found is not None else bfs_by_joins(e, seeds, depth)
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:
+    """(id, depth) of nodes within so many hops of seeds (id). A round is a join of the frontier with the edges by an equality; visited nodes leave by an anti-join."""
+    e = known(edges)
+    if both:
+        e = e.union(reverse(e))
+    with by_source(e) as held:
+        return _hops(held, seeds, depth)
 
 
-def bfs_by_joins(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """bfs with a join a round: a frontier meets the edges by an equality; visited nodes leave by an anti-join."""
-    e = edges.select("src", "dst")
-    seen = written(seeds.select("id", F.lit(0).alias("depth")).distinct())
-    frontier = seen
+def _hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    seen = frontier = written(seeds.where("id IS NOT NULL").select("id", F.lit(0).alias("depth")).distinct())
     for hop in range(1, depth + 1):
-        found = frontier.select(F.col("id").alias("src")).join(e, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = written(found.select("id", F.lit(hop).alias("depth")))
-        if frontier.isEmpty():
+        found = frontier.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier, got = counted_write(found.select("id", F.lit(hop).alias("depth")))
+        if not got["n"]:
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def bfs_within(edges: DataFrame, nodes: DataFrame, seed: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(id, depth, position, running) in order of discovery while the cost of nodes (id, cost) adds up to no more than the budget.
+
+    Nodes of a level come by the position of the first node that leads to them, then by id. The walk ends before the first node that doesn't fit,
+    in the midst of a level if need be. What isn't in nodes costs nothing and isn't shown, but is walked through.
+    """
+    cost = nodes.select("id", F.col("cost").cast("long").alias("cost"))
+    out, position, spent = None, 0, 0
+    with by_source(known(edges)) as e:
+        level = seed.where("id IS NOT NULL").select("id", F.lit(0).cast("long").alias("parent")).distinct()
+        seen = None
+        for hop in range(depth + 1):
+            priced = level.join(cost, "id", "left").select("id", "parent", "cost", F.coalesce("cost", F.lit(0)).alias("_c"))
+            rows = running(priced, ["parent", "id"], "_c").select("id", "cost", (F.col("number") + position).alias("position"), (F.col("running") + spent).alias("running"))
+            rows, got = counted_write(rows.withColumn("depth", F.lit(hop)), F.max("running").alias("spent"))
+            if not got["n"]:
+                break
+            fits = rows.where(F.col("running") <= budget)
+            out = fits if out is None else out.unionByName(fits)
+            if got["spent"] > budget or hop == depth:
+                break
+            position, spent = position + got["n"], got["spent"]
+            seen = rows.select("id") if seen is None else seen.union(rows.select("id"))
+            level = rows.select(F.col("id").alias("src"), "position").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("position").alias("parent")).join(seen, "id", "left_anti")
+    shown = out if out is not None else nodes.limit(0).select("id", F.lit(0).alias("cost"), F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("running"), F.lit(0).alias("depth"))
+    return shown.where("cost IS NOT NULL").select("id", "depth", "position", "running")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -124,124 +121,83 @@ def directional_subgraph(edges: DataFrame, seed: DataFrame, depth: int, containm
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, depth: int = 6) -> DataFrame:
     """(id, score) by power iteration over the subgraph within `depth` hops of seeds (id, weight): r' = (1 - alpha) p + alpha sum r w / W.
 
-    edges have a weight; nodes at the last hop aren't expanded, and what reaches a node without out-edges is lost. Seeds without any
-    weight count alike.
+    edges have a weight; those without one above zero are left out. Nodes at the last hop aren't expanded, and what reaches a node without
+    out-edges is lost. A seed's weight counts as 0 if it is null, no number or below 0; seeds without any weight count alike.
+    A round is one job: it joins the ranks with the moves, which stay where they are, and takes the change while it writes the new ranks.
     """
-    e = written(edges.select("src", "dst", F.col("weight").cast("double").alias("value")))
-
-    def solve(n, src, dst, weight, given):
-        at, own = given.get(1, (np.empty(0, np.int64), np.empty(0)))
-        p = np.bincount(at, own / own.sum() if own.sum() > 0 else np.full(len(own), 1 / max(1, len(own))), n)
-        hop = _hops(n, src, dst, at, depth - 1)
-        used = hop[src] >= 0
-        src, dst, weight = src[used], dst[used], weight[used]
-        q = weight / np.bincount(src, weight, n)[src]
-        score, seeded = p, p > 0
-        for _ in range(rounds):
-            now = (1 - alpha) * p + alpha * np.bincount(dst, score[src] * q, n)
-            change, score = np.abs(now - score).sum(), now
-            if change < tolerance:
-                break
-        keep = np.flatnonzero((score > 0) | seeded)
-        return keep, score[keep]
-
-    found = _in_one_task(e, seeds.select(F.lit(1).alias("kind"), "id", F.col("weight").alias("value")), solve, "id long, score double")
-    return found if found is not None else pagerank_by_joins(e.withColumnRenamed("value", "weight"), seeds, alpha, rounds, tolerance, depth)
-
-
-def pagerank_by_joins(edges: DataFrame, seeds: DataFrame, alpha: float, rounds: int, tolerance: float, depth: int) -> DataFrame:
-    """personalised_pagerank with a join a round: transition weights are a table that all rounds read, and an aggregation combines before it shuffles."""
-    total = seeds.agg(F.sum("weight")).first()[0] or 0.0
-    n = seeds.count()
-    start = written(seeds.groupBy("id").agg(F.sum(F.col("weight") / total if total > 0 else F.lit(1.0 / max(1, n))).alias("p")))
-    held = bfs_by_joins(edges, start, depth - 1)
-    own = edges.join(held.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", F.col("weight").cast("double").alias("w"))
-    sums = own.groupBy("src").agg(F.sum("w").alias("total"))
-    moves = written(own.join(sums, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("q")))
+    w = F.when(~F.isnan("weight") & (F.col("weight") > 0), F.col("weight").cast("double")).otherwise(0.0)
+    own = seeds.where("id IS NOT NULL").select("id", w.alias("weight"))
+    n, total = own.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    start = written(own.groupBy("id").agg(F.sum(F.col("weight") / total if total else F.lit(1.0 / max(1, n))).alias("p")))
+    e = known(edges, "weight")
+    with by_source(e) as held:
+        inner = _hops(held.select("src", "dst"), start, depth - 1).select(F.col("id").alias("src"))
+        moves = held.join(inner, "src", "left_semi")
+        sums = moves.groupBy("src").agg(F.sum("weight").alias("total"))
+        moves = written(moves.join(sums, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("total")).alias("q")))  # here the edges' layout may go
     rank = start.select("id", F.col("p").alias("score"))
-    for k in range(rounds):
-        came = rank.join(moves, rank["id"] == moves["src"]).groupBy(F.col("dst").alias("id")).agg((alpha * F.sum(F.col("score") * F.col("q"))).alias("s"))
-        now = start.select("id", ((1 - alpha) * F.col("p")).alias("s")).unionByName(came).groupBy("id").agg(F.sum("s").alias("score"))
-        now = written(now)
-        if tolerance > 0:
-            change = now.select("id", "score").unionByName(rank.select("id", (-F.col("score")).alias("score"))).groupBy("id").agg(F.abs(F.sum("score")).alias("c")).agg(F.sum("c")).first()[0]
-            rank = now
-            if (change or 0.0) < tolerance:
+    none, p = F.lit(0.0).alias("was"), start.select("id", ((1 - alpha) * F.col("p")).alias("s"), F.lit(0.0).alias("was"))
+    with by_source(moves) as held:
+        for _ in range(rounds):
+            came = rank.withColumnRenamed("id", "src").join(held, "src").select(F.col("dst").alias("id"), (alpha * F.col("score") * F.col("q")).alias("s"), none)
+            both = p.unionByName(came).unionByName(rank.select("id", F.lit(0.0).alias("s"), F.col("score").alias("was")))
+            now = both.groupBy("id").agg(F.sum("s").alias("score"), F.sum("was").alias("was"))
+            rank, got = counted_write(now, F.sum(F.abs(F.col("score") - F.col("was"))).alias("change"))
+            rank = rank.select("id", "score")
+            if (got["change"] or 0.0) < tolerance:
                 break
-        rank = now
     return rank
 
 
-def shortest_costs(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, cost) of the cheapest path of at most so many edges (src, dst, cost) from seeds, by relaxation; without a number, until no cost changes."""
-    best = written(seeds.select("id", F.lit(0.0).alias("cost")).distinct())
-    frontier = best
-    for _ in range(rounds) if rounds is not None else count():
-        step = frontier.withColumnRenamed("cost", "c").join(edges, frontier["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("c") + F.col("cost")).alias("cost"))
-        better = step.join(best.withColumnRenamed("cost", "was"), "id", "left").where("was IS NULL OR cost < was - 1e-12").select("id", "cost")
-        frontier = written(better)
-        if frontier.isEmpty():
-            break
-        best = written(best.unionByName(frontier).groupBy("id").agg(F.min("cost").alias("cost")))
+def shortest_costs(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, targets: DataFrame | None = None, slack: float = 0.0) -> DataFrame:
+    """(id, cost) of the cheapest path of at most so many edges (src, dst, cost) from seeds, by relaxation; without a number, until no cost changes.
+
+    With targets, paths dearer than (1 + slack) times the best way to a target found so far are given up.
+    """
+    best = written(seeds.where("id IS NOT NULL").select("id", F.lit(0.0).alias("cost")).distinct())
+    ends = None if targets is None else F.broadcast(targets.where("id IS NOT NULL").select("id", F.lit(True).alias("end")).distinct().limit(ENDS))
+    if targets is not None and targets.select("id").distinct().count() > ENDS:
+        raise ValueError(f"at most {ENDS} targets")
+    frontier, most = best, None
+    with by_source(known(edges, "cost")) as held:
+        for _ in range(rounds) if rounds is not None else count():
+            step = frontier.withColumnRenamed("cost", "c").join(held, frontier["id"] == held["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("c") + F.col("cost")).alias("cost"))
+            if most is not None:
+                step = step.where(F.col("cost") <= (1 + slack) * most + 1e-9)
+            better = step.join(best.withColumnRenamed("cost", "was"), "id", "left").where("was IS NULL OR cost < was - 1e-12").select("id", "cost")
+            if ends is None:
+                frontier, got = counted_write(better)
+            else:
+                frontier, got = counted_write(better.join(ends, "id", "left"), F.min(F.when(F.col("end"), F.col("cost"))).alias("best"))
+                frontier = frontier.select("id", "cost")
+                most = min((x for x in (most, got["best"]) if x is not None), default=None)
+            if not got["n"]:
+                break
+            best = written(best.unionByName(frontier).groupBy("id").agg(F.min("cost").alias("cost")))
     return best
 
 
-def connecting_path(edges: DataFrame, source: DataFrame, sink: DataFrame, depth: int = 5, slack: float = 0.5, fallback: int = 3) -> DataFrame:
+def connecting_path(edges: DataFrame, source: DataFrame, sink: DataFrame, depth: int = 5, slack: float = 0.5, fallback: int = 3, most: int = 2000) -> DataFrame:
     """(id, cost, on_route): execution_path over the union of what lies within `depth` hops after the source and before the sink, with paths of any length.
 
-    Without a route: the nodes within `fallback` hops of the source, their cost null.
+    The route comes first, then what is nearest by cost, ties by id, `most` nodes in all. Without a route: the nodes within
+    `fallback` hops of the source, their cost null. Edges without a cost above zero are left out.
     """
-    e = written(edges.select("src", "dst", F.col("cost").alias("value")))
-
-    def costs(n, src, dst, cost, starts):
-        best = np.full(n, np.inf)
-        best[starts] = 0
-        while True:
-            now = best.copy()
-            np.minimum.at(now, dst, best[src] + cost)
-            if not (now < best - 1e-12).any():
-                return best
-            best = now
-
-    def solve(n, src, dst, cost, given):
-        none = np.empty(0, np.int64), None
-        a, z = given.get(1, none)[0], given.get(2, none)[0]
-        ahead, behind = _hops(n, src, dst, a, depth) >= 0, _hops(n, dst, src, z, depth) >= 0
-        held = ahead | behind
-        used = held[src] & held[dst] & (ahead[src] | behind[dst])
-        s, d, c = src[used], dst[used], cost[used]
-        there, back = costs(n, s, d, c, a), costs(n, d, s, c, z)
-        best = there[z].min() if len(z) else np.inf
-        if not np.isfinite(best):
-            at = np.flatnonzero(_hops(n, src, dst, a, fallback) >= 0)
-            return at, np.full(len(at), np.nan), np.zeros(len(at), bool)
-        on = np.isfinite(there) & np.isfinite(back)
-        on[on] = np.abs(there[on] + back[on] - best) < 1e-9
-        at = np.flatnonzero(on | (there <= (1 + slack) * best))
-        return at, there[at], on[at]
-
-    starts = source.select(F.lit(1).alias("kind"), "id", F.lit(0.0).alias("value")).union(sink.select(F.lit(2), "id", F.lit(0.0)))
-    found = _in_one_task(e, starts, solve, "id long, cost double, on_route boolean")
-    if found is not None:
-        return found.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))
-    return path_by_joins(e.withColumnRenamed("value", "cost"), source, sink, depth, slack, fallback)
-
-
-def path_by_joins(edges: DataFrame, source: DataFrame, sink: DataFrame, depth: int, slack: float, fallback: int) -> DataFrame:
-    """connecting_path with a join a round."""
-    ahead, behind = bfs_by_joins(edges, source, depth), bfs_by_joins(reverse(edges), sink, depth)
+    e = written(known(edges, "cost"))
+    ahead, behind = bfs(e, source, depth), bfs(reverse(e), sink, depth)
     held = written(ahead.select("id", F.lit(True).alias("ahead")).union(behind.select("id", F.lit(False))).groupBy("id").agg(F.bool_or("ahead").alias("ahead"), F.bool_or(~F.col("ahead")).alias("behind")))
-    both = edges.join(held.select(F.col("id").alias("src"), F.col("ahead").alias("_a")), "src").join(held.select(F.col("id").alias("dst"), F.col("behind").alias("_b")), "dst")
-    found = written(execution_path(written(both.where("_a OR _b").select("src", "dst", "cost")), source, sink, None, slack))
-    if found.isEmpty():
-        return bfs_by_joins(edges, source, fallback).select("id", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("on_route"))
-    return found
+    both = e.join(held.select(F.col("id").alias("src"), F.col("ahead").alias("_a")), "src").join(held.select(F.col("id").alias("dst"), F.col("behind").alias("_b")), "dst")
+    found, got = counted_write(execution_path(both.where("_a OR _b").select("src", "dst", "cost"), source, sink, None, slack))
+    if not got["n"]:
+        found = bfs(e, source, fallback).select("id", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("on_route"))
+    return found.orderBy(F.desc("on_route"), F.col("cost").asc_nulls_last(), "id").limit(most)
 
 
 def execution_path(edges: DataFrame, source: DataFrame, sink: DataFrame, rounds: int | None = 5, slack: float = 0.5) -> DataFrame:
     """(id, cost, on_route): the cheapest routes from source to sink and what lies within (1 + slack) of their cost around the source."""
-    ahead = shortest_costs(edges, source, rounds)
-    back = shortest_costs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), sink, rounds).withColumnRenamed("cost", "rest")
+    edges = written(edges)
+    ahead = shortest_costs(edges, source, rounds, sink, slack)
+    back = shortest_costs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), sink, rounds, source).withColumnRenamed("cost", "rest")
     best = ahead.join(sink.select("id"), "id", "left_semi").agg(F.min("cost").alias("best"))
     j = ahead.join(back, "id", "left").crossJoin(F.broadcast(best)).where("best IS NOT NULL")
     route = F.col("rest").isNotNull() & (F.abs(F.col("cost") + F.col("rest") - F.col("best")) < 1e-9)
@@ -257,8 +213,6 @@ def core_numbers(edges: DataFrame) -> DataFrame:
         near = both.join(bound.select(F.col("id").alias("dst"), F.col("shell").alias("s")), "dst").join(bound.select(F.col("id").alias("src"), F.col("shell").alias("own")), "src")
         # The h-index from counts of each bound: a hub's neighbours are counted, not gathered.
         counts = near.select("src", "own", F.least("s", "own").alias("s")).groupBy("src", "own", "s").agg(F.count(F.lit(1)).alias("n"))
-        from pyspark.sql import Window as W
-
         above = counts.withColumn("above", F.sum("n").over(W.partitionBy("src").orderBy(F.desc("s"))))
         now = written(above.groupBy(F.col("src").alias("id")).agg(F.max(F.least("s", "above")).alias("shell")))
         changed = not now.join(bound.withColumnRenamed("shell", "was"), "id").where("shell <> was").isEmpty()
@@ -267,39 +221,83 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             return bound
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): all pairs that a path of one edge or more joins, by rounds that double its length. For graphs of components, which are small."""
-    reach = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    size = reach.count()
-    while True:
-        step = reach.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        reach = written(reach.union(step).distinct())
-        now = reach.count()
-        if now == size:
-            return reach
-        size = now
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that lie on a cycle or between two: those whose source nothing reaches, or whose target reaches nothing, go, round by round."""
+    e, n = counted_write(known(edges).distinct())
+    while n["n"]:
+        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        now, got = counted_write(kept.select("src", "dst"))
+        if got["n"] == n["n"]:
+            return e
+        e, n = now, got
+    return e
+
+
+def _least(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, least): of start (id, least), each node's least value over itself and what reaches it along edges; a round moves the values that fell."""
+    best = frontier = written(start)
+    with by_source(edges) as held:
+        while True:
+            step = frontier.join(held, frontier["id"] == held["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("least"))
+            frontier, got = counted_write(step.join(best.withColumnRenamed("least", "was"), "id").where("least < was").select("id", "least"))
+            if not got["n"]:
+                return best
+            best = written(best.unionByName(frontier).groupBy("id").agg(F.min("least").alias("least")))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, home) of nodes on cycles: home is the least node of the cycles' component. No pairs are made: a row a node, and a row an edge.
+
+    Each round trims what no cycle holds, spreads the least id forwards, and from each node that kept its own id back along edges within its colour:
+    what it reaches is its component, which is done. Colours are told apart in parallel.
+    """
+    e, out = trimmed(edges), None
+    while not e.isEmpty():
+        ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+        colour = _least(e, ids.select("id", F.col("id").alias("least")))
+        a, b = colour.select(F.col("id").alias("src"), F.col("least").alias("_a")), colour.select(F.col("id").alias("dst"), F.col("least").alias("_b"))
+        inner = written(e.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst"))
+        roots = colour.where("id = least").select("id")
+        home = written(_spread(reverse(inner), roots).join(colour, "id").select("id", F.col("least").alias("home")))
+        out = home if out is None else out.unionByName(home)
+        left = e.join(home.select(F.col("id").alias("src")), "src", "left_anti").join(home.select(F.col("id").alias("dst")), "dst", "left_anti")
+        e = trimmed(left)
+    if out is None:
+        out = edges.limit(0).select(F.col("src").alias("id"), F.col("src").alias("home"))
+    return out
+
+
+def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): all that seeds reach."""
+    seen = frontier = written(seeds.select("id").distinct())
+    with by_source(edges) as held:
+        while True:
+            found = frontier.withColumnRenamed("id", "src").join(held, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+            frontier, got = counted_write(found)
+            if not got["n"]:
+                return seen
+            seen = written(seen.union(frontier))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(id) of nodes on a cycle of any length. For graphs of components, which are small."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("id"))
+    """(id) of nodes on a cycle of any length, one edge included."""
+    home = strong_components(edges)
+    many = home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("home")
+    return home.join(many, "home", "left_semi").select("id").union(known(edges).where("src = dst").select(F.col("src").alias("id"))).distinct()
 
 
 def layers(edges: DataFrame) -> DataFrame:
     """(id, layer): the length of the longest path that leaves a node; 0: it depends on none. Nodes on a common cycle are one node."""
-    e = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    e = written(known(edges).distinct())
     ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-    reach = closure(e)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_m"))
-    home = written(ids.join(mutual, "id", "left").select("id", F.least("id", F.coalesce("_m", "id")).alias("home")))
+    home = written(ids.join(strong_components(e), "id", "left").select("id", F.coalesce("home", "id").alias("home")))
     one = e.join(home.select(F.col("id").alias("src"), F.col("home").alias("a")), "src").join(home.select(F.col("id").alias("dst"), F.col("home").alias("b")), "dst")
     e = written(one.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
     level = written(home.select(F.col("home").alias("id")).distinct().withColumn("layer", F.lit(0)))
     for k in count(1):
         up = e.join(level.where(F.col("layer") == k - 1).select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct().withColumn("up", F.lit(k))
-        level = written(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
-        if level.where(F.col("layer") == k).isEmpty():
+        level, got = counted_write(level.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")), F.max("layer").alias("top"))
+        if (got["top"] or 0) < k:
             return home.join(level.withColumnRenamed("id", "home"), "home").select("id", "layer")
 
 
@@ -309,8 +307,6 @@ def call_spine(edges: DataFrame, homes: DataFrame, seed: DataFrame, depth: int =
     side 'call': at each depth the first `width` calls of each caller, by callee, within its component and to nodes not yet met; these are
     followed. 'boundary': all calls into another component; shown, not followed. 'in', at depth 0: all calls of the seed from elsewhere.
     """
-    from pyspark.sql import Window as W
-
     e = edges.select("src", "dst").where("src <> dst").distinct()
     a, b = homes.select(F.col("id").alias("src"), F.col("component").alias("_a")), homes.select(F.col("id").alias("dst"), F.col("component").alias("_b"))
     seen = frontier = written(seed.select("id").distinct())
