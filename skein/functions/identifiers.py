@@ -10,10 +10,6 @@ QUERY_STOP_WORDS = (
     "a an the of in to is for and or with that this how what where when which does are by my from at it its be as on so all me i you we they he she "
     "was were had has have been do did would could should"
 ).split()
-INDEX_STOP_WORDS = (
-    "about and any are can did does find for from give how into its our please runs show tell that the then this uses using was were what when where "
-    "which who whose why with works"
-).split()
 #: Aliases added beside a term.
 SYNONYMS = {
     "auth": ["rbac", "session", "login", "token"],
@@ -48,6 +44,14 @@ def index_tokens(c: Column, cap: int = 64) -> Column:
     return F.slice(F.concat(own, more), 1, cap)
 
 
+def index_terms(c: Column) -> Column:
+    """index_tokens with each segment as often as it occurs and without a cap: what a document's length and a term's count are taken of."""
+    whole = F.lower(c)
+    own = F.filter(raw_segments(c), lambda x: F.octet_length(x) >= 3)
+    more = F.when(~c.rlike("\\s") & (F.octet_length(c) >= 3) & ~F.array_contains(raw_segments(c), whole), F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return F.concat(own, more)
+
+
 def leaf_of(c: Column) -> Column:
     """What follows the last dot of what follows the first colon."""
     body = F.regexp_replace(c, "^[^:]*:", "")

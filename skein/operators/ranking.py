@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.sources.storage import written
+from skein.sources.storage import counted, written
 
 #: Saturation and length of BM25, and the constant of rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -15,25 +15,48 @@ DP_CELLS, DP_SCALE, MAX_BUDGET = 1_000_000, 1e6, 32_000
 
 
 def bm25(docs: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, score) of documents (id, field, tokens): an index has a token of a field once; fields add up by weight. Documents without a hit score 0 and stay.
+    """(id, score) of documents (id, field, tokens), which hold a token as often as it occurs; fields add up by weight. Documents without a hit score 0 and stay.
 
-    Corpus statistics are one aggregate; a document's score needs no shuffle beyond its own fields.
+    A term counts once however often the query holds it. Without terms all score 0, in the order given. Corpus statistics are one
+    aggregate; a document's score needs no shuffle beyond its own fields.
     """
     weights = weights or {"": 1.0}
     d = docs.withColumn("dl", F.size("tokens"))
     hits = {t: f"h{i}" for i, t in enumerate(dict.fromkeys(terms))}
-    # Tokens are made once: the table has a document's length and hits alone.
-    d = written(d.withColumns({h: F.array_contains("tokens", t).cast("int") for t, h in hits.items()}).select("id", "field", "dl", *hits.values()))
-    stats = d.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(h).alias(f"df_{h}") for h in hits.values()])
+    # Tokens are made once: the table has a document's length and counts alone.
+    d = written(d.withColumns({h: _times("tokens", t) for t, h in hits.items()}).select("id", "field", "dl", *hits.values()))
+    stats = d.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(h) > 0).cast("long")).alias(f"df_{h}") for h in hits.values()])
     j = d.join(F.broadcast(stats), "field")  # a row per field
     score = F.lit(0.0)
     for h in hits.values():
-        idf = F.log((F.col("n") - F.col(f"df_{h}") + 0.5) / (F.col(f"df_{h}") + 0.5) + 1)
-        score = score + idf * F.col(h) * (K1 + 1) / (F.col(h) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score + _weight(F.col(h), F.col("dl"), F.col("n"), F.col(f"df_{h}"), F.col("avgdl"))
     w = F.coalesce(*[F.when(F.col("field") == k, F.lit(v)) for k, v in weights.items()], F.lit(1.0))
     return j.select("id", (score * w).alias("score")).groupBy("id").agg(F.sum("score").alias("score"))
 
 
+def _times(tokens: str, term: str) -> F.Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
+def _weight(count: F.Column, length: F.Column, n: F.Column, df: F.Column, average: F.Column) -> F.Column:
+    """What a term adds to a document's score."""
+    return F.log((n - df + 0.5) / (df + 0.5) + 1) * count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))
+
+
+def bm25_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(q, id, score) of the documents (id, tokens) with a hit, for many queries' terms (q, form, none of them twice) at once.
+
+    Documents' tokens meet the terms of all queries by an equality; a hot term's documents are counted before they move.
+    """
+    d = docs.select("id", F.size("tokens").alias("dl"), "tokens")
+    facts = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average"))
+    own = d.select("id", "dl", F.explode("tokens").alias("form")).join(counted(terms.select("form").distinct()), "form", "left_semi")
+    counts = written(own.groupBy("form", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    df = counts.groupBy("form").agg(F.count(F.lit(1)).alias("df"))
+    each = counts.join(df, "form").crossJoin(F.broadcast(facts)).select("form", "id", _weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("average")).alias("s"))
+    return terms.join(each, "form").groupBy("q", "id").agg(F.sum("s").alias("score"))
+
+
 def reciprocal_rank_fusion(legs: list[DataFrame], k: int = RRF_K, weights: list[float] | None = None) -> DataFrame:
     """(id, rrf) of ranked legs (id, rank)."""
     weights = weights or [1.0] * len(legs)

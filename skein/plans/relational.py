@@ -110,9 +110,9 @@ _SEG = r"list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_rep
 SEG = _SEG.format
 
 
-@query(f"SELECT id, signature FROM nodes WHERE kind = 'method' AND list_contains({SEG(c='signature')}, 'widget')", ("nodes",))
+@query(f"SELECT id, signature FROM nodes WHERE list_contains({SEG(c='signature')}, 'widget')", ("nodes",))
 def segment_match(spark, d):
-    return Graph(spark, d).nodes.where((F.col("kind") == "method") & I.contains_token("widget", F.col("signature"))).select("id", "signature")
+    return Graph(spark, d).nodes.where(I.contains_token("widget", F.col("signature"))).select("id", "signature")
 
 
 @query(f"SELECT kind, list_distinct({SEG(c='signature')})[1] AS first, count(*) AS n, CAST(sum(len(list_distinct({SEG(c='signature')}))) AS BIGINT) AS segments FROM nodes WHERE kind IN ('file', 'class', 'type', 'package') GROUP BY ALL".replace(f"list_distinct({SEG(c='signature')})[1]", f"({SEG(c='signature')})[1]"), ("nodes",))

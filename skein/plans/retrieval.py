@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import identifiers as I
-from skein.operators import filters, ranking, traverse
+from skein.operators import filters, ranking, seeding, traverse
+from skein.operators.cascade import Cascade
 from skein.schemas import EDGE_WEIGHTS
 from skein.sources.storage import counted, written
 
@@ -101,7 +102,7 @@ def content_tokens(query: str) -> list[str]:
 def fuzzy_search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """(id, signature, score): words, trigrams and exact names fused by rank; filters come before limits."""
     words = content_tokens(query)
-    docs = nodes.select("id", F.lit("").alias("field"), I.index_tokens(F.col("signature")).alias("tokens"))
+    docs = nodes.select("id", F.lit("").alias("field"), I.index_terms(F.col("signature")).alias("tokens"))
     lexical = ranking.top_ranked(ranking.bm25(docs, words).where("score > 0"), "score", limit)
     grams = [w[i : i + 3] for w in words for i in range(len(w) - 2)]
     tri = nodes.select("id", F.lit("").alias("field"), I.trigrams(F.lower("signature")).alias("tokens"))
@@ -112,19 +113,24 @@ def fuzzy_search(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return ranking.top_ranked(fused.join(nodes.select("id", "signature"), "id"), "rrf", limit).select("id", "signature", F.round("rrf", 9).alias("score"))
 
 
+def seen_sources(edges: DataFrame, nodes: DataFrame, allowed: list[str]) -> DataFrame:
+    """Edges from allowed corpora: walked against their direction, they lead to nothing else."""
+    return edges.join(nodes.where(F.col("corpus").isin(allowed)).select(F.col("id").alias("src")), "src", "left_semi").select(*edges.columns)
+
+
 def context(nodes: DataFrame, edges: DataFrame, query: str, budget: int, allowed: list[str] | None = None, k: int = 200) -> DataFrame:
     """(id, position): what to read about a query within a budget of tokens.
 
-    Seeds by words of signatures, ranks by personalised PageRank over visible edges, damped by in-degree, chosen by a knapsack.
-    A query without a hit gives no rows: that is an answer.
+    Seeds by the cascade, the best 20, without those beside a better one and with their callers; ranks by personalised PageRank over visible
+    edges, damped by in-degree, chosen by a knapsack. A query without a seed gives no rows: that is an answer.
     """
     nodes, edges = written(nodes), written(edges)
-    visible = filters.visible_edges(edges, nodes, allowed)
-    plain = nodes.where(~filters.is_structural_noise(F.col("path"), F.col("signature"), F.col("kind")))
-    if allowed is not None:
-        plain = plain.where(F.col("corpus").isin(allowed))
-    docs = plain.select("id", F.lit("").alias("field"), I.index_tokens(F.col("signature")).alias("tokens"))
-    seeds = ranking.bm25(docs, content_tokens(query)).where("score > 0").orderBy(F.desc("score"), "id").limit(20).select("id", F.col("score").alias("weight"))
+    visible = written(filters.visible_edges(edges, nodes, allowed))
+    asked = nodes.sparkSession.createDataFrame([(0, query)], "q long, query string")
+    best = Cascade(asked, nodes, None, allowed).seeds(visible).where("rank <= 20").select("id", "score", "weight")
+    best = written(best)
+    kept = seeding.apart(best.select("id", "score"), visible)
+    seeds = seeding.with_callers(best.join(kept.select("id"), "id", "left_semi").select("id", "weight"), visible if allowed is None else seen_sources(visible, nodes, allowed))
     weighted = visible.withColumn("weight", F.coalesce(*[F.when(F.col("kind") == n, F.lit(w)) for n, w in EDGE_WEIGHTS.items()], F.lit(0.3)))
     rank = traverse.personalised_pagerank(weighted, seeds)
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("k"))

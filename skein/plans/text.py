@@ -10,14 +10,14 @@ from skein.functions import identifiers as I
 from skein.operators import ingest, ranking, seeding
 from skein.plans.relational import NE, SEG
 
-def _tokens_sql(c):
-    """Segments of three bytes or more, and the whole in lower case where it has no white space and isn't one of them; at most 64."""
-    own = f"list_filter(list_distinct({SEG(c=c)}), lambda x: strlen(x) >= 3)"
-    return f"list_concat({own}, CASE WHEN strlen({c}) >= 3 AND NOT regexp_matches({c}, '\\s') AND NOT list_contains({own}, lower({c})) THEN [lower({c})] ELSE [] END)[1:64]"
+def _terms_sql(c):
+    """Segments of three bytes or more, as often as they occur, and the whole in lower case where it has no white space and isn't one of them."""
+    own = f"list_filter({SEG(c=c)}, lambda x: strlen(x) >= 3)"
+    return f"list_concat({own}, CASE WHEN strlen({c}) >= 3 AND NOT regexp_matches({c}, '\\s') AND NOT list_contains({own}, lower({c})) THEN [lower({c})] ELSE [] END)"
 
 
-def _spark_tokens(n, c="signature"):
-    return n.select("id", F.lit("").alias("field"), I.index_tokens(F.col(c)).alias("tokens"))
+def _spark_terms(n, c="signature", field=""):
+    return n.select("id", F.lit(field).alias("field"), I.index_terms(F.col(c)).alias("tokens"))
 
 
 def _bm25_sql(terms, source, weights=(("", 1.0),)):
@@ -28,26 +28,26 @@ def _bm25_sql(terms, source, weights=(("", 1.0),)):
             f"ln(((SELECT count(*) FROM {own}) - (SELECT count(*) FROM {own} WHERE list_contains(tokens, '{t}')) + 0.5) / ((SELECT count(*) FROM {own} WHERE list_contains(tokens, '{t}')) + 0.5) + 1) * 2.2 * h{i} / (h{i} + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(len(tokens)) FROM {own})))"
             for i, t in enumerate(terms)
         )
-        flags = ", ".join(f"CAST(list_contains(tokens, '{t}') AS INT) AS h{i}" for i, t in enumerate(terms))
+        flags = ", ".join(f"len(list_filter(tokens, lambda x: x = '{t}')) AS h{i}" for i, t in enumerate(terms))
         parts.append(f"SELECT id, CAST({w} * ({terms_sql}) AS DOUBLE) AS s FROM (SELECT id, len(tokens) AS dl, {flags} FROM {own})")
     return f"SELECT id, round(sum(s), 6) AS score FROM ({' UNION ALL '.join(parts)}) GROUP BY id"
 
 
-_METHODS = f"SELECT id, '' AS field, {_tokens_sql('signature')} AS tokens FROM nodes WHERE kind = 'method'"
+_ALL = f"SELECT id, '' AS field, {_terms_sql('signature')} AS tokens FROM nodes"
 
 
-@query(_bm25_sql(["red", "widget"], _METHODS), ("nodes",))
+@query(_bm25_sql(["red", "widget"], _ALL), ("nodes",))
 def bm25(spark, d):
-    return ranking.bm25(_spark_tokens(Graph(spark, d).nodes.where("kind = 'method'")), ["red", "widget"]).select("id", F.round("score", 6).alias("score"))
+    return ranking.bm25(_spark_terms(Graph(spark, d).nodes), ["red", "widget"]).select("id", F.round("score", 6).alias("score"))
 
 
-_FIELDS = f"SELECT id, 'signature' AS field, {_tokens_sql('signature')} AS tokens FROM nodes WHERE kind = 'method' UNION ALL SELECT id, 'path', {_tokens_sql('path')} FROM nodes WHERE kind = 'method'"
+_FIELDS = f"SELECT id, 'signature' AS field, {_terms_sql('signature')} AS tokens FROM nodes UNION ALL SELECT id, 'path', {_terms_sql('path')} FROM nodes"
 
 
 @query(_bm25_sql(["brand", "ring", "economy"], _FIELDS, (("signature", 3.0), ("path", 1.0))), ("nodes",))
 def bm25_fields(spark, d):
-    n = Graph(spark, d).nodes.where("kind = 'method'")
-    docs = n.select("id", F.lit("signature").alias("field"), I.index_tokens(F.col("signature")).alias("tokens")).union(n.select("id", F.lit("path").alias("field"), I.index_tokens(F.col("path")).alias("tokens")))
+    n = Graph(spark, d).nodes
+    docs = _spark_terms(n, "signature", "signature").union(_spark_terms(n, "path", "path"))
     return ranking.bm25(docs, ["brand", "ring", "economy"], {"signature": 3.0, "path": 1.0}).select("id", F.round("score", 6).alias("score"))
 
 
@@ -144,7 +144,7 @@ def budget_prefix(spark, d):
 
 @query()
 def knapsack(spark, d):
-    n = Graph(spark, d).nodes.where("kind = 'method'")
+    n = Graph(spark, d).nodes
     c = n.select(F.col("package").alias("query_id"), "id", I.token_cost(F.col("signature"), F.col("kind"), F.col("path")).alias("cost"), ((F.col("id") % 997) / 997.0).cast("double").alias("score"))
     return ranking.knapsack(c, 500)
 
@@ -292,7 +292,7 @@ def symbol_ladder(spark, d):
 def fuzzy_fused(spark, d):
     from skein.plans.retrieval import fuzzy_search
 
-    return fuzzy_search(Graph(spark, d).nodes.where("kind = 'method'"), "red widgt", 50)
+    return fuzzy_search(Graph(spark, d).nodes, "red widgt", 50)
 
 
 @query()
@@ -401,3 +401,38 @@ def manifest_dependencies(spark, d):
     p = Graph(spark, d).table("part")
     text = F.concat(F.lit('{"name":"x","dependencies":{"lib-'), F.col("p_size").cast("string"), F.lit('":"^'), (F.col("p_size") % 9).cast("string"), F.lit('.0.0"}}'))
     return ingest.package_dependencies(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/package.json")).alias("path"), text.alias("text")))
+
+
+def _questions(spark, d):
+    """A query table: a question for each nation, part brand and type of event."""
+    g = Graph(spark, d)
+    ask = lambda df, c, code, words: df.select(F.concat(F.lit(words), F.col(c)).alias("query")).distinct().withColumn("code", F.lit(code))
+    q = ask(g.table("nation"), "n_name", 1, "which suppliers and ordrs does ").unionByName(ask(g.table("part"), "p_brand", 2, "widgets of ")).unionByName(ask(g.table("events"), "event_type", 3, "how are users handled by "))
+    return q.select(F.xxhash64("code", "query").alias("q"), "query")
+
+
+def _near(spark, d):
+    """Vectors of the questions: each embedding stands for the document of its number, and a question for the embedding that its number falls on."""
+    e = Graph(spark, d).table("embeddings")
+    n = e.agg(F.max("vec_id").alias("n"))
+    own = _questions(spark, d).crossJoin(F.broadcast(n)).select("q", F.expr("pmod(q, n + 1)").alias("vec_id")).join(e, "vec_id").select(F.col("q").alias("vec_id"), "embedding")
+    from skein.plans.retrieval import nearest_vectors
+
+    return nearest_vectors(e, own, 20).select("q", (F.lit(30000000000) + F.col("vec_id")).alias("id"), F.col("sim").alias("cosine"))
+
+
+@query()
+def seed_cascade(spark, d):
+    from skein.operators.cascade import Cascade
+
+    g = Graph(spark, d)
+    s = Cascade(_questions(spark, d), g.nodes, _near(spark, d)).seeds(g.edges)
+    return s.select("q", "rank", "id", "source", "found", F.round("score", 9).alias("score"), F.round("weight", 6).alias("weight"))
+
+
+@query()
+def explain_lanes(spark, d):
+    from skein.operators.cascade import explain
+
+    g = Graph(spark, d)
+    return explain(_questions(spark, d), g.nodes, g.edges, _near(spark, d))
