@@ -94,10 +94,58 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, limit: int = 500) -> DataFrame:
-    """(path, depth) of files that reach the seeds, the nearest first."""
-    reached = bfs(reverse(edges), seeds, depth)
-    return reached.join(nodes.select("id", "path"), "id").groupBy("path").agg(F.min("depth").alias("depth")).orderBy("depth", "path").limit(limit)
+def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, limit: int = 500, matches: DataFrame | None = None, together: tuple[str, ...] = ()) -> DataFrame:
+    """(path, depth, phase) of files that a change of the seeds may touch, the nearest first.
+
+    Each round goes from what the last one reached over three kinds of steps: against edges (phase 1), from a file to those that import it by
+    matches (path, target) (phase 2), and within packages of the languages named, whose files see each other without an import (phase 3). A file's phase is the least of
+    those that reach it first; seeds have 0. A file is opened once, and so is a package, which stands between its files: their pairs are never made.
+    """
+    n = written(nodes.select("id", "path", F.when(F.col("language").isin(*together), F.col("package")).alias("package") if together else F.lit(None).cast("string").alias("package")))
+    seen = frontier = written(seeds.where("id IS NOT NULL").select("id", F.lit(0).alias("depth"), F.lit(0).alias("phase")).distinct())
+    opened = {"path": None, "package": None}
+    with by_source(reverse(known(edges))) as back:
+        for hop in range(1, depth + 1):
+            ways = frontier.select(F.col("id").alias("src")).join(back, "src").select(F.col("dst").alias("id"), F.lit(1).alias("phase"))
+            at = n.join(frontier.select("id"), "id", "left_semi")
+            for column, phase in (("path", 2), ("package", 3)):
+                if (column == "path" and matches is None) or (column == "package" and not together):
+                    continue
+                new = at.where(F.col(column).isNotNull()).select(column).distinct()
+                if opened[column] is not None:
+                    new = new.join(opened[column], column, "left_anti")
+                new = written(new)
+                opened[column] = new if opened[column] is None else opened[column].union(new)
+                there = new if phase == 3 else matches.join(new.withColumnRenamed("path", "target"), "target", "left_semi").select("path").distinct()
+                ways = ways.unionByName(n.join(there, column, "left_semi").select("id", F.lit(phase).alias("phase")))
+            found = ways.groupBy("id").agg(F.min("phase").alias("phase")).join(seen, "id", "left_anti")
+            frontier, got = counted_write(found.select("id", F.lit(hop).alias("depth"), "phase"))
+            if not got["n"]:
+                break
+            seen = seen.unionByName(frontier)
+    first = seen.join(n, "id").groupBy("path").agg(F.min(F.struct("depth", "phase")).alias("f"))
+    return first.select("path", "f.depth", "f.phase").orderBy("depth", "path").limit(limit)
+
+
+def nearest_methods(wanted: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class, name, owner, id, depth): of wanted (class, name), the method (class, name, id) that a class has itself or from its nearest ancestor over bases (class, base).
+
+    Among ancestors as near, the least owner wins, then the least id. What is found climbs no further, a class is asked once for the same
+    question, and the rounds end when no question climbs: at any depth, and on cycles. Methods that no ancestor has give no row.
+    """
+    own = written(methods.where("class IS NOT NULL AND name IS NOT NULL").groupBy("class", "name").agg(F.min("id").alias("id")).withColumnRenamed("class", "at"))
+    up = written(bases.where("class IS NOT NULL AND base IS NOT NULL").select(F.col("class").alias("at"), "base").distinct())
+    asked = seen = written(wanted.where("class IS NOT NULL AND name IS NOT NULL").select("class", "name", F.col("class").alias("at")).distinct())
+    out = None
+    for hop in count():
+        hits, got = counted_write(asked.join(own, ["at", "name"]).groupBy("class", "name").agg(F.min(F.struct("at", "id")).alias("m")).select("class", "name", F.col("m.at").alias("owner"), "m.id", F.lit(hop).alias("depth")))
+        out = hits if out is None else out.unionByName(hits)
+        open_ = asked.join(hits, ["class", "name"], "left_anti") if got["n"] else asked
+        climbed = open_.join(up, "at").select("class", "name", F.col("base").alias("at")).distinct().join(seen, ["class", "name", "at"], "left_anti")
+        asked, got = counted_write(climbed)
+        if not got["n"]:
+            return out
+        seen = seen.union(asked)
 
 
 def directional_subgraph(edges: DataFrame, seed: DataFrame, depth: int, containment: str = "defines/binding") -> DataFrame:

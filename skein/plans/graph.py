@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.catalog import Graph, query
-from skein.operators import filters, overview, seeding, traverse
+from skein.operators import filters, imports, overview, seeding, traverse
 from skein.plans.relational import NE
 from skein.schemas import EDGE_WEIGHTS
 
@@ -63,10 +63,31 @@ def subgraph_both(spark, d):
     return traverse.directional_subgraph(g.edges, spark.createDataFrame([(40000000003,)], "id long"), 2)
 
 
-@query("WITH " + _reach("r", "SELECT dst AS src, src AS dst FROM edges", "SELECT id FROM nodes WHERE kind = 'method' AND id % 400 = 5", 3) + " SELECT path, min(depth) AS depth FROM r JOIN nodes USING (id) GROUP BY path ORDER BY depth, path LIMIT 500", NE)
+def _blast_sql(depth: int) -> str:
+    """Rounds over edges, imports and packages; each frontier is distinct and has the least phase that leads to a node."""
+    steps = [
+        "im AS MATERIALIZED (SELECT DISTINCT a.path, b.path AS target FROM nodes a JOIN nodes b ON b.path = regexp_replace(a.path, 'machinery[.]ts$', 'building.ts') WHERE ends_with(a.path, '/machinery.ts'))",
+        "f0 AS (SELECT id, 0 AS phase FROM nodes WHERE kind = 'class' AND id % 400 = 5)",
+    ]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM f{i}" for i in range(k))
+        at = f"(SELECT DISTINCT path, language, package FROM nodes WHERE id IN (SELECT id FROM f{k - 1}))"
+        ways = f"""SELECT e.src AS id, 1 AS phase FROM f{k - 1} f JOIN edges e ON f.id = e.dst UNION ALL SELECT n.id, 2 FROM nodes n WHERE n.path IN (SELECT im.path FROM im JOIN {at} t ON im.target = t.path)
+        UNION ALL SELECT n.id, 3 FROM nodes n WHERE n.language = 'go' AND n.package IN (SELECT package FROM {at} t WHERE language = 'go')"""
+        steps.append(f"f{k} AS MATERIALIZED (SELECT id, min(phase) AS phase FROM ({ways}) WHERE id NOT IN ({seen}) GROUP BY id)")
+    rows = " UNION ALL ".join(f"SELECT id, {k} AS depth, phase FROM f{k}" for k in range(depth + 1))
+    return "WITH " + ", ".join(steps) + f", r AS (SELECT path, depth, min(phase) AS phase, row_number() OVER (PARTITION BY path ORDER BY depth) AS n FROM ({rows}) JOIN nodes USING (id) GROUP BY path, depth) SELECT path, depth, phase FROM r WHERE n = 1 ORDER BY depth, path LIMIT 500"
+
+
+@query(_blast_sql(3), NE)
 def blast_radius(spark, d):
+    """Edges, imports that resolve by path (each folder's machinery.ts imports ./building), and Go packages."""
     g = Graph(spark, d)
-    return traverse.blast_radius(g.edges, g.nodes, g.nodes.where("kind = 'method' AND id % 400 = 5").select("id"), 3)
+    n = g.nodes
+    files = n.groupBy("path").agg(F.min("id").alias("file_id"))
+    asked = files.where(F.col("path").endswith("/machinery.ts")).select(F.col("file_id").alias("import_id"), F.lit("typescript").alias("language"), F.lit("import:./building").alias("spec"), "path")
+    matches = imports.resolve(asked, files).select("path", "target")
+    return traverse.blast_radius(g.edges, n, n.where("kind = 'class' AND id % 400 = 5").select("id"), 3, matches=matches, together=("go",))
 
 
 def _ppr_sql(edges: str, seeds: str, rounds: int, depth: int) -> str:
@@ -274,16 +295,23 @@ def callee_seeds(spark, d):
 
 
 @query(
-    """WITH RECURSIVE h AS (SELECT n_nationkey AS id, n_regionkey AS base FROM nation WHERE n_nationkey <> n_regionkey UNION ALL SELECT h.id, n.n_regionkey FROM h JOIN nation n ON h.base = n.n_nationkey WHERE n.n_nationkey <> n.n_regionkey),
-    d AS (SELECT id, base FROM h) SELECT DISTINCT id, base FROM d"""
+    """WITH c AS (SELECT id AS class, 30000000000 + (id - 30000000000) // 3 AS base FROM nodes WHERE kind = 'class' AND id < 40000000000), b AS (SELECT * FROM c WHERE base IN (SELECT class FROM c) AND base <> class),
+    m AS (SELECT e.dst AS class, split_part(regexp_replace(n.signature, '^.*[.]', ''), '_', 1) AS name, min(n.id) AS id FROM edges e JOIN nodes n ON e.src = n.id WHERE e.kind = 'ref/field' GROUP BY 1, 2),
+    w AS (SELECT class, name FROM c, (SELECT DISTINCT name FROM m)), a AS (SELECT class, class AS up, 0 AS depth FROM c UNION SELECT a.class, b.base, a.depth + 1 FROM a JOIN b ON a.up = b.class),
+    j AS (SELECT w.class, w.name, a.up AS owner, m.id, a.depth, row_number() OVER (PARTITION BY w.class, w.name ORDER BY a.depth, a.up, m.id) AS n FROM w JOIN a ON w.class = a.class JOIN m ON m.class = a.up AND m.name = w.name)
+    SELECT class, name, owner, id, depth FROM j WHERE n = 1""",
+    NE,
 )
 def inherited_methods(spark, d):
-    """Ancestors in a class hierarchy: here each nation's base is the nation of its region's number."""
-    n = Graph(spark, d).table("nation").where("n_nationkey <> n_regionkey").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
-    pairs = n
-    for _ in range(5):
-        pairs = pairs.union(pairs.select("src", F.col("dst").alias("mid")).join(n.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")).distinct()
-    return pairs.select(F.col("src").cast("int").alias("id"), F.col("dst").cast("int").alias("base"))
+    """Each customer class inherits from the one of a third of its number; parts with a field edge to a class are its methods, by the first word of their names."""
+    g = Graph(spark, d)
+    n = g.nodes
+    c = n.where("kind = 'class' AND id < 40000000000").select(F.col("id").alias("class"), F.expr("30000000000 + (id - 30000000000) div 3").alias("base"))
+    own = g.edges.where("kind = 'ref/field'").select("src", F.col("dst").alias("class")).join(n.select(F.col("id").alias("src"), "signature"), "src")
+    methods = own.select("class", F.substring_index(F.regexp_replace("signature", "^.*[.]", ""), "_", 1).alias("name"), F.col("src").alias("id"))
+    wanted = c.select("class").crossJoin(F.broadcast(methods.select("name").distinct()))  # names are the first words of parts, a few
+    bases = c.where("base <> class").join(c.select(F.col("class").alias("base")), "base", "left_semi")
+    return traverse.nearest_methods(wanted, bases, methods)
 
 
 _SCORE = "(id * 7919) % 1009"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.catalog import Graph, query
 from skein.functions import identifiers as I
 from skein.operators import filters, joins, merge
-from skein.sources.storage import counted
+from skein.sources.storage import counted, running
 
 NE = ("nodes", "edges")
 
@@ -291,6 +291,28 @@ def import_resolution(spark, d):
     return joins.resolve_imports(imports, files)
 
 
+_IMPORTS = """WITH f AS (SELECT path, min(id) AS id FROM nodes GROUP BY path), d AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM f WHERE contains(path, '/'))"""
+
+
+@query(
+    _IMPORTS + """, g AS (SELECT id AS import_id, path, 'example.com/x/' || folder AS spec FROM d)
+    SELECT import_id, g.path, t.id AS file_id, t.path AS target, 'module folder' AS rule FROM g JOIN d t ON g.spec = t.folder OR ends_with(g.spec, '/' || t.folder)
+    UNION ALL SELECT d.id, d.path, t.id, t.path, 'relative' FROM d JOIN f t ON t.path = d.folder || '/building.ts' WHERE ends_with(d.path, '.ts')
+    UNION ALL SELECT d.id, d.path, t.id, t.path, 'library' FROM d JOIN f t ON t.path = regexp_replace(d.path, '^[^/]*/', '') OR ends_with(t.path, '/' || regexp_replace(d.path, '^[^/]*/', '')) WHERE ends_with(d.path, '.md')""",
+    ("nodes",),
+)
+def import_resolvers(spark, d):
+    """Imports of three kinds made of all paths: a Go module of each folder, the sibling ./building of each script, a library of each document."""
+    from skein.operators import imports
+
+    files = Graph(spark, d).nodes.groupBy("path").agg(F.min("id").alias("file_id"))
+    f = files.where("contains(path, '/')").select(F.col("file_id").alias("import_id"), "path", imports.folder(F.col("path")).alias("folder"))
+    row = lambda df, language, spec: df.select("import_id", F.lit(language).alias("language"), spec.alias("spec"), "path")
+    made = row(f, "go", F.concat(F.lit("import:example.com/x/"), "folder")).unionByName(row(f.where(F.col("path").endswith(".ts")), "typescript", F.lit("./building")))
+    made = made.unionByName(row(f.where(F.col("path").endswith(".md")), "dart", F.concat(F.lit("package:"), "path")))
+    return imports.resolve(made, files)
+
+
 @query(
     """WITH f AS (SELECT path, min(id) AS id FROM nodes WHERE kind IN ('class', 'file') GROUP BY path), c AS (SELECT f.id AS importer, unnest([regexp_replace(path, '/[^/]*$', '') || '/machinery.ts', regexp_replace(path, '/[^/]*$', '') || '/machinery/index.ts', regexp_replace(path, '/[^/]*$', '') || '/building.ts']) AS candidate FROM f)
     SELECT importer, f.id AS target FROM c JOIN f ON candidate = f.path WHERE importer <> f.id""",
@@ -339,12 +361,10 @@ def workspace_versions(spark, d):
     NE,
 )
 def call_resolution(spark, d):
-    from pyspark.sql import Window as W
-
     g = Graph(spark, d)
     n = g.nodes
     e = g.edges.where("kind = 'ffi/call'").select("src", "dst").join(n.select(F.col("id").alias("dst"), "signature"), "dst")
-    ranked = e.select(F.row_number().over(W.orderBy("src", "dst")).cast("long").alias("call_id"), "src", F.lit("rust").alias("language"), F.lit("parts").alias("corpus"), F.when(F.col("dst") % 5 == 0, "method:none").otherwise(F.col("signature")).alias("callee"))
+    ranked = running(e.withColumn("_one", F.lit(1)), ["src", "dst"], "_one").select(F.col("number").cast("long").alias("call_id"), "src", F.lit("rust").alias("language"), F.lit("parts").alias("corpus"), F.when(F.col("dst") % 5 == 0, "method:none").otherwise(F.col("signature")).alias("callee"))
     return joins.resolve_calls(ranked, n)
 
 

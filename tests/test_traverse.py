@@ -150,3 +150,23 @@ def test_strong_components_and_layers(spark):
                 up[homes[a]].add(homes[b])
         deep = lambda h: max((1 + deep(x) for x in up[h]), default=0)
         assert {r["id"]: r["layer"] for r in traverse.layers(df).collect()} == {i: deep(h) for i, h in homes.items()}
+
+
+def test_blast_radius_over_edges_imports_and_packages(spark):
+    nodes = spark.createDataFrame([(1, "a.go", "go", "p"), (2, "b.go", "go", "p"), (3, "c.ts", "ts", "p"), (4, "d.ts", "ts", "q"), (5, "e.go", "go", "q"), (6, "f.go", "go", "q"), (7, "c.ts", "ts", "p"), (8, "z.go", "go", NONE)], "id long, path string, language string, package string")
+    edges = spark.createDataFrame([(7, 2), (NONE, 1), (8, NONE)], "src long, dst long")
+    matches = spark.createDataFrame([("d.ts", "c.ts"), ("e.go", "d.ts"), ("c.ts", "d.ts")], "path string, target string")
+    run = lambda **k: {tuple(r) for r in traverse.blast_radius(edges, nodes, seeds(spark, 1), 9, **k).collect()}
+    assert run() == {("a.go", 0, 0)}
+    assert run(together=("go",)) == {("a.go", 0, 0), ("b.go", 1, 3), ("c.ts", 2, 1)}
+    assert run(together=("go",), matches=matches) == {("a.go", 0, 0), ("b.go", 1, 3), ("c.ts", 2, 1), ("d.ts", 3, 2), ("e.go", 4, 2), ("f.go", 5, 3)}
+    assert {r["path"] for r in traverse.blast_radius(edges, nodes, seeds(spark, 1), 9, limit=2, matches=matches, together=("go",)).collect()} == {"a.go", "b.go"}
+
+
+def test_nearest_methods(spark):
+    bases = [(1, 2), (2, 3), (3, 4), (4, 2), (5, 6), (5, 7), (6, 8), (7, 8), (9, 9), *((i, i + 1) for i in range(20, 32)), (NONE, 1), (1, NONE)]
+    methods = [(3, "go", 30), (3, "go", 29), (4, "stop", 40), (7, "run", 70), (6, "run", 61), (8, "run", 80), (1, "own", 10), (32, "deep", 320), (NONE, "x", 1), (1, NONE, 2)]
+    wanted = [(c, n) for c in (1, 2, 5, 9, 20, NONE) for n in ("go", "stop", "run", "own", "deep", "none", NONE)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = traverse.nearest_methods(made(wanted, "class long, name string"), made(bases, "class long, base long"), made(methods, "class long, name string, id long"))
+    assert {tuple(r) for r in got.collect()} == {(1, "own", 1, 10, 0), (1, "go", 3, 29, 2), (1, "stop", 4, 40, 3), (2, "go", 3, 29, 1), (2, "stop", 4, 40, 2), (5, "run", 6, 61, 1), (20, "deep", 32, 320, 12)}
