@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import functools
 import json
 import math
 import re
@@ -181,10 +182,15 @@ def unsqueeze_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64)
 
 
+@functools.lru_cache(maxsize=1)
+def _edges(ranges: int) -> np.ndarray:
+    """Where so many equal ranges of the 64-bit space start; made once in a worker."""
+    return np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+
+
 def range_starts(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of so many equal ranges of the 64-bit space starts in sorted keys, and the end."""
-    edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+    return np.append(np.searchsorted(keys, _edges(ranges)), len(keys))
 
 
 def runs(keys: np.ndarray) -> np.ndarray:

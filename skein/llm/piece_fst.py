@@ -12,7 +12,8 @@ length, and the tropical semiring's shortest path is the encoder's own result.
 Pieces never join two words, so that the lattice falls apart before each word's white space and around each character
 that no longer piece contains. The paths of words and the weights of pairs are kept in bounded tables.
 
-Byte-pair models with byte fallback are compiled, with any character map; others raise a ValueError.
+Byte-pair models with byte fallback are compiled, with any character map; others raise a ValueError, as do user-defined pieces and models that
+don't write spaces as a piece's mark. Control pieces are never read from a text and decode to nothing.
 
 Null text is empty and has no ids. An empty table gives an empty result. Rows, repeated ones too, are encoded each for itself; a very long
 text or word takes time and memory in proportion. Other columns are ignored, whatever their names.
@@ -32,7 +33,7 @@ from skein.llm import common as C
 SPACE = "▁"
 #: Paths of words and weights of pairs kept before a table is emptied; words of more characters than LONGEST are not kept.
 PATHS, PAIRS, LONGEST = 600_000, 600_000, 64
-_NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
+_NORMAL, _UNKNOWN, _DEFINED, _BYTE = 1, 2, 4, 6
 
 
 def _fields(b: bytes):
@@ -128,6 +129,8 @@ class Transducer:
         for number, value in _fields(model):
             if number == 1:
                 own = dict(_fields(value))
+                if own.get(3, _NORMAL) == _DEFINED:
+                    raise ValueError("user-defined pieces aren't supported")
                 piece, kind, at = own[1].decode(), own.get(3, _NORMAL), len(self.text)
                 self.text.append(bytes([int(piece[3:5], 16)]) if kind == _BYTE else piece.encode() if kind == _NORMAL else " ⁇ ".encode() if kind == _UNKNOWN else b"")
                 if kind == _BYTE:
@@ -141,6 +144,8 @@ class Transducer:
             elif number == 3:
                 own = dict(_fields(value))
                 dummy_prefix, squeeze, charsmap = bool(own.get(3, 1)), bool(own.get(4, 1)), own.get(2, b"")
+                if not own.get(5, 1):
+                    raise ValueError("models that keep spaces as they are aren't supported")
         if model_type != 2 or len(self.bytes) != 256 or suffix:
             raise ValueError("only byte-pair models with byte fallback and white space before words are compiled")
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):

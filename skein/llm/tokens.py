@@ -2,7 +2,8 @@
 
 A byte-level BPE pre-tokenizer starts a new token wherever white space follows another character, and one that drops
 white space starts one at any; so encoding such pieces apart gives the ids of the whole text. Texts with the few
-characters that Python alone calls white space are encoded whole. Special tokens' strings are ordinary text.
+characters that Python alone calls white space are encoded whole, and so are texts that hold the string of an added token in any case: as the
+library does by default, such a string is that token's id. With special=False the strings of special tokens are ordinary text.
 
 Whether a file's normaliser and pre-tokenizer are of these kinds is tried when it is loaded, on texts of many kinds against
 the library; if any differs, that file's texts are always encoded whole. An empty text has no ids; a very long one is held whole.
@@ -64,15 +65,17 @@ class PieceEncoder:
     case only; so far fewer pieces than there are spellings go through the tokenizer.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.keep_space, self.known, self.parts, self.whole = keep_space, {}, {}, False
-        trials = _trials(self.tokenizer.get_vocab())
+        trials = _trials(self.tokenizer.get_vocab()) + [x for t in added for x in (t, f"a{t}b", f"so {t} it is", f"{t.upper()} {t}")]
         try:
             self.whole = self.encode(trials) != self._whole(trials)
         except Exception:  # an entry that the model can't read apart
@@ -80,6 +83,8 @@ class PieceEncoder:
         self.known.clear()
 
     def keys(self, text: str) -> list[str]:
+        if self.added is not None and self.added.search(text) is not None:
+            return ["\0" + text]
         if not self.keep_space:
             if any(c in text for c in _WHOLE):
                 return ["\0" + text]
@@ -154,11 +159,12 @@ class PieceEncoder:
         return [b"".join(ids) for ids in found]
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> PieceEncoder:
-    """One for each worker and file."""
-    if (path, keep_space) not in _encoders:
-        _encoders[path, keep_space] = PieceEncoder(path, keep_space)
-    return _encoders[path, keep_space]
+def encoder(path: str, keep_space: bool, special: bool = True) -> PieceEncoder:
+    """One for each worker, file and reading of special tokens' strings."""
+    key = path, keep_space, special
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]

@@ -202,15 +202,20 @@ def test_cascade_without_counts_gives_the_same_verdicts(docs):
     assert a == b
 
 
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize("name, keep_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_piece_encoder(rows, name, keep_space):
+def test_piece_encoder(rows, name, keep_space, special):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
+    assert t.get_added_tokens_decoder()
     rng = random.Random(1)
-    texts = [t or "" for _, t in rows] + ["".join(rng.choice("ab'sS1 !?é\n\n  \t\r É.T$\x1cΣ") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    got = PieceEncoder(public_tokenizers.path(name), keep_space).encode(texts)
+    own = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = [f"{a}{x}{b}" for x in [*own, *map(str.upper, own)] for a in ("", "hello ", "hello", "\n", "x  ") for b in ("", " world", "world", x, "\x1c")] + [t or "" for _, t in rows] + ["".join(rng.choice("ab'sS1 !?é\n\n  \t\r É.T$\x1cΣ") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    e = PieceEncoder(public_tokenizers.path(name), keep_space, special)
+    assert not e.whole
+    got = e.encode(texts)
     assert got == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -240,7 +245,6 @@ def test_token_files(spark, docs, rows):
     manifest = token_files.write_tokens(docs, folder, path, end_id=2)
     got = by_id(token_files.read_tokens(spark, folder, manifest, with_ids=True), "start", "n_tokens", "ids_crc32", "ids")
     t, at = Tokenizer.from_file(path), 0
-    t.encode_special_tokens = True
     for d, text in sorted(rows):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         assert got[d] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
@@ -252,7 +256,6 @@ def test_packing(docs, rows):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {d: t.encode(x or "", add_special_tokens=False).ids + [1] for d, x in rows}
     pieces = packing.pack(docs, path, length=256, keep_ids=True).collect()
     for d, ids in want.items():
@@ -543,3 +546,25 @@ def test_transducer_with_a_character_map(tmp_path):
         texts += ["".join(rng.choice("aAé́ 　ﬁ①½Ａ­ß\tßķｶﾞ‍日") for _ in range(rng.randint(0, 25))) for _ in range(1500)]
         for t in texts:
             assert np.frombuffer(m.encode(t), "<u4").tolist() == sp.encode(t), (rule, t)
+
+
+def test_user_defined_pieces_are_refused(tmp_path):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    piece = b"\x0a\x05<sep>\x15\x00\x00\x00\x00\x18"  # its text, a score of 0 and its kind
+    for kind, fine in ((3, True), (4, False)):
+        own = piece + bytes([kind])
+        path = tmp_path / f"{kind}.model"
+        path.write_bytes(model + b"\x0a" + bytes([len(own)]) + own)
+        if fine:
+            piece_fst.Transducer(str(path))
+        else:
+            with pytest.raises(ValueError):
+                piece_fst.Transducer(str(path))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 1000])
+def test_range_starts(ranges):
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 500, dtype=np.uint64))
+    at = C.range_starts(keys, ranges)
+    assert len(at) == ranges + 1 and all(int(k) * ranges >> 64 == i for i in range(ranges) for k in keys[at[i] : at[i + 1]])
