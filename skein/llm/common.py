@@ -11,6 +11,7 @@ import atexit
 import ctypes
 import ctypes.util
 import functools
+import gc
 import json
 import math
 import re
@@ -57,6 +58,22 @@ def _give_back() -> None:
 
 _give_back()
 
+#: Tables of a worker that operators fill and others don't need: they are emptied by release().
+held_tables: list[dict] = []
+
+
+def release() -> None:
+    """Empties what an earlier stage left in this worker, which lives on: a stage that holds much itself asks for it when a task starts."""
+    full = [t for t in held_tables if t]
+    for t in full:
+        t.clear()
+    if full:
+        gc.collect()
+        libc = ctypes.util.find_library("c")
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+        if trim is not None:
+            trim(0)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Give executors this package, so that workers can import it wherever the driver runs, and bound the bytes of a batch where the session has no bound of its own."""

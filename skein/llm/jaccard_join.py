@@ -329,6 +329,7 @@ def _indexed(docs: DataFrame, ranges: int, width: int, meeting: float) -> DataFr
     """In one reading of the texts, rows of two kinds: a document's doc_id, n, h1, h2 (a 128-bit hash of the set) and sketch; a block's packed keys (part is set)."""
 
     def run(batches):
+        C.release()
         for ids, texts in C.gathered(batches):
             measured, sets = [], {}
             for doc, text in zip(ids, texts):

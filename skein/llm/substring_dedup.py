@@ -73,6 +73,7 @@ def find_spans(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", tex
     blocks = C.block_table(C.texts(docs, id_col, text_col, kept), carry=F.col("carried"))
 
     def emit(batches):
+        C.release()
         for pdf in batches:
             for block, *packed in zip(*(pdf[c] for c in ("block", "ids", "sizes", "marks", "texts"))):
                 ids, texts, _ = C.block_rows(*packed)

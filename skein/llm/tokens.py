@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from skein.llm import common as C
+
 #: Pieces kept before the table is emptied: some 180 MB.
 PIECES = 700_000
 #: Unknown pieces encoded at once, and the longest piece that is kept.
@@ -160,6 +162,7 @@ class PieceEncoder:
 
 
 _encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
+C.held_tables.append(_encoders)
 
 
 def encoder(path: str, keep_space: bool, special: bool = True) -> PieceEncoder:

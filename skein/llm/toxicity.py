@@ -239,6 +239,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
     shared = spark.sparkContext.broadcast(model)  # LEXICON words and TREES small trees
 
     def apply(batches):
+        C.release()
         m = shared.value
         for pdf in batches:
             for i in range(0, len(pdf), 512):
