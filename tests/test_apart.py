@@ -27,8 +27,9 @@ def test_the_rest_imports_without_the_training_data_folders(tmp_path, pipeline_s
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     env = os.environ | {"PYTHONPATH": f"{copy}:{os.environ.get('PYTHONPATH', '')}", "PYTHONDONTWRITEBYTECODE": "1"}
     subprocess.run([sys.executable, "-c", SCRIPT], cwd=copy, env=env, check=True)
-    # Of the tests that stay, those that are quick enough to be run twice; the others are imported.
-    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_seeding.py"], cwd=copy, env=env, capture_output=True, text=True)
-    assert ran.returncode == 0, ran.stdout[-2000:]
+    if not pipeline_stays:
+        # Of the tests that stay, some that are quick enough to be run twice; the others are imported.
+        ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_operators.py", "tests/test_imports.py"], cwd=copy, env=env, capture_output=True, text=True)
+        assert ran.returncode == 0, ran.stdout[-2000:]
     collected = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, capture_output=True, text=True)
     assert collected.returncode == 0, collected.stdout[-2000:]
