@@ -121,6 +121,80 @@ def unify(foreign: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("sym_id", F.coalesce("one", "two").alias("node_id"), rung.alias("rung"))
 
 
+#: Lines by which a definition may miss the span of its node.
+NEAR = 5
+
+
+def _family(language: F.Column) -> F.Column:
+    """Languages that share headers are one family."""
+    return F.when(language.isin("c", "cpp", "objectivec"), "c").otherwise(language)
+
+
+def _sort(kind: F.Column) -> F.Column:
+    return F.when(kind.isin("function", "method", "constructor"), "function").when(kind.isin("class", "interface", "struct", "enum", "trait", "type"), "class").otherwise("variable")
+
+
+def _block(name: F.Column) -> F.Column:
+    """A block of a test language that an indexer takes for a scope: <it works>, but not <init>, <Class:X>, <Module:X> or an operator like <=>."""
+    return F.coalesce(name.rlike("^<[A-Za-z].*>$") & ~name.rlike("^<(init>$|(Class|Module):)"), F.lit(False))
+
+
+def unify_rungs(foreign: DataFrame, nodes: DataFrame, near: int = NEAR) -> DataFrame:
+    """A compiler's definitions met with the graph's nodes: (sym_id, symbol, language, path, line, kind, node_id, rung, candidates).
+
+    foreign: sym_id, symbol, container, name, kind (function, class, variable), language, path, line; a symbol may occur in many files. The first rung that holds counts:
+
+    span      a node of that name in the file, around the line (the narrowest) or within `near` lines of it (the nearest); ties: least id
+    twin      another occurrence of the symbol met a node by span: that of its first occurrence
+    overload  a member function whose file has one group of overloads of that name: its first node; then twins of such
+    family    a function or class whose name is one group in one file of the language's family: its first node
+
+    dropped: blocks of test languages (_block), and definitions in one that have no node by span without it. unindexed: no node in that file; unplaced: no line;
+    neither meets anything. ambiguous: groups in several files (candidates says how many); missed: none. Overloads in one file count as one candidate.
+    A row without a name, path or kind meets nothing. Whatever the order of rows, the answer is the same: rungs are joins on (family, sort, name) and (path, sort, name).
+    """
+    n = nodes.where("kind NOT IN ('file', 'doc-chunk', 'package')").select(
+        F.col("id").alias("node_id"), "path", _family(F.col("language")).alias("_family"), _sort(F.col("kind")).alias("_sort"), F.regexp_replace("signature", "^[^:]*:", "").alias("_name"), F.col("line").alias("_from"), F.col("end_line").alias("_to")
+    )
+    inside = _block(F.col("container")) & ~_block(F.col("name"))
+    container = F.when(~inside, F.col("container"))
+    f = foreign.select("sym_id", "symbol", "language", "path", "line", "kind", "name", _family(F.col("language")).alias("_family"), _sort(F.col("kind")).alias("_sort"), inside.alias("_inside"), container.isNotNull().alias("_member"), F.concat_ws(".", container, "name").alias("_name"))
+    indexed = nodes.select("path").distinct().withColumn("_indexed", F.lit(True))
+    f = f.join(indexed, "path", "left")
+    open_ = F.col("_indexed") & F.col("line").isNotNull() & F.col("name").isNotNull() & F.col("kind").isNotNull() & ~_block(F.col("name"))
+    f = f.withColumn("_open", F.coalesce(open_, F.lit(False)))
+    live = f.where("_open")
+
+    within = (F.col("line") >= F.col("_from")) & (F.col("line") <= F.col("_to"))
+    off = F.abs(F.col("line") - F.col("_from"))
+    how = F.when(within, F.struct(F.lit(0).alias("by"), (F.col("_to") - F.col("_from")).alias("far"), "node_id")).when(off <= near, F.struct(F.lit(1).alias("by"), off.alias("far"), "node_id"))
+    one = live.select("sym_id", "path", "_sort", "_name", "line").join(n.drop("_family"), ["path", "_sort", "_name"]).groupBy("sym_id").agg(F.min(how)["node_id"].alias("_one"))
+
+    group = n.groupBy("_family", "_sort", "_name", "path").agg(F.min(F.struct(F.coalesce("_from", F.lit(2**31 - 1)).alias("at"), "node_id"))["node_id"].alias("_group"))
+    across = group.groupBy("_family", "_sort", "_name").agg(F.count(F.lit(1)).alias("candidates"), F.min("_group").alias("_only"))
+    tried = live.where("NOT _inside").join(one, "sym_id", "left").join(group, ["_family", "_sort", "_name", "path"], "left")
+    three = F.when(F.col("_member") & (F.col("_sort") == "function"), F.col("_group"))
+    tried = tried.select("sym_id", "symbol", "_family", "_sort", "_name", "_one", three.alias("_three")).join(across, ["_family", "_sort", "_name"], "left")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("sym_id", c)))[c]
+    spans = live.join(one, "sym_id").groupBy("symbol").agg(first("_one").alias("_two"))
+    groups = tried.groupBy("symbol").agg(first("_three").alias("_late"))
+    four = F.when((F.col("_sort") != "variable") & (F.col("candidates") == 1), F.col("_only"))
+    late = tried.join(spans, "symbol", "left").join(groups, "symbol", "left").select("sym_id", "_two", "_three", "_late", four.alias("_four"), F.when(F.col("_sort") != "variable", F.col("candidates")).alias("candidates"))
+
+    j = f.join(one, "sym_id", "left").join(late, "sym_id", "left")
+    rung = F.when(_block(F.col("name")), "dropped").when(F.col("_indexed").isNull(), "unindexed").when(F.col("line").isNull(), "unplaced")
+    rung = rung.when(F.col("_one").isNotNull(), "span").when(F.col("_inside"), "dropped").when(F.col("_two").isNotNull(), "twin").when(F.col("_three").isNotNull(), "overload").when(F.col("_late").isNotNull(), "twin")
+    rung = rung.when(F.col("_four").isNotNull(), "family").when(F.col("candidates") > 1, "ambiguous").otherwise("missed")
+    return j.select("sym_id", "symbol", "language", "path", "line", "kind", F.coalesce("_one", "_two", "_three", "_late", "_four").alias("node_id"), rung.alias("rung"), F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"))
+
+
+def unify_misses(outcome: DataFrame) -> DataFrame:
+    """(language, symbol, path, line, kind, candidates): functions and classes that unify_rungs tried and met nowhere, one row a symbol: its first occurrence."""
+    tried = outcome.where("kind IN ('function', 'class') AND rung NOT IN ('dropped', 'unindexed', 'unplaced')")
+    s = tried.groupBy("symbol").agg(F.count("node_id").alias("_met"), F.min(F.struct("sym_id", "language", "path", "line", "kind", "candidates")).alias("m"))
+    return s.where("_met = 0").select("m.language", "symbol", "m.path", "m.line", "m.kind", "m.candidates")
+
+
 def edit_overlap(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """(hunk_id, id): the innermost spans that a hunk of lines touches: those that hold no other touched span."""
     bins = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {BIN}"), F.expr(f"{b} div {BIN}"))).alias("bin")

@@ -44,6 +44,17 @@ def replace_report(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFram
     return changed.join(callers, "id", "left").select("id", "change", F.coalesce("callers", F.lit(0).cast("long")).alias("callers"))
 
 
+def dirty_files(old: DataFrame, new: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, removed, references): files outside the parsed ones with edges into nodes that the new parse has lost; how many of these, and by how many edges.
+
+    old, new: the nodes (id, path) of both parses of some files. The lost ids meet edges before edges meet files.
+    """
+    lost = old.select(F.col("id").alias("dst")).distinct().join(new.select(F.col("id").alias("dst")), "dst", "left_anti")
+    hit = edges.select("src", "dst").join(lost, "dst").join(nodes.select(F.col("id").alias("src"), "path"), "src")
+    hit = hit.join(old.select("path").union(new.select("path")).distinct(), "path", "left_anti")
+    return hit.groupBy("path", "dst").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.count(F.lit(1)).alias("removed"), F.sum("n").alias("references"))
+
+
 def guarded_delete(indexed: DataFrame, walked: DataFrame, key: str = "path", floor: int = 100, share: float = 0.5) -> DataFrame:
     """Keys that are indexed but were not walked; none if more would go than the floor and the share allow."""
     ghosts = indexed.select(key).distinct().join(walked.select(key).distinct(), key, "left_anti")

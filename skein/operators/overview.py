@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.identifiers import package_key
@@ -28,6 +29,40 @@ def directory_rollup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return s.groupBy("dir").agg(F.count(F.lit(1)).alias("symbols")).join(into, "dir", "left").fillna(0, ["dependents"])
 
 
+def repo_map(nodes: DataFrame, edges: DataFrame, budget: int = 40) -> DataFrame:
+    """(rank, tile, whole, files, symbols, dependents): folders that cover all nodes in at most `budget` rows, those that most files outside need first.
+
+    The heaviest folder is split into its subfolders, and a row for its own files, as long as the rows fit. As no folder weighs more than the one it lies in,
+    that order is the one by weight (symbols; ties: the upper, then the name), and the folders split are those whose running sum of added rows fits.
+    whole: the tile is a folder with all in it; else its own files only ("dir/*", "*" for the root). A node without path lies in the root.
+    dependents: files of other tiles with an edge into the tile. Edges meet paths before they are counted, paths meet folders once a path.
+    """
+    if budget < 1:
+        raise ValueError("a map has at least one row")
+    from skein.sources.storage import counted, running, written
+
+    at = nodes.select("id", F.coalesce("path", F.lit("")).alias("path"))
+    paths = written(at.groupBy("path").agg(F.count(F.lit(1)).alias("symbols")).withColumn("parts", F.split("path", "/")))
+    upto = lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/")
+    above = paths.select("path", "symbols", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth")).withColumn("dir", upto(F.col("depth")))
+    child = F.when(F.col("depth") + 1 < F.size("parts"), upto(F.col("depth") + 1))
+    children = above.withColumn("child", child).groupBy("depth", "dir", "child").agg(F.sum("symbols").alias("symbols"))
+    folders = children.groupBy("depth", "dir").agg(F.sum("symbols").alias("symbols"), (F.count(F.lit(1)) - 1).alias("added"), F.count("child").alias("below")).where("below > 0")
+    split = running(folders, [F.desc("symbols"), F.asc("depth"), F.asc("dir")], "added").where(F.col("running") + 1 <= budget).select("depth", "dir")
+    deepest = above.join(counted(split), ["depth", "dir"]).groupBy("path").agg(F.max("depth").alias("d"))
+    whole = F.col("d").isNull() | (F.col("d") + 1 < F.size("parts"))
+    own = F.when(F.col("d") == 0, "*").otherwise(F.concat(upto(F.col("d")), F.lit("/*")))
+    tile = F.when(F.col("d").isNull(), "").when(whole, upto(F.col("d") + 1)).otherwise(own)
+    placed = written(paths.join(deepest, "path", "left").select("path", "symbols", tile.alias("tile"), whole.alias("whole")))
+    s, t = at.select(F.col("id").alias("src"), F.col("path").alias("a")), at.select(F.col("id").alias("dst"), F.col("path").alias("b"))
+    pairs = edges.select("src", "dst").join(s, "src").join(t, "dst").where("a <> b").select("a", "b").distinct()
+    users = pairs.join(placed.select(F.col("path").alias("a"), F.struct("tile", "whole").alias("of")), "a").join(placed.select(F.col("path").alias("b"), "tile", "whole"), "b")
+    need = users.where(F.col("of") != F.struct("tile", "whole")).select("tile", "whole", "a").distinct().groupBy("tile", "whole").agg(F.count(F.lit(1)).alias("dependents"))
+    tiles = placed.groupBy("tile", "whole").agg(F.count(F.lit(1)).alias("files"), F.sum("symbols").alias("symbols")).join(need, ["tile", "whole"], "left").fillna(0, ["dependents"])
+    place = F.row_number().over(W.orderBy(F.desc("dependents"), F.desc("symbols"), "tile", "whole"))  # over at most `budget` rows
+    return tiles.select(place.alias("rank"), "tile", "whole", "files", "symbols", "dependents")
+
+
 def component_dependencies(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     """(component, target, weight, n): weighted edges between different components."""
     s, t = nodes.select(F.col("id").alias("src"), F.col(by).alias("component")), nodes.select(F.col("id").alias("dst"), F.col(by).alias("target"))

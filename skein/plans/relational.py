@@ -205,6 +205,17 @@ def reindex_replace_report(spark, d):
     return merge.replace_report(old, new, g.edges)
 
 
+@query(
+    """WITH lost AS (SELECT id FROM nodes WHERE kind = 'method' AND id % 9 = 0)
+    SELECT path, count(DISTINCT dst) AS removed, count(*) AS refs FROM edges JOIN lost ON dst = lost.id JOIN nodes s ON src = s.id WHERE path NOT IN (SELECT path FROM nodes WHERE kind = 'method') GROUP BY path""",
+    NE,
+)
+def dirty_callers(spark, d):
+    g = Graph(spark, d)
+    old = g.nodes.where("kind = 'method'")
+    return merge.dirty_files(old, old.where("id % 9 <> 0"), g.nodes, g.edges).withColumnRenamed("references", "refs")
+
+
 @query(r"SELECT page_id, replace(replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g'), '<', '&lt;'), '>', '&gt;') AS clean FROM pages")
 def sanitize_text(spark, d):
     from skein.functions.text import sanitize
@@ -269,6 +280,51 @@ def unify_ladder(spark, d):
     return joins.unify(f, n)
 
 
+#: Definitions as a compiler would name them, beside the graph's nodes with copies of some; read alike by Spark and by the SQL that defines the results.
+_TWICE = """SELECT id, path, language, signature, kind, line, end_line FROM nodes
+    UNION ALL SELECT id + 1000000000000, 'copy/' || path, language, signature, kind, line, end_line FROM nodes WHERE id % 10 = 8 AND kind IN ('class', 'method', 'function')
+    UNION ALL SELECT id + 2000000000000, path, language, signature, kind, line + 60, end_line + 60 FROM nodes WHERE id % 10 = 3 AND kind IN ('class', 'method', 'function')"""
+_FOREIGN = """SELECT id * 2 AS sym_id, signature AS symbol, CASE WHEN id % 10 = 7 THEN '<describe x>' WHEN kind = 'method' THEN split_part(regexp_replace(signature, '^[^:]*:', ''), '.', 1) END AS container,
+    CASE WHEN id % 10 = 0 THEN '<it works>' WHEN id % 10 = 5 THEN 'gone' WHEN kind = 'method' THEN split_part(regexp_replace(signature, '^[^:]*:', ''), '.', 2) ELSE regexp_replace(signature, '^[^:]*:', '') END AS name,
+    CASE WHEN kind = 'class' THEN 'class' ELSE 'function' END AS kind, language, CASE WHEN id % 10 = 2 THEN 'vendor/' || path WHEN id % 10 = 8 THEN 'users/app.py' ELSE path END AS path,
+    CASE id % 10 WHEN 6 THEN CAST(NULL AS INT) WHEN 1 THEN line + 3 WHEN 3 THEN line + 1000 WHEN 8 THEN line + 5000 ELSE line END AS line FROM nodes WHERE kind IN ('class', 'method', 'function')
+    UNION ALL SELECT id * 2 + 1, signature, NULL, regexp_replace(signature, '^[^:]*:', ''), CASE WHEN kind = 'class' THEN 'class' ELSE 'function' END, language, 'users/app.py', line + 7000 FROM nodes WHERE id % 10 = 4 AND kind IN ('class', 'method', 'function')"""
+_SORT = "CASE WHEN kind IN ('function', 'method', 'constructor') THEN 'function' WHEN kind IN ('class', 'interface', 'struct', 'enum', 'trait', 'type') THEN 'class' ELSE 'variable' END"
+_RUNGS = f"""WITH two AS ({_TWICE}), fo AS ({_FOREIGN}),
+    k AS (SELECT id AS node_id, path, language AS fam, {_SORT} AS sort, regexp_replace(signature, '^[^:]*:', '') AS nm, line AS a, end_line AS b FROM two WHERE kind NOT IN ('file', 'doc-chunk', 'package')),
+    f AS (SELECT *, {_SORT} AS sort, name LIKE '<it%' AS block, coalesce(container LIKE '<desc%', false) AND name NOT LIKE '<it%' AS inside, path IN (SELECT path FROM two) AS indexed FROM fo),
+    g AS (SELECT * EXCLUDE (container), CASE WHEN inside THEN NULL ELSE container END AS container, CASE WHEN inside OR container IS NULL THEN name ELSE container || '.' || name END AS nm, indexed AND line IS NOT NULL AND NOT block AS op FROM f),
+    one AS (SELECT sym_id, first(node_id ORDER BY CASE WHEN line BETWEEN a AND b THEN 0 ELSE 1 END, CASE WHEN line BETWEEN a AND b THEN b - a ELSE abs(line - a) END, node_id) AS one FROM g JOIN k USING (path, sort, nm) WHERE op AND (line BETWEEN a AND b OR abs(line - a) <= 5) GROUP BY sym_id),
+    grp AS (SELECT fam, sort, nm, path, first(node_id ORDER BY a, node_id) AS node_id FROM k GROUP BY ALL),
+    far AS (SELECT fam, sort, nm, count(*) AS n, min(node_id) AS only_id FROM grp GROUP BY ALL),
+    tw AS (SELECT symbol, arg_min(one, sym_id) AS two FROM g JOIN one USING (sym_id) GROUP BY symbol),
+    ov AS (SELECT sym_id, symbol, node_id AS three FROM g JOIN grp ON g.language = fam AND g.sort = grp.sort AND g.nm = grp.nm AND g.path = grp.path WHERE op AND NOT inside AND container IS NOT NULL AND g.sort = 'function'),
+    lt AS (SELECT symbol, arg_min(three, sym_id) AS late FROM ov GROUP BY symbol),
+    al AS (SELECT g.*, one, CASE WHEN op AND NOT inside THEN two END AS two, three, CASE WHEN op AND NOT inside THEN late END AS late, CASE WHEN op AND NOT inside AND g.sort <> 'variable' THEN coalesce(n, 0) ELSE 0 END AS candidates, only_id
+        FROM g LEFT JOIN one USING (sym_id) LEFT JOIN tw USING (symbol) LEFT JOIN (SELECT sym_id, three FROM ov) USING (sym_id) LEFT JOIN lt USING (symbol) LEFT JOIN far ON g.language = far.fam AND g.sort = far.sort AND g.nm = far.nm),
+    res AS (SELECT sym_id, symbol, language, path, line, kind, coalesce(one, two, three, late, CASE WHEN candidates = 1 THEN only_id END) AS node_id,
+        CASE WHEN block THEN 'dropped' WHEN NOT indexed THEN 'unindexed' WHEN line IS NULL THEN 'unplaced' WHEN one IS NOT NULL THEN 'span' WHEN inside THEN 'dropped' WHEN two IS NOT NULL THEN 'twin' WHEN three IS NOT NULL THEN 'overload' WHEN late IS NOT NULL THEN 'twin' WHEN candidates = 1 THEN 'family' WHEN candidates > 1 THEN 'ambiguous' ELSE 'missed' END AS rung, candidates FROM al)
+    """
+
+
+def _rungs(spark, d):
+    n = Graph(spark, d).nodes
+    return joins.unify_rungs(spark.sql(_FOREIGN.replace("FROM nodes", "FROM {nodes}"), nodes=n), spark.sql(_TWICE.replace("FROM nodes", "FROM {nodes}"), nodes=n))
+
+
+@query(_RUNGS + "SELECT * FROM res", ("nodes",))
+def unify_rungs(spark, d):
+    return _rungs(spark, d)
+
+
+@query(
+    _RUNGS + """SELECT language, symbol, path, line, kind, candidates FROM (SELECT *, count(node_id) OVER (PARTITION BY symbol) AS met, row_number() OVER (PARTITION BY symbol ORDER BY sym_id) AS r FROM res WHERE rung NOT IN ('dropped', 'unindexed', 'unplaced')) WHERE met = 0 AND r = 1""",
+    ("nodes",),
+)
+def unify_misses(spark, d):
+    return joins.unify_misses(_rungs(spark, d))
+
+
 @query("WITH al AS (SELECT id AS alias, id - id % 4 AS target FROM nodes WHERE kind = 'method' AND id % 4 <> 0) SELECT e.src, e.kind, coalesce(target, e.dst) AS callee FROM edges e LEFT JOIN al ON e.dst = al.alias WHERE e.kind IN ('ref/call', 'ffi/call')", NE)
 def alias_rewrite(spark, d):
     g = Graph(spark, d)
@@ -470,6 +526,27 @@ def repo_map(spark, d):
     return directory_rollup(g.nodes, g.edges)
 
 
+@query(
+    """WITH p AS (SELECT coalesce(path, '') AS path, count(*) AS symbols, string_split(coalesce(path, ''), '/') AS parts FROM nodes GROUP BY 1),
+    x AS (SELECT path, symbols, parts, unnest(range(0, len(parts))) AS depth FROM p),
+    a AS (SELECT *, array_to_string(parts[1:depth], '/') AS dir, CASE WHEN depth + 1 < len(parts) THEN array_to_string(parts[1:depth + 1], '/') END AS child FROM x),
+    f AS (SELECT depth, dir, sum(symbols) AS w, count(DISTINCT child) + max(CASE WHEN child IS NULL THEN 1 ELSE 0 END) - 1 AS added FROM a GROUP BY ALL HAVING count(child) > 0),
+    s AS (SELECT depth, dir FROM (SELECT *, sum(added) OVER (ORDER BY w DESC, depth, dir ROWS UNBOUNDED PRECEDING) AS run FROM f) WHERE run + 1 <= 40),
+    m AS (SELECT path, max(depth) AS d FROM a JOIN s USING (depth, dir) GROUP BY path),
+    t AS (SELECT p.path, symbols, d IS NULL OR d + 1 < len(parts) AS whole, CASE WHEN d IS NULL THEN '' WHEN d + 1 < len(parts) THEN array_to_string(parts[1:d + 1], '/') WHEN d = 0 THEN '*' ELSE array_to_string(parts[1:d], '/') || '/*' END AS tile FROM p LEFT JOIN m USING (path)),
+    i AS (SELECT DISTINCT s.path AS a, v.path AS b FROM edges JOIN nodes s ON src = s.id JOIN nodes v ON dst = v.id),
+    u AS (SELECT tb.tile, tb.whole, count(DISTINCT a) AS n FROM i JOIN t ta ON ta.path = a JOIN t tb ON tb.path = b WHERE ta.tile <> tb.tile OR ta.whole <> tb.whole GROUP BY ALL)
+    SELECT CAST(row_number() OVER (ORDER BY coalesce(n, 0) DESC, symbols DESC, tile, whole) AS INT) AS rank, tile, whole, files, symbols, coalesce(n, 0) AS dependents
+    FROM (SELECT tile, whole, count(*) AS files, CAST(sum(symbols) AS BIGINT) AS symbols FROM t GROUP BY ALL) LEFT JOIN u USING (tile, whole)""",
+    NE,
+)
+def repo_map_budget(spark, d):
+    from skein.operators.overview import repo_map as within
+
+    g = Graph(spark, d)
+    return within(g.nodes, g.edges, 40)
+
+
 @query("SELECT s.corpus AS component, t.corpus AS target, round(sum(CASE e.kind WHEN 'ref/call' THEN 1.0 WHEN 'ffi/call' THEN 0.85 WHEN 'depends' THEN 0.5 ELSE 0.3 END), 4) AS weight FROM edges e JOIN nodes s ON e.src = s.id JOIN nodes t ON e.dst = t.id WHERE s.corpus <> t.corpus GROUP BY ALL".replace("round(sum", "CAST(round(sum").replace(", 4) AS", ", 4) AS DOUBLE) AS"), NE)
 def component_deps(spark, d):
     from skein.operators.overview import component_dependencies

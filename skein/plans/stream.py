@@ -33,6 +33,26 @@ def overlay_latest(spark, d):
     return S.overlay(Graph(spark, d).table("events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts")
 
 
+@query(
+    """WITH c AS (SELECT 'f' || (user_id % 40) AS path, event_id AS seq, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'replace' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'ratify' ELSE 'upsert' END AS op, user_id AS src, event_id FROM events),
+    r AS (SELECT path, seq, op, src, CAST(event_id % 3 AS INT) AS line, 0 AS col, 'a' AS name, CASE WHEN event_id % 7 <> 0 THEN src + event_id % 2 END AS dst FROM c UNION ALL SELECT path, seq, op, src, CAST(event_id % 5 AS INT), 1, 'b', src + 1 FROM c),
+    t AS (SELECT DISTINCT r.path, r.seq, r.op, src, line, col, name, dst FROM r),
+    b AS (SELECT path, max(seq) AS base, max(seq) FILTER (op = 'ratify') AS done FROM c WHERE op <> 'upsert' GROUP BY path),
+    p AS (SELECT c.path, max(seq) AS before FROM c JOIN b USING (path) WHERE op <> 'upsert' AND seq < done GROUP BY c.path),
+    k AS (SELECT t.*, base, done, coalesce(before, -1) AS before FROM t LEFT JOIN b USING (path) LEFT JOIN p USING (path)),
+    live AS (SELECT path, src, line, col, name, last(dst ORDER BY seq) AS dst FROM k WHERE op <> 'ratify' AND seq >= coalesce(base, -1) GROUP BY ALL),
+    claim AS (SELECT path, src, line, col, name, last(dst ORDER BY seq) AS dst FROM k WHERE op <> 'ratify' AND seq >= before AND seq < done GROUP BY ALL)
+    SELECT path, src, line, col, name, dst, CASE WHEN dst IS NULL THEN 'pending' ELSE 'resolved' END AS state, false AS relabelled FROM live
+    UNION ALL SELECT k.path, k.src, k.line, k.col, k.name, k.dst, 'committed', coalesce(claim.dst = k.dst, false) FROM k LEFT JOIN claim ON k.path = claim.path AND k.src = claim.src AND k.line = claim.line AND k.col = claim.col AND k.name = claim.name WHERE op = 'ratify' AND seq = done AND k.dst IS NOT NULL"""
+)
+def overlay_by_file(spark, d):
+    op = "CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'replace' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'ratify' ELSE 'upsert' END"
+    rows = """array(named_struct('src', user_id, 'line', CAST(event_id % 3 AS INT), 'col', 0, 'name', 'a', 'dst', CASE WHEN event_id % 7 <> 0 THEN user_id + event_id % 2 END),
+                    named_struct('src', user_id, 'line', CAST(event_id % 5 AS INT), 'col', 1, 'name', 'b', 'dst', user_id + 1))"""
+    e = Graph(spark, d).table("events")
+    return S.overlay_files(e.select(F.expr("'f' || (user_id % 40)").alias("path"), F.col("event_id").alias("seq"), F.expr(op).alias("op"), F.expr(rows).alias("rows")))
+
+
 @query(
     """WITH r AS (SELECT event_id, user_id, ts, length(props) AS bytes, row_number() OVER w AS position, sum(length(props)) OVER (w ROWS UNBOUNDED PRECEDING) AS held, max(ts) OVER (PARTITION BY user_id) AS newest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))
     SELECT event_id, user_id, CAST(position AS INT) AS position, CAST(held AS BIGINT) AS held FROM r WHERE position <= 10 AND held <= 70 AND ts >= newest - INTERVAL 86400 SECOND"""

@@ -47,6 +47,85 @@ def overlay(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("m")).select(*keys, f"m.{order}", *[f"m.{c}" for c in rest])
 
 
+#: A reference's row in a change to a file; dst: what it resolves to, null while that is not known.
+REFERENCES = "array<struct<src:long,line:int,col:int,name:string,dst:long>>"
+_KEY = ["src", "line", "col", "name"]
+_VIEW = "path string, seq long, src long, line int, col int, name string, dst long, state string, relabelled boolean"
+
+
+def overlay_files(changes: DataFrame) -> DataFrame:
+    """What an overlay of references holds after changes (path, seq, op, rows: REFERENCES): (path, src, line, col, name, dst, state, relabelled).
+
+    replace: the file's live references are these and no others. upsert: these are set beside the others. ratify: the file's committed references are these, and
+    its live ones go; a committed one that was live with that target is relabelled. Other ops and null rows change nothing but for the ops above.
+    state: pending (no dst), resolved or committed (a row without dst is none). seq orders a file's changes and is unique in it; in one change the greatest dst of a reference counts.
+    Each file's last replace and ratify, by three aggregates that combine before they shuffle, tell which changes still count; rows meet once, by reference.
+    """
+    c = changes.where("path IS NOT NULL AND seq IS NOT NULL")
+    base = F.col("op").isin("replace", "ratify")
+    last = c.where(base).groupBy("path").agg(F.max("seq").alias("_base"), F.max(F.when(F.col("op") == "ratify", F.col("seq"))).alias("_ratified"))
+    before = c.where(base).join(last, "path").where("seq < _ratified").groupBy("path").agg(F.max("seq").alias("_before"))
+    j = c.where(base | (F.col("op") == "upsert")).join(last.join(before, "path", "left"), "path", "left")
+    at_least = lambda b: b.isNull() | (F.col("seq") >= b)
+    role = F.when((F.col("op") == "ratify") & (F.col("seq") == F.col("_ratified")), "commit")
+    role = role.when((F.col("op") != "ratify") & at_least(F.col("_base")), "live")
+    role = role.when((F.col("op") != "ratify") & at_least(F.col("_before")) & (F.col("seq") < F.col("_ratified")), "claim")
+    r = j.withColumn("_role", role).where("_role IS NOT NULL").select("path", "_role", "seq", F.inline("rows"))
+    of = lambda what: F.max(F.when(F.col("_role") == what, F.struct("seq", "dst")))
+    held = r.groupBy("path", *_KEY).agg(of("live").alias("live"), of("commit").alias("commit"), of("claim").alias("claim"))
+    live = F.when(F.col("live").isNotNull(), F.struct(F.col("live.dst").alias("dst"), F.when(F.col("live.dst").isNull(), "pending").otherwise("resolved").alias("state"), F.lit(False).alias("relabelled")))
+    done = F.when(F.col("commit.dst").isNotNull(), F.struct(F.col("commit.dst").alias("dst"), F.lit("committed").alias("state"), F.coalesce(F.col("claim.dst") == F.col("commit.dst"), F.lit(False)).alias("relabelled")))
+    return held.select("path", *_KEY, F.inline(F.array_compact(F.array(live, done))))
+
+
+def _fold(seq: int, live: dict, done: dict, change) -> tuple[int, dict, dict]:
+    """A file's overlay after one more change; a change that came before changes nothing."""
+    if change.seq <= seq or change.op not in ("replace", "upsert", "ratify"):
+        return seq, live, done
+    rows: dict = {}
+    for r in [] if change.rows is None else change.rows:
+        key = tuple(None if pd.isna(r[k]) else r[k] for k in _KEY)
+        dst = None if pd.isna(r["dst"]) else int(r["dst"])
+        rows[key] = dst if rows.get(key) is None or dst is not None and dst > rows[key] else rows[key]
+    if change.op == "ratify":
+        return change.seq, {}, {k: (d, live.get(k) == d) for k, d in rows.items() if d is not None}
+    return change.seq, rows if change.op == "replace" else live | rows, done
+
+
+def overlay_stream(changes: DataFrame) -> DataFrame:
+    """overlay_files over a stream, with state by file: on each change all that the file holds then, with its seq (one row of state 'empty' if nothing). See overlay_current.
+
+    A file's changes come in their order; what comes again, or after a later one, changes nothing. The state of a file grows with its references only.
+    """
+    import json
+
+    def update(key, parts, state):
+        seq, live, done = -1, {}, {}
+        if state.exists:
+            seq, kept = state.get
+            live, done = ({tuple(k): (tuple(v) if isinstance(v, list) else v) for k, v in part} for part in json.loads(kept))
+        was = seq
+        for change in sorted((c for part in parts for c in part.itertuples(index=False)), key=lambda c: c.seq):
+            seq, live, done = _fold(seq, live, done, change)
+        if seq == was:
+            return
+        state.update((int(seq), json.dumps([[[[None if x is None else x if isinstance(x, str) else int(x) for x in k], v] for k, v in part.items()] for part in (live, done)])))
+        rows = [(key[0], seq, *k, d, "pending" if d is None else "resolved", False) for k, d in live.items()]
+        rows += [(key[0], seq, *k, d, "committed", again) for k, (d, again) in done.items()]
+        names = [f.split()[0] for f in _VIEW.split(", ")]
+        out = pd.DataFrame(rows or [(key[0], seq, None, None, None, None, None, "empty", False)], columns=names)
+        yield out.astype({"seq": "int64", "src": "Int64", "line": "Int32", "col": "Int32", "dst": "Int64", "relabelled": "bool"})
+
+    c = changes.where("path IS NOT NULL AND seq IS NOT NULL").select("path", "seq", "op", F.col("rows").cast(REFERENCES).alias("rows"))
+    return c.groupBy("path").applyInPandasWithState(update, _VIEW, "seq long, kept string", "update", "NoTimeout")
+
+
+def overlay_current(feed: DataFrame) -> DataFrame:
+    """The overlay that a table of overlay_stream's rows tells: each file's rows of its last change. Rows written twice count once."""
+    last = feed.groupBy("path").agg(F.max("seq").alias("seq"))
+    return feed.join(last, ["path", "seq"], "left_semi").where("state <> 'empty'").drop("seq").distinct()
+
+
 def ring(events: DataFrame, group: str, entries: int, seconds: int, size: int, cost: str) -> DataFrame:
     """What a replay buffer still holds: of each group the newest entries within a count, an age and a size; entries over the size alone never enter."""
     w = W.partitionBy(group).orderBy(F.desc("ts"), F.desc("event_id"))
