@@ -153,16 +153,19 @@ def unify_rungs(foreign: DataFrame, nodes: DataFrame, near: int = NEAR) -> DataF
     neither meets anything. ambiguous: groups in several files (candidates says how many); missed: none. Overloads in one file count as one candidate.
     A row without a name, path or kind meets nothing. Whatever the order of rows, the answer is the same: rungs are joins on (family, sort, name) and (path, sort, name).
     """
+    from skein.sources.storage import written
+
     n = nodes.where("kind NOT IN ('file', 'doc-chunk', 'package')").select(
         F.col("id").alias("node_id"), "path", _family(F.col("language")).alias("_family"), _sort(F.col("kind")).alias("_sort"), F.regexp_replace("signature", "^[^:]*:", "").alias("_name"), F.col("line").alias("_from"), F.col("end_line").alias("_to")
     )
+    n = written(n)  # both sides are read four times
     inside = _block(F.col("container")) & ~_block(F.col("name"))
     container = F.when(~inside, F.col("container"))
     f = foreign.select("sym_id", "symbol", "language", "path", "line", "kind", "name", _family(F.col("language")).alias("_family"), _sort(F.col("kind")).alias("_sort"), inside.alias("_inside"), container.isNotNull().alias("_member"), F.concat_ws(".", container, "name").alias("_name"))
     indexed = nodes.select("path").distinct().withColumn("_indexed", F.lit(True))
     f = f.join(indexed, "path", "left")
     open_ = F.col("_indexed") & F.col("line").isNotNull() & F.col("name").isNotNull() & F.col("kind").isNotNull() & ~_block(F.col("name"))
-    f = f.withColumn("_open", F.coalesce(open_, F.lit(False)))
+    f = written(f.withColumn("_open", F.coalesce(open_, F.lit(False))))
     live = f.where("_open")
 
     within = (F.col("line") >= F.col("_from")) & (F.col("line") <= F.col("_to"))
