@@ -134,7 +134,7 @@ def _slots(sources: DataFrame, slots: int, seed: int, shard: int, group: int) ->
     under = _in_order(s.where("got < quota").select("rank", "blocks", "got", (F.col("quota") - F.col("got")).alias("n"), F.lit(0).alias("all")), "all", ["rank"], "n")
     free = under.select("rank", "blocks", "got", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select((F.col("before") + F.col("k")).alias("number"), "rank", "blocks", (F.col("got") + F.col("k")).alias("j"))
     spare = each.where("j >= quota").join(C.checked(over), "rank").select("shard", "place", (F.col("before") + F.col("j") - F.col("quota")).alias("number"))
-    taken = each.where("j < quota").select("shard", "place", "rank", "blocks", "j").unionByName(spare.join(free, "number").select("shard", "place", "rank", "blocks", "j"))
+    taken = each.where("j < quota").select("shard", "place", "rank", "blocks", "j").unionByName(spare.join(free.hint("merge"), "number").select("shard", "place", "rank", "blocks", "j"))
 
     def locate(batches):
         for pdf in batches:
@@ -181,7 +181,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     pieces = laid.where("size > 0").select("key", "rank", "before", end.alias("end"), b)
     low = F.greatest("before", F.col("block") * block)
     pieces = pieces.select("key", "rank", "block", (low - F.col("before")).alias("first"), (F.least("end", (F.col("block") + 1) * block) - low).alias("words"))
-    return Mixture(laid, _slots(sources, slots, seed, shard, group).join(pieces, ["rank", "block"]))
+    # Both sides are exploded: they have far more rows than the tables that Spark judges their size by, and are not to be broadcast.
+    return Mixture(laid, _slots(sources, slots, seed, shard, group).join(pieces.hint("merge"), ["rank", "block"]))
 
 
 def mixed_texts(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
