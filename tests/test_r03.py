@@ -24,3 +24,17 @@ def test_edit_overlap_meets_copies_once(spark):
         want += [(h, i) for i, x, y in hit if not any(j != i and u >= x and v <= y and v - u < y - x for j, u, v in hit)]
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
     assert not [line for line in plan(got).split("\n") if "Join" in line and "hunk_id" in line]  # spans are not paired hunk by hunk
+
+
+def test_a_task_reads_a_bounded_share_of_a_shuffle(spark, tmp_path):
+    from skein.catalog import Graph
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(key)
+    try:
+        for given, want in (("64MB", 4 << 20), ("67108864b", 4 << 20), ("1m", 1 << 20)):
+            spark.conf.set(key, given)
+            Graph(spark, str(tmp_path))
+            assert spark._jsparkSession.sessionState().conf().getConfString(key) in (f"{want}b", given) and (given == "1m" or spark.conf.get(key) == f"{want}b")
+    finally:
+        spark.conf.set(key, was)
