@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from skein.operators.cascade import Cascade
 from skein.schemas import EDGE_WEIGHTS
 from skein.sources.storage import counted, written
 
+#: Vectors of a block, and queries that meet it at once.
+VECTORS, QUERIES = 8192, 256
+
 
 def similar_tokens(words: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
     """(q, token, sim): words and vocabulary that share a trigram, by Jaccard similarity of their trigrams. An equality on trigrams, no pairs of all."""
@@ -35,13 +40,65 @@ def with_synonyms(words: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame
     return words.select("q", F.explode(F.array_distinct(F.concat(F.array("q"), more))).alias("term"))
 
 
+def _top_of_block(k: int):
+    """The k most similar vectors of a block to each query. A product of matrices finds candidates; what they are ranked by is the sum that cosine() takes, in its order."""
+
+    def dot(a, b):
+        out = np.zeros(len(a))
+        for i in range(a.shape[1]):
+            out = out + a[:, i] * b[:, i]
+        return out
+
+    def run(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})]
+        if not len(vectors) or not len(queries):
+            return out[0]
+        vectors = vectors.sort_values("vec_id", ignore_index=True)
+        v = np.array(vectors["embedding"].tolist(), float).reshape(len(vectors), -1)
+        # Of equal vectors the least ids win: one more than k, as one may be the query.
+        same = pd.Series([x.tobytes() for x in v + 0.0])
+        kept = (same.groupby(same).cumcount() <= k).to_numpy()
+        v, ids = v[kept], vectors["vec_id"].to_numpy()[kept]
+        size = np.sqrt(dot(v, v))
+        unit = np.divide(v, size[:, None], out=np.zeros_like(v), where=size[:, None] > 0)
+        for at in range(0, len(queries), QUERIES):
+            own = queries.iloc[at : at + QUERIES]
+            w, names = np.array(own["embedding"].tolist(), float).reshape(len(own), -1), own["vec_id"].to_numpy()
+            length = np.sqrt(dot(w, w))
+            near = np.divide(w, length[:, None], out=np.zeros_like(w), where=length[:, None] > 0) @ unit.T
+            near[names[:, None] == ids[None, :]] = -2
+            least = np.partition(near, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(own), -1.5)
+            i, j = np.nonzero(near >= np.maximum(least - 1e-9, -1.5)[:, None])
+            norm = size[j] * length[i]
+            sim = np.divide(dot(v[j], w[i]), norm, out=np.zeros(len(i)), where=norm > 0)
+            order = np.lexsort((ids[j], -sim, i))
+            found = pd.DataFrame({"i": i[order], "q": names[i[order]], "vec_id": ids[j[order]], "sim": sim[order]})
+            out.append(found.groupby("i").head(k).drop(columns="i"))
+        return pd.concat(out)
+
+    return run
+
+
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, at_most: int = 100_000) -> DataFrame:
-    """(q, vec_id, sim, rank) of the k most similar vectors of each query, exactly. Queries are a stated set, checked to be small, and sent to where the vectors are."""
+    """(q, vec_id, sim, rank) of the k most similar vectors of each query, exactly. Queries are a stated set, checked to be small, and sent to where the vectors are.
+
+    Vectors meet queries in blocks, each of which gives k rows a query. Vectors that are null, of another length than most or hold nulls, no numbers or extreme ones meet pair by pair.
+    """
     n = queries.count()
     if n > at_most:
         raise ValueError(f"at most {at_most} query vectors a call")
-    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    s = vectors.crossJoin(F.broadcast(q)).where("vec_id <> q").select("q", "vec_id", I.cosine(F.col("embedding"), F.col("v")).alias("sim"))
+    rows, width = vectors.agg(F.count(F.lit(1)), F.mode(F.size("embedding"))).first()
+    x = F.col("embedding")
+    fine = F.forall(x, lambda e: F.coalesce((e == 0) | F.abs(e).between(1e-150, 1e150), F.lit(False)))
+    plain = F.col("vec_id").isNotNull() & F.coalesce((F.size(x) == (width or 0)) & fine & x.isNotNull(), F.lit(False)) & F.lit((width or 0) > 0)
+    v, own = vectors.select("vec_id", "embedding", plain.alias("plain")), queries.select("vec_id", "embedding", plain.alias("plain"))
+    blocks = max(1, -(-(rows or 0) // VECTORS))
+    dealt = v.where("plain").select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.col("vec_id").cast("long"), x.cast("array<double>").alias("embedding"))
+    asked = own.where("plain").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("vec_id").cast("long"), x.cast("array<double>").alias("embedding"))
+    s = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(_top_of_block(k), "q long, vec_id long, sim double")
+    q = own.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("plain").alias("_p"))
+    odd = lambda a, b: a.crossJoin(F.broadcast(b)).where("vec_id <> q").select(F.col("q").cast("long"), F.col("vec_id").cast("long"), I.cosine(x, F.col("v")).alias("sim"))
+    s = s.unionByName(odd(v.where("NOT plain"), q)).unionByName(odd(v.where("plain"), q.where("NOT _p")))
     # Rank limits on a window become a top-k in each task before the shuffle.
     w = W.partitionBy("q").orderBy(F.desc("sim"), "vec_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "vec_id", F.round("sim", 6).alias("sim"), "rank")

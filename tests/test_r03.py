@@ -38,3 +38,37 @@ def test_a_task_reads_a_bounded_share_of_a_shuffle(spark, tmp_path):
             assert spark._jsparkSession.sessionState().conf().getConfString(key) in (f"{want}b", given) and (given == "1m" or spark.conf.get(key) == f"{want}b")
     finally:
         spark.conf.set(key, was)
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    import math
+
+    from skein.plans import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTORS", 50)
+    monkeypatch.setattr(retrieval, "QUERIES", 3)
+    draw = random.Random(5)
+    own = [[draw.gauss(0, 1) for _ in range(8)] for _ in range(100)]
+    rows = [(i, own[i % 100] if i % 3 else own[7]) for i in range(240)] + [(300, [0.0] * 8), (301, [1.0, 2.0]), (302, None), (303, [2 * x for x in own[7]])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 20 = 0 OR vec_id > 299")
+    plain = v.crossJoin(q.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))).where("vec_id <> q").select("q", "vec_id", retrieval.I.cosine(F.col("embedding"), F.col("v")).alias("sim")).collect()
+    want = set()
+    for name in {r["q"] for r in plain}:
+        best = sorted((r for r in plain if r["q"] == name), key=lambda r: (-math.inf if r["sim"] is None else r["sim"], -r["vec_id"]), reverse=True)[:10]
+        want |= {(name, r["vec_id"], i) for i, r in enumerate(best, 1)}
+    got = retrieval.nearest_vectors(v, q, 10)
+    assert {(r["q"], r["vec_id"], r["rank"]) for r in got.collect()} == want
+    assert "FlatMapCoGroupsInPandas" in plan(got)  # queries and vectors don't meet pair by pair
+
+
+def test_seeds_beside_hubs_make_no_second_hop(spark, monkeypatch):
+    from skein.operators import cascade
+
+    sizes = []
+    monkeypatch.setattr(cascade, "written", lambda df, keep=cascade.written: sizes.append((df.columns, (out := keep(df)).count())) or out)
+    nodes = spark.createDataFrame([(i, "c", f"p/{i}.go", "fn:alpha" if i == 0 else f"fn:beta{i}", "function", 1, 2, 0) for i in range(40)], "id long, corpus string, path string, signature string, kind string, line int, end_line int, test_role int")
+    edges = spark.createDataFrame([(0, 1)] + [(1, 100 + i) for i in range(3000)], "src long, dst long")
+    asked = spark.createDataFrame([(1, "alpha")], "q long, query string")
+    cascade.Cascade(asked, nodes).seeds(edges).collect()
+    assert max(n for columns, n in sizes) < 1000
