@@ -53,22 +53,29 @@ def plain(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, "[^A-Za-z0-9]", ""))
 
 
+def runs(s: Column, longest: Column) -> Column:
+    """Runs of segments, joined, up to a length: what contains_token finds. s is a column of its own, since an expression would be taken anew for each run."""
+    own = F.flatten(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.transform(F.sequence(i, F.size(s)), lambda j: F.array_join(F.slice(s, i, j - i + 1), ""))))
+    return F.when(F.size(s) > 0, F.array_distinct(F.filter(own, lambda r: F.length(r) <= longest))).otherwise(F.array().cast("array<string>"))
+
+
 def names(c: Column, longest: Column) -> Column:
-    """What contains_token finds in c: its runs of segments, joined, up to a length."""
-    s = I.raw_segments(c)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.transform(F.sequence(i, F.size(s)), lambda j: F.array_join(F.slice(s, i, j - i + 1), ""))))
-    return F.when(F.size(s) > 0, F.array_distinct(F.filter(runs, lambda r: F.length(r) <= longest))).otherwise(F.array().cast("array<string>"))
+    """What contains_token finds in c."""
+    return runs(I.raw_segments(c), longest)
 
 
 def _carriers(nodes: DataFrame, forms: DataFrame) -> DataFrame:
-    """(form, id, signed, word): nodes that carry a form in signature (signed) or path; word: the form is a token of the index."""
+    """(form, id, signed, word): nodes that carry a form in signature (signed) or path; word: the form is a token of the index. A path is taken apart once for all its nodes."""
     forms = written(forms.distinct())
-    longest = forms.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("_longest"))  # one row
-    n = nodes.select("id", "signature", "path").crossJoin(F.broadcast(longest))
-    own = n.select("id", F.explode(names(F.col("signature"), F.col("_longest"))).alias("form"), F.lit(True).alias("signed"))
-    there = n.select("id", F.explode(names(F.col("path"), F.col("_longest"))).alias("form"), F.lit(False).alias("signed"))
-    hits = own.unionByName(there).join(counted(forms), "form").groupBy("form", "id").agg(F.max("signed").alias("signed"))
-    words = nodes.select("id", F.explode(I.index_tokens(F.col("signature"))).alias("form")).join(counted(forms), "form", "left_semi").distinct().withColumn("word", F.lit(True))
+    known = counted(forms)
+    longest = F.broadcast(forms.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("_longest")))  # one row
+    cut = lambda df, c: df.withColumn("_s", I.raw_segments(F.col(c))).crossJoin(longest)
+    form = F.explode(runs(F.col("_s"), F.col("_longest"))).alias("form")
+    own = cut(nodes.select("id", "signature"), "signature").select("id", form).join(known, "form").select("id", "form", F.lit(True).alias("signed"))
+    there = cut(nodes.select("path").distinct(), "path").select("path", form).join(known, "form")
+    there = nodes.select("id", "path").join(counted(written(there)), "path").select("id", "form", F.lit(False).alias("signed"))
+    hits = own.unionByName(there).groupBy("form", "id").agg(F.max("signed").alias("signed"))
+    words = nodes.select("id", F.explode(I.index_tokens(F.col("signature"))).alias("form")).join(known, "form", "left_semi").distinct().withColumn("word", F.lit(True))
     return hits.join(words, ["form", "id"], "left").withColumn("word", F.coalesce("word", F.lit(False)))
 
 
@@ -120,10 +127,12 @@ class Cascade:
         # A form that the index doesn't hold can't be measured: it counts as everywhere.
         self.measured = written(terms.join(frequency, "form", "left").crossJoin(F.broadcast(total)).withColumn("frequency", F.coalesce("n", "total")).withColumn("idf", I.idf_weight(F.col("frequency"), F.col("total"))).drop("n", "total"))
         at = hits.join(self.nodes, "id").withColumns({"_rank": _name_rank(F.col("form"), F.col("signature")), "_noise": filters.is_anchor_noise(F.col("path"), F.col("signature"), F.col("kind"), F.col("test_role"))})
-        at = written(self.measured.where("resolved").join(at, "form"))
-        first = at.groupBy("q", "position").agg(F.min(F.struct("_rank", "id"))["id"].alias("top_node"))
+        # Names are ranked a form at a time: many queries may ask for a form that many nodes carry.
+        at = written(at.join(self.measured.where("resolved").select("form").distinct(), "form", "left_semi"))
+        wanted = self.measured.where("resolved")
+        first = wanted.join(at.groupBy("form").agg(F.min(F.struct("_rank", "id"))["id"].alias("top_node")), "form").select("q", "position", "top_node")
         pool = at.where("signed AND NOT _noise")
-        head = pool.withColumn("_h", F.row_number().over(W.partitionBy("q", "position").orderBy("_rank", "id"))).where(F.col("_h") <= LOOKED_AT)
+        head = wanted.join(pool.withColumn("_h", F.row_number().over(W.partitionBy("form").orderBy("_rank", "id"))).where(F.col("_h") <= LOOKED_AT), "form")
         order = W.partitionBy("q", "position").orderBy(logic, F.desc(span), "_rank", "id")
         if allowed is not None:
             # Corrected tokens look for the first visible name; others lose the slots that hidden names had.
@@ -205,10 +214,13 @@ class Cascade:
             s = s.withColumns({"cosine": F.lit(None).cast("double"), "top": F.lit(None).cast("double")})
         s = written(s)
         if edges is not None:
-            near = named = written(s.where(exact).select(*key, "id").distinct())
-            both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            for _ in range(2):
-                near = written(near.union(near.withColumnRenamed("id", "src").join(both, "src").select(*key, F.col("dst").alias("id"))).distinct())
+            # A seed is near if it, or what is beside it, is or lies beside an exact one: the edges are read once, and no second hop is made from hubs.
+            named, others = s.where(exact).select(*key, "id").distinct(), s.where(~exact).select(*key, "id").distinct()
+            both = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("beside")), F.struct(F.col("dst").alias("id"), F.col("src").alias("beside")))))
+            beside = written(both.join(counted(s.select("id").distinct()), "id", "left_semi").distinct())
+            around = written(named.withColumnRenamed("id", "at").union(named.join(beside, "id").select(*key, F.col("beside").alias("at"))).distinct())
+            steps = others.join(beside, "id").select(*key, "id", F.col("beside").alias("at"))
+            near = steps.join(around, [*key, "at"], "left_semi").select(*key, "id").distinct()
             s = s.join(near.withColumn("_near", F.lit(True)), [*key, "id"], "left").join(named.select(*key).distinct().withColumn("_named", F.lit(True)), key, "left")
             s = s.where(exact | F.col("_named").isNull() | F.col("_near").isNotNull() | F.col("cosine").isNull() | (F.col("cosine") >= RESCUE)).drop("_near", "_named")
         trusted = F.coalesce(F.col("top") >= TRUSTED, F.lit(False))
