@@ -72,3 +72,17 @@ def test_seeds_beside_hubs_make_no_second_hop(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "alpha")], "q long, query string")
     cascade.Cascade(asked, nodes).seeds(edges).collect()
     assert max(n for columns, n in sizes) < 1000
+
+
+def test_ffi_edges_deal_a_common_name_over_tasks(spark):
+    calls = spark.range(400).select(F.col("id").alias("src"), F.lit("x").alias("corpus"), F.lit("rust").alias("target_language"), F.lit("Native_Order").alias("name"), F.expr("CASE WHEN id % 4 > 0 THEN id % 3 END").alias("arity"))
+    targets = spark.range(1000, 1030).select("id", F.lit("x").alias("corpus"), F.lit("rust").alias("language"), F.lit("nativeorder").alias("name"), (F.col("id") % 3).alias("arity"))
+    out = joins.ffi_edges(calls, targets)
+    want = []
+    for c in range(400):
+        for t in range(1000, 1030):
+            score = 50 if c % 4 == 0 else 90 if c % 3 == t % 3 else 30
+            want += [(c, t, "ffi/call", score)] + ([(t, c, "ref/call", score)] if score == 90 else [])
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 4 and max(shares) < len(want) / 2
