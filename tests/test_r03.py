@@ -40,6 +40,20 @@ def test_a_task_reads_a_bounded_share_of_a_shuffle(spark, tmp_path):
         spark.conf.set(key, was)
 
 
+def test_a_task_reads_a_bounded_share_of_a_file(spark, tmp_path):
+    from skein.catalog import Graph
+
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    try:
+        for given, want in (("128MB", 8 << 20), ("134217728b", 8 << 20), ("2m", 2 << 20)):
+            spark.conf.set(key, given)
+            Graph(spark, str(tmp_path))
+            assert spark.conf.get(key) == (given if given == "2m" else f"{want}b")
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_nearest_vectors_in_blocks(spark, monkeypatch):
     import math
 
