@@ -22,8 +22,11 @@ def file_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def lsif_occurrences(lines: DataFrame) -> DataFrame:
     """(path, line, symbol) from a line-per-item dump: contains edges tie ranges to documents, item edges tie them to result sets. Other lines are skipped."""
-    get = lambda k: F.get_json_object("value", f"$.{k}")
-    v = lines.select(get("id").cast("long").alias("id"), get("type").alias("type"), get("label").alias("label"), get("path").alias("path"), get("symbol").alias("symbol"), get("line").cast("int").alias("line"), get("outV").cast("long").alias("out"), get("inV").cast("long").alias("in"))
+    from skein.sources.storage import written
+
+    read = lines.select(F.json_tuple("value", "id", "label", "path", "symbol", "line", "outV", "inV").alias("id", "label", "path", "symbol", "line", "out", "in"))
+    of = read.where("label IN ('document', 'range', 'resultSet', 'contains', 'item')")
+    v = written(of.select(F.col("id").cast("long").alias("id"), "label", "path", "symbol", F.col("line").cast("int").alias("line"), F.col("out").cast("long").alias("out"), F.col("in").cast("long").alias("in")))  # a line is taken apart once
     docs = v.where("label = 'document'").select(F.col("id").alias("out"), "path")
     ranges = v.where("label = 'range'").select(F.col("id").alias("in"), "line")
     sets = v.where("label = 'resultSet'").select(F.col("id").alias("set_id"), "symbol")

@@ -100,3 +100,15 @@ def test_ffi_edges_deal_a_common_name_over_tasks(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) >= 4 and max(shares) < len(want) / 2
+
+
+def test_lsif_lines_are_taken_apart_once(spark):
+    from skein.operators import ingest
+
+    lines = [
+        '{"id":1,"type":"vertex","label":"document","path":"a.ts"}', '{"id":2,"type":"vertex","label":"range","line":7}', '{"id":3,"type":"vertex","label":"resultSet","symbol":"f"}',
+        '{"type":"edge","label":"contains","outV":1,"inV":2}', '{"type":"edge","label":"item","outV":3,"inV":2}', '{"id":9,"label":"hoverResult"}', "not json",
+    ]
+    out = ingest.lsif_occurrences(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert list(map(tuple, out.collect())) == [("a.ts", 7, "f")]
+    assert "json" not in plan(out)  # the five kinds of lines read a table of parsed ones
