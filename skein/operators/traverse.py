@@ -148,6 +148,21 @@ def nearest_methods(wanted: DataFrame, bases: DataFrame, methods: DataFrame) ->
         seen = seen.union(asked)
 
 
+def inherited(bases: DataFrame, methods: DataFrame) -> DataFrame:
+    """nearest_methods of all classes and names at once: methods go down from those that have them, so that a round moves what was found and not what was asked."""
+    own = methods.where("class IS NOT NULL AND name IS NOT NULL").groupBy("class", "name").agg(F.min("id").alias("id"))
+    out = fresh = written(own.select("class", "name", F.col("class").alias("owner"), "id", F.lit(0).alias("depth")))
+    down = bases.where("class IS NOT NULL AND base IS NOT NULL").select(F.col("base").alias("src"), F.col("class").alias("dst")).distinct()
+    with by_source(down) as held:
+        for hop in count(1):
+            came = fresh.withColumnRenamed("class", "src").join(held, "src").groupBy(F.col("dst").alias("class"), "name").agg(F.min(F.struct("owner", "id")).alias("m"))
+            new = came.join(out.select("class", "name"), ["class", "name"], "left_anti")
+            fresh, got = counted_write(new.select("class", "name", "m.owner", "m.id", F.lit(hop).alias("depth")))
+            if not got["n"]:
+                return out
+            out = out.unionByName(fresh)
+
+
 def directional_subgraph(edges: DataFrame, seed: DataFrame, depth: int, containment: str = "defines/binding") -> DataFrame:
     """(src, dst, kind, depth, side): edges met going out on the deps side and in on the callers side; containment edges met on the callers side are shown but not followed."""
     out = None

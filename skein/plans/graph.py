@@ -309,9 +309,8 @@ def inherited_methods(spark, d):
     c = n.where("kind = 'class' AND id < 40000000000").select(F.col("id").alias("class"), F.expr("30000000000 + (id - 30000000000) div 3").alias("base"))
     own = g.edges.where("kind = 'ref/field'").select("src", F.col("dst").alias("class")).join(n.select(F.col("id").alias("src"), "signature"), "src")
     methods = own.select("class", F.substring_index(F.regexp_replace("signature", "^.*[.]", ""), "_", 1).alias("name"), F.col("src").alias("id"))
-    wanted = c.select("class").crossJoin(F.broadcast(methods.select("name").distinct()))  # names are the first words of parts, a few
     bases = c.where("base <> class").join(c.select(F.col("class").alias("base")), "base", "left_semi")
-    return traverse.nearest_methods(wanted, bases, methods)
+    return traverse.inherited(bases, methods).join(c.select("class"), "class", "left_semi")
 
 
 _SCORE = "(id * 7919) % 1009"

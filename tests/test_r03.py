@@ -112,3 +112,14 @@ def test_lsif_lines_are_taken_apart_once(spark):
     out = ingest.lsif_occurrences(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert list(map(tuple, out.collect())) == [("a.ts", 7, "f")]
     assert "json" not in plan(out)  # the five kinds of lines read a table of parsed ones
+
+
+def test_inherited_is_nearest_methods_of_all(spark):
+    from skein.operators import traverse
+
+    draw = random.Random(9)
+    bases = spark.createDataFrame([(draw.randrange(40), draw.randrange(40)) for _ in range(50)] + [(None, 1), (2, None)], "class long, base long")
+    methods = spark.createDataFrame([(draw.randrange(40), draw.choice("fgh"), draw.randrange(9)) for _ in range(30)] + [(None, "f", 1), (3, None, 1)], "class long, name string, id long")
+    wanted = spark.range(40).select(F.col("id").alias("class")).crossJoin(methods.select("name").distinct())
+    want = sorted(map(tuple, traverse.nearest_methods(wanted, bases, methods).collect()))
+    assert sorted(map(tuple, traverse.inherited(bases, methods).collect())) == want and want
