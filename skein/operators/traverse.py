@@ -26,9 +26,9 @@ def known(edges: DataFrame, value: str | None = None) -> DataFrame:
 
 @contextmanager
 def by_source(edges: DataFrame):
-    """The edges laid out by src while a loop of joins lasts, so that a round moves the frontier alone. What a lost executor held is made again from the edges' source."""
+    """The edges laid out and sorted by src while a loop of joins lasts, so that a round moves and sorts the frontier alone. What a lost executor held is made again from the edges' source."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = edges.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    held = edges.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield held
     finally:

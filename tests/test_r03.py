@@ -123,3 +123,15 @@ def test_inherited_is_nearest_methods_of_all(spark):
     wanted = spark.range(40).select(F.col("id").alias("class")).crossJoin(methods.select("name").distinct())
     want = sorted(map(tuple, traverse.nearest_methods(wanted, bases, methods).collect()))
     assert sorted(map(tuple, traverse.inherited(bases, methods).collect())) == want and want
+
+
+def test_held_edges_are_sorted_once(spark):
+    from skein.operators import traverse
+
+    edges = spark.range(1000).select((F.col("id") % 50).alias("src"), F.col("id").alias("dst"))
+    with traverse.by_source(edges) as held:
+        held.count()
+        step = spark.range(40).select(F.col("id").alias("src")).hint("merge").join(held, "src")
+        text = step._jdf.queryExecution().executedPlan().toString()
+        own = text[: text.index("InMemoryRelation")]
+        assert own.count("Sort [") == 1  # the frontier's
