@@ -267,21 +267,64 @@ def execution_path(edges: DataFrame, source: DataFrame, sink: DataFrame, rounds:
     return j.withColumn("on_route", F.coalesce(route, F.lit(False))).where(F.col("on_route") | (F.col("cost") <= (1 + slack) * F.col("best"))).select("id", "cost", "on_route")
 
 
+#: Rounds after which core_numbers writes its counts, so that what a lost executor held is made again from few rounds.
+CUT = 8
+
+
+def _entry(bound: str, n: str) -> str:
+    """So many neighbours with a bound, as one number: entries sort by the larger bound, then by the smaller n."""
+    return f"(CAST({n} AS BIGINT) - CAST({bound} AS BIGINT) * 4294967296)"
+
+
+_BOUND, _N = "(-shiftright(e + 2147483648, 32))", "(e - shiftright(e + 2147483648, 32) * 4294967296)"
+
+
+def _lowered(counts: DataFrame) -> DataFrame:
+    """(id, was, shell, seen) of (id, was, seen, news), entries both: the h-index of what is seen with the news, and its entries with those above the h-index as one.
+
+    Entries of one bound may be several, the negative ones first: sums up to them are too small at most, and right at the last.
+    """
+    best = f"aggregate(seen, named_struct('above', 0L, 'shell', 0L), (a, e) -> named_struct('above', a.above + {_N}, 'shell', greatest(a.shell, least({_BOUND}, a.above + {_N}))), a -> a.shell)"
+    above = f"aggregate(seen, 0L, (a, e) -> a + IF({_BOUND} >= shell, {_N}, 0L))"
+    rest = f"concat(array({_entry('shell', above)}), filter(seen, e -> {_BOUND} < shell))"
+    ranked = counts.select("id", "was", F.expr("news IS NOT NULL AS told"), F.expr("IF(news IS NULL, seen, sort_array(concat(seen, news))) AS seen"))
+    ranked = ranked.withColumn("shell", F.expr(f"IF(told, {best}, was)"))
+    return ranked.select("id", "was", "shell", F.expr(f"IF(told, {rest}, seen) AS seen"))
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """(id, shell) of the simple undirected graph, by rounds of the h-index of neighbours' bounds, which fall to the core numbers."""
-    both = edges.select("src", "dst").union(reverse(edges)).where("src <> dst").distinct()
-    both = written(both)
-    bound = written(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("shell")))
-    while True:
-        near = both.join(bound.select(F.col("id").alias("dst"), F.col("shell").alias("s")), "dst").join(bound.select(F.col("id").alias("src"), F.col("shell").alias("own")), "src")
-        # The h-index from counts of each bound: a hub's neighbours are counted, not gathered.
-        counts = near.select("src", "own", F.least("s", "own").alias("s")).groupBy("src", "own", "s").agg(F.count(F.lit(1)).alias("n"))
-        above = counts.withColumn("above", F.sum("n").over(W.partitionBy("src").orderBy(F.desc("s"))))
-        now = written(above.groupBy(F.col("src").alias("id")).agg(F.max(F.least("s", "above")).alias("shell")))
-        changed = not now.join(bound.withColumnRenamed("shell", "was"), "id").where("shell <> was").isEmpty()
-        bound = now
-        if not changed:
-            return bound
+    """(id, shell) of the simple undirected graph, by rounds of the h-index of neighbours' bounds, which fall to the core numbers.
+
+    Each node keeps how many neighbours have which bound, up to its own: a hub's neighbours are counted, not gathered. A round sends only the bounds that fell,
+    and only to neighbours of a larger degree: a bound counts for a node as long as it isn't below the node's own. Edges and counts stay laid out by node.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = edges.where("src <> dst").select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+    degree = F.count(F.lit(1)).over(W.partitionBy("src")).cast("int")
+    near = both.repartition(parts, "src").distinct().select(F.col("dst").alias("src"), F.col("src").alias("dst"), degree.alias("most"))
+    state = None
+    with by_source(near) as held:
+        degrees = held.groupBy("src", "most").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("was"), F.collect_list(F.expr(_entry("most", "n"))).alias("news"))
+        told = degrees.withColumn("seen", F.expr("CAST(array() AS ARRAY<BIGINT>)"))
+        try:
+            for k in count(1):
+                last, state = state, _lowered(told).persist(StorageLevel.MEMORY_AND_DISK)
+                fell, got = counted_write(state.where("shell < was").select(F.col("id").alias("src"), "was", "shell").repartition("src"))
+                if last is not None:
+                    last.unpersist()
+                if not got["n"]:
+                    return written(state.select("id", "shell"))
+                sent = fell.hint("merge").join(held, "src").where("shell < most").select(F.col("dst").alias("id"), F.col("was").alias("old"), F.col("shell").alias("now"))
+                sums = sent.repartition(parts, "id").groupBy("id", "old", "now").agg(F.count(F.lit(1)).alias("n"))
+                mail = sums.groupBy("id").agg(F.collect_list(F.struct("old", "now", "n")).alias("mail"))
+                own = state.select("id", F.col("shell").alias("was"), "seen")
+                if k % CUT == 0:
+                    own = written(own).repartition(parts, "id")
+                moved = f"flatten(transform(filter(mail, m -> m.now < was), m -> array({_entry('least(m.old, was)', '-m.n')}, {_entry('m.now', 'm.n')})))"
+                told = own.join(mail.hint("merge"), "id", "left").select("id", "was", "seen", F.expr(f"nullif({moved}, CAST(array() AS ARRAY<BIGINT>)) AS news"))
+        finally:
+            if state is not None:
+                state.unpersist()
 
 
 def trimmed(edges: DataFrame) -> DataFrame:

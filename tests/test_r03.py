@@ -135,3 +135,42 @@ def test_held_edges_are_sorted_once(spark):
         text = step._jdf.queryExecution().executedPlan().toString()
         own = text[: text.index("InMemoryRelation")]
         assert own.count("Sort [") == 1  # the frontier's
+
+
+def peeled(pairs):
+    """Core numbers by taking away the node of the least degree."""
+    near = {}
+    for a, b in pairs:
+        if None not in (a, b) and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out, k = {}, 0
+    while near:
+        v = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[v]))
+        out[v] = k
+        for u in near.pop(v):
+            near[u].discard(v)
+    return out
+
+
+def test_core_numbers_send_only_what_fell(spark, monkeypatch):
+    from skein.operators import traverse
+
+    draw = random.Random(11)
+    pairs = [(a, b) for a in range(30) for b in range(a)] + [(i, i + 1) for i in range(29, 39)]  # a clique with a tail, whose bounds fall one by one
+    pairs += [(100 + draw.randrange(40), 100 + int(40 * draw.random() ** 2)) for _ in range(150)] + [(5, 5), (7, None), (None, 7), (3, 2), (3, 2)]
+    sizes = []
+    monkeypatch.setattr(traverse, "written", lambda df, keep=traverse.written: sizes.append((out := keep(df)).count()) or out)
+    monkeypatch.setattr(traverse, "CUT", 3, raising=False)
+    got = traverse.core_numbers(spark.createDataFrame(pairs, "src long, dst long"))
+    assert {r["id"]: r["shell"] for r in got.collect()} == (want := peeled(pairs)) and len(want) == got.count()
+    assert got.schema.simpleString() == "struct<id:bigint,shell:bigint>"
+    assert max(sizes) <= len(want) and sum(sizes) < 2 * len(pairs)  # neither edges nor all bounds are written in each round
+
+
+def test_core_numbers_of_no_edges(spark):
+    from skein.operators import traverse
+
+    for pairs in ([], [(1, 1), (2, None)]):
+        assert traverse.core_numbers(spark.createDataFrame(pairs, "src long, dst long")).collect() == []
