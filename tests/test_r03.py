@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import joins
@@ -174,3 +175,29 @@ def test_core_numbers_of_no_edges(spark):
 
     for pairs in ([], [(1, 1), (2, None)]):
         assert traverse.core_numbers(spark.createDataFrame(pairs, "src long, dst long")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["provenance_upsert"])
+def test_edges_are_read_in_bounded_shares(spark, tmp_path, name):
+    import shutil
+
+    import __spark_entry__
+    from skein.sources import projection
+
+    for table in set(projection.TABLES) - {"lineitem"}:
+        shutil.copy(f"/root/testdata/sf0.001/{table}.parquet", tmp_path)
+    lines = spark.range(0, 1_500_000, 1, 1).selectExpr("id % 1500 AS l_orderkey", "CAST(rand(1) * 1e15 AS BIGINT) AS l_partkey", "CAST(rand(2) * 1e15 AS BIGINT) AS l_suppkey", "3 AS l_linenumber")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    given = {"spark.sql.files.maxPartitionBytes": "128MB", "spark.sql.files.minPartitionNum": "1"}
+    was = {key: spark.conf.get(key, None) for key in given}
+    try:
+        for key, value in given.items():
+            spark.conf.set(key, value)
+        leaves = __spark_entry__.queries()[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size()) if "l_orderkey" in leaves.apply(i).toString()]
+        assert size > 2 * (8 << 20) and scans
+        assert min(s.inputRDD().getNumPartitions() for s in scans) >= size // (8 << 20)
+    finally:
+        for key, value in was.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
