@@ -177,7 +177,7 @@ def test_core_numbers_of_no_edges(spark):
         assert traverse.core_numbers(spark.createDataFrame(pairs, "src long, dst long")).collect() == []
 
 
-@pytest.mark.parametrize("name", ["provenance_upsert", "call_spine"])
+@pytest.mark.parametrize("name", ["provenance_upsert", "call_spine", "graph_tree"])
 def test_edges_are_read_in_bounded_shares(spark, tmp_path, name):
     import shutil
 
