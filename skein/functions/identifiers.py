@@ -36,20 +36,21 @@ def segments(c: Column) -> Column:
     return F.array_distinct(raw_segments(c))
 
 
-def index_tokens(c: Column, cap: int = 64) -> Column:
-    """Segments of three bytes or more and the whole input in lower case where it is one word of three or more, in order, at most cap."""
+def _and_whole(own: Column, c: Column) -> Column:
+    """Segments of three bytes or more, and the whole input in lower case where it is one word of three or more and none of the segments."""
     whole = F.lower(c)
-    own = F.filter(segments(c), lambda x: F.octet_length(x) >= 3)
-    more = F.when(~c.rlike("\\s") & (F.octet_length(c) >= 3) & ~F.array_contains(segments(c), whole), F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(own, more), 1, cap)
+    more = F.when(~c.rlike("\\s") & (F.octet_length(c) >= 3) & ~F.array_contains(own, whole), F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.filter(own, lambda x: F.octet_length(x) >= 3), more)
 
 
-def index_terms(c: Column) -> Column:
+def index_tokens(c: Column, cap: int = 64, raw: Column | None = None) -> Column:
+    """Segments of three bytes or more and the whole input in lower case where it is one word of three or more, in order, at most cap. raw: raw_segments of c, where a column has them."""
+    return F.slice(_and_whole(segments(c) if raw is None else F.array_distinct(raw), c), 1, cap)
+
+
+def index_terms(c: Column, raw: Column | None = None) -> Column:
     """index_tokens with each segment as often as it occurs and without a cap: what a document's length and a term's count are taken of."""
-    whole = F.lower(c)
-    own = F.filter(raw_segments(c), lambda x: F.octet_length(x) >= 3)
-    more = F.when(~c.rlike("\\s") & (F.octet_length(c) >= 3) & ~F.array_contains(raw_segments(c), whole), F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.concat(own, more)
+    return _and_whole(raw_segments(c) if raw is None else raw, c)
 
 
 def leaf_of(c: Column) -> Column:

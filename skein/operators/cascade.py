@@ -13,6 +13,8 @@ text has no tokens and no seeds; q is to be unique. Work grows with the nodes th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ STRONG, LEAST, NODES, MISSPELT, PRIORITY = 0.3, 0.05, 1000, 0.7, 1.5
 TRUSTED, BAND, FLOOR, KEEP, RESCUE = 0.58, 0.13, 0.55, 5, 0.85
 #: Our own: how much a kind counts, and how many words' hits the lexical lane keeps.
 BOOSTS, HITS = {"method": 1.2, "function": 1.2, "class": 1.1}, 50
+#: Words at most that are looked for in a name by a pattern before it is taken apart, and characters of a word that the pattern has.
+FEW, START = 1000, 32
 
 
 def boost(kind: Column, boosts: dict[str, float]) -> Column:
@@ -64,19 +68,63 @@ def names(c: Column, longest: Column) -> Column:
     return runs(I.raw_segments(c), longest)
 
 
+def taken_apart(nodes: DataFrame) -> DataFrame:
+    """The nodes with raw_segments of their signatures, and their bodies and leaves as runs spell them, as a table: names are taken apart once for all lanes, by one pattern."""
+    c = F.col("signature")
+    body = F.substr(c, F.instr(c, ":") + 1)
+    segments = F.transform(F.regexp_extract_all(c, F.lit("[0-9]+|[A-Z]+[a-z]*|[a-z]+"), F.lit(0)), F.lower)
+    return written(nodes.select("id", "corpus", "path", "signature", "kind", "line", "end_line", "test_role", segments.alias("segments"), plain(body).alias("body"), plain(F.substring_index(body, ".", -1)).alias("leaf")))
+
+
+def _holds(words: DataFrame, c: Column) -> Column:
+    """Whether c may hold one of the words (one column, distinct): so where they are few and it holds the start of one, and of any c where they are many."""
+    few = sorted({r[0][:START] for r in words.limit(FEW + 1).collect()})
+    if len(few) > FEW:
+        return F.lit(True)
+
+    def of(tails: list[str]) -> str:
+        if "" in tails:
+            return ""
+        by = {}
+        for t in tails:
+            by.setdefault(t[0], []).append(t[1:])
+        return "(?:" + "|".join(re.escape(k) + of(v) for k, v in by.items()) + ")"
+
+    return c.rlike(of(few)) if few else F.lit(False)
+
+
 def _carriers(nodes: DataFrame, forms: DataFrame) -> DataFrame:
-    """(form, id, signed, word): nodes that carry a form in signature (signed) or path; word: the form is a token of the index. A path is taken apart once for all its nodes."""
+    """(form, id, word, rank, at): nodes, taken apart, that carry a form in signature or path, a row for each form.
+
+    word: the form is a token of the index. rank: see _name_rank. at: what orders the node as an anchor; null if it can't be one, as the form is in its path only or it is noise.
+    Forms of a node are found in its own row, so that nothing is shuffled; a path is taken apart once for all its nodes, and names only where they may hold a form. Ids of nodes are unique.
+    """
     forms = written(forms.distinct())
     known = counted(forms)
     longest = F.broadcast(forms.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("_longest")))  # one row
-    cut = lambda df, c: df.withColumn("_s", I.raw_segments(F.col(c))).crossJoin(longest)
-    form = F.explode(runs(F.col("_s"), F.col("_longest"))).alias("form")
-    own = cut(nodes.select("id", "signature"), "signature").select("id", form).join(known, "form").select("id", "form", F.lit(True).alias("signed"))
-    there = cut(nodes.select("path").distinct(), "path").select("path", form).join(known, "form")
-    there = nodes.select("id", "path").join(counted(written(there)), "path").select("id", "form", F.lit(False).alias("signed"))
-    hits = own.unionByName(there).groupBy("form", "id").agg(F.max("signed").alias("signed"))
-    words = nodes.select("id", F.explode(I.index_tokens(F.col("signature"))).alias("form")).join(known, "form", "left_semi").distinct().withColumn("word", F.lit(True))
-    return hits.join(words, ["form", "id"], "left").withColumn("word", F.coalesce("word", F.lit(False)))
+    none = F.array().cast("array<string>")
+    paths = nodes.select("path").distinct().withColumn("_s", I.raw_segments(F.col("path"))).crossJoin(longest)
+    there = paths.select("path", F.explode(runs(F.col("_s"), F.col("_longest"))).alias("form")).join(known, "form").groupBy("path").agg(F.collect_set("form").alias("_there"))
+    n = nodes.join(counted(written(there)), "path", "left").crossJoin(longest)
+    n = n.withColumn("_own", F.when(_holds(forms, F.array_join("segments", "")), runs(F.col("segments"), F.col("_longest"))).otherwise(none))
+    told = lambda forms, signed: F.transform(forms, lambda f: F.struct(f.alias("form"), F.lit(signed).alias("signed")))
+    both = F.concat(told(F.col("_own"), True), told(F.array_except(F.coalesce("_there", none), F.col("_own")), False))
+    # An outer explode: before an inner one, Catalyst makes the runs once more to see whether there are any. The join drops its nulls.
+    hits = n.select(*nodes.columns, F.explode_outer(both).alias("_f")).select(*nodes.columns, F.col("_f.form").alias("form"), F.col("_f.signed").alias("signed")).join(known, "form")
+    word = F.coalesce(F.array_contains(I.index_tokens(F.col("signature"), raw=F.col("segments")), F.col("form")), F.lit(False))
+    noise = filters.is_anchor_noise(F.col("path"), F.col("signature"), F.col("kind"), F.col("test_role"))
+    at = F.when(F.col("signed") & ~noise, F.struct("corpus", "path", "kind", "line", "end_line"))
+    return hits.select("form", "id", word.alias("word"), _name_rank(F.col("form"), F.col("body"), F.col("leaf")).alias("rank"), at.alias("at"))
+
+
+def _like(nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(token): names and segments that may be as similar as `least` to one of the words (q): all that are, and some others.
+
+    So similar a token has so many of a word's trigrams that it holds one of any few of them: of those that end the word. Nodes that hold none are left out.
+    """
+    grams = words.select(I.trigrams(F.col("q")).alias("g")).select(F.explode(F.slice(F.reverse("g"), 1, F.size("g") - F.ceil(least * F.size("g") - 1e-9).cast("int") + 1)).alias("g")).distinct()
+    nodes = nodes.where(_holds(grams, F.array_join("segments", "")))
+    return nodes.select(F.col("leaf").alias("token")).union(nodes.select(F.explode_outer("segments"))).where("token IS NOT NULL").distinct()
 
 
 def _terms(queries: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,22 +139,20 @@ def _terms(queries: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     direct = written(tried.join(hit, "form").groupBy("q", "position", "token").agg(F.min(F.struct("rung", "form")).alias("b")).select("q", "position", "token", "b.form", "b.rung"))
     open_ = written(t.join(direct.select("q", "position"), ["q", "position"], "left_anti"))
     # Only what no earlier lane took is corrected.
-    words = open_.where(F.length("token") >= 4).select(F.lower("token").alias("q")).distinct()
-    leaf = plain(I.leaf_of(F.col("signature")))
-    vocabulary = nodes.select(leaf.alias("token")).union(nodes.select(F.explode(I.segments(F.col("signature"))))).distinct()
-    fixes = corrections(words, vocabulary, MISSPELT).where("token IS NOT NULL").select(F.col("q").alias("_w"), F.col("token").alias("form"))
+    words = written(open_.where(F.length("token") >= 4).select(F.lower("token").alias("q")).distinct())
+    fixes = corrections(words, _like(nodes, words, MISSPELT), MISSPELT).where("token IS NOT NULL").select(F.col("q").alias("_w"), F.col("token").alias("form"))
     fixed = written(open_.join(fixes, F.lower("token") == F.col("_w")).select("q", "position", "token", "form", F.lit(3).alias("rung")))
-    more = _carriers(nodes, fixed.select("form"))
-    all_hits = written(found.unionByName(more.join(hit, "form", "left_anti")))
-    fixed = fixed.join(more.select("form").distinct(), "form", "left_semi")
-    done = direct.unionByName(fixed).withColumn("resolved", F.lit(True))
+    if not fixed.isEmpty():
+        more = written(_carriers(nodes, fixed.select("form")))
+        found = found.unionByName(more.join(hit, "form", "left_anti"))
+        direct = direct.unionByName(fixed.join(more.select("form").distinct(), "form", "left_semi"))
+    done = direct.withColumn("resolved", F.lit(True))
     rest = t.join(done.select("q", "position"), ["q", "position"], "left_anti").select("q", "position", "token", plain(F.col("token")).alias("form"), F.lit(None).cast("int").alias("rung"), F.lit(False).alias("resolved"))
-    return written(done.unionByName(rest)), all_hits
+    return written(done.unionByName(rest)), found
 
 
-def _name_rank(form: Column, signature: Column) -> Column:
+def _name_rank(form: Column, body: Column, leaf: Column) -> Column:
     """0: the form is the name; 1: the name starts with it; 2: it is elsewhere."""
-    body, leaf = plain(F.regexp_replace(signature, "^[^:]*:", "")), plain(I.leaf_of(signature))
     return F.when((body == form) | (leaf == form), 0).when(F.startswith(body, form) | F.startswith(leaf, form), 1).otherwise(2)
 
 
@@ -116,23 +162,22 @@ class Cascade:
     def __init__(self, queries: DataFrame, nodes: DataFrame, vectors: DataFrame | None = None, allowed: list[str] | None = None, boosts: dict[str, float] = BOOSTS):
         self.queries = written(queries.select("q", "query", (F.col("lanes") if "lanes" in queries.columns else F.lit(ALL)).cast("int").alias("lanes")))
         base = self.queries.select("q", "query").distinct()
-        shown = nodes if allowed is None else nodes.where(F.col("corpus").isin(allowed))
-        self.nodes = written(nodes.select("id", "corpus", "path", "signature", "kind", "line", "end_line", "test_role"))
+        self.nodes = taken_apart(nodes)
+        shown = self.nodes if allowed is None else self.nodes.where(F.col("corpus").isin(allowed))
         facts = F.col("kind")
         total = self.nodes.agg(F.greatest(F.lit(NODES), F.count(F.lit(1))).alias("total"))
         terms, hits = _terms(base, self.nodes)
         logic = F.when(F.col("kind").isin("method", "function", "constructor", "impl"), 0).when(F.col("kind").isin("field", "var", "variable", "property", "constant", "static", "import", "file-module"), 2).otherwise(1)
         span = F.when(F.col("end_line") >= F.col("line"), F.col("end_line") - F.col("line")).otherwise(0)
-        frequency = hits.where("word").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+        frequency = hits.where("word").select("form", "id").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n"))
         # A form that the index doesn't hold can't be measured: it counts as everywhere.
         self.measured = written(terms.join(frequency, "form", "left").crossJoin(F.broadcast(total)).withColumn("frequency", F.coalesce("n", "total")).withColumn("idf", I.idf_weight(F.col("frequency"), F.col("total"))).drop("n", "total"))
-        at = hits.join(self.nodes, "id").withColumns({"_rank": _name_rank(F.col("form"), F.col("signature")), "_noise": filters.is_anchor_noise(F.col("path"), F.col("signature"), F.col("kind"), F.col("test_role"))})
+        at = hits.where("id IS NOT NULL").withColumnRenamed("rank", "_rank")
         # Names are ranked a form at a time: many queries may ask for a form that many nodes carry.
-        at = written(at.join(self.measured.where("resolved").select("form").distinct(), "form", "left_semi"))
         wanted = self.measured.where("resolved")
         first = wanted.join(at.groupBy("form").agg(F.min(F.struct("_rank", "id"))["id"].alias("top_node")), "form").select("q", "position", "top_node")
-        pool = at.where("signed AND NOT _noise")
-        head = wanted.join(pool.withColumn("_h", F.row_number().over(W.partitionBy("form").orderBy("_rank", "id"))).where(F.col("_h") <= LOOKED_AT), "form")
+        pool = at.where("at IS NOT NULL").withColumn("_h", F.row_number().over(W.partitionBy("form").orderBy("_rank", "id"))).where(F.col("_h") <= LOOKED_AT)
+        head = wanted.join(written(pool.select("form", "id", "_rank", "at.*")), "form")
         order = W.partitionBy("q", "position").orderBy(logic, F.desc(span), "_rank", "id")
         if allowed is not None:
             # Corrected tokens look for the first visible name; others lose the slots that hidden names had.
@@ -161,11 +206,12 @@ class Cascade:
         best = self.anchors.groupBy("q", "id").agg(F.max("weight").alias("weight"), F.max("specific").alias("specific"))
         out = best.select("q", "id", F.when(F.col("specific"), "specific").otherwise("generic").alias("lane"), "weight")
         words = self.measured.select("q", "form").where("form <> ''").distinct()
-        seeds = nodes.where(~filters.is_structural_noise(F.col("path"), F.col("signature"), F.col("kind")))
-        scored = ranking.bm25_of(nodes.select("id", I.index_terms(F.col("signature")).alias("tokens")), words)
+        # The table between keeps the patterns of noise to nodes that were found, where Catalyst would try them on all.
+        seeds = lambda found: written(found.join(nodes.select("id", "path", "kind", "signature"), "id")).where(~filters.is_structural_noise(F.col("path"), F.col("signature"), F.col("kind"))).drop("signature")
+        scored = ranking.bm25_of(nodes.select("id", I.index_terms(F.col("signature"), F.col("segments")).alias("tokens")), words)
         top = W.partitionBy("q").orderBy(F.desc("score"), "id")
-        scored = scored.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= HITS)
-        hits = scored.join(seeds.select("id", "path", "kind"), "id").withColumn("norm", F.greatest(F.lit(LEAST), F.col("score") / F.max("score").over(W.partitionBy("q"))))
+        scored = written(scored.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= HITS))
+        hits = seeds(counted(scored)).withColumn("norm", F.greatest(F.lit(LEAST), F.col("score") / F.max("score").over(W.partitionBy("q"))))
         root = lambda c: F.when(F.size(F.split(c, "/")) >= 3, I.package_root(c))
         roots = self.anchors.select("q", root(F.col("path")).alias("_root")).where("_root IS NOT NULL").distinct().withColumn("_in", F.lit(True))
         scoped = roots.select("q").distinct().withColumn("_scoped", F.lit(True))
@@ -176,7 +222,7 @@ class Cascade:
         capped = each.withColumn("_n", F.row_number().over(W.partitionBy("q", "lane", "path").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= PER_PATH)
         out = out.unionByName(capped.select("q", "id", "lane", "weight"))
         if vectors is not None:
-            v = vectors.groupBy("q", "id").agg(F.max("cosine").alias("cosine")).join(seeds.select("id", "kind"), "id")
+            v = seeds(counted(written(vectors.groupBy("q", "id").agg(F.max("cosine").alias("cosine")))))
             out = out.unionByName(v.select("q", "id", F.lit("vector").alias("lane"), (F.col("cosine") * boost(F.col("kind"), boosts)).alias("weight")))
         self.cosines = None if vectors is None else written(vectors.where("cosine IS NOT NULL").groupBy("q", "id").agg(F.max("cosine").alias("cosine")))
         return out.withColumn("rank", F.row_number().over(W.partitionBy("q", "lane").orderBy(F.desc("weight"), "id")))
@@ -216,8 +262,11 @@ class Cascade:
         if edges is not None:
             # A seed is near if it, or what is beside it, is or lies beside an exact one: the edges are read once, and no second hop is made from hubs.
             named, others = s.where(exact).select(*key, "id").distinct(), s.where(~exact).select(*key, "id").distinct()
-            both = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("beside")), F.struct(F.col("dst").alias("id"), F.col("src").alias("beside")))))
-            beside = written(both.join(counted(s.select("id").distinct()), "id", "left_semi").distinct())
+            ids = counted(s.select("id").distinct())
+            # Two semi-joins, since Catalyst takes these below what tells repeated edges apart.
+            out = edges.select(F.col("src").alias("id"), F.col("dst").alias("beside")).join(ids, "id", "left_semi")
+            into = edges.select(F.col("dst").alias("id"), F.col("src").alias("beside")).join(ids, "id", "left_semi")
+            beside = written(out.union(into).distinct())
             around = written(named.withColumnRenamed("id", "at").union(named.join(beside, "id").select(*key, F.col("beside").alias("at"))).distinct())
             steps = others.join(beside, "id").select(*key, "id", F.col("beside").alias("at"))
             near = steps.join(around, [*key, "at"], "left_semi").select(*key, "id").distinct()

@@ -50,7 +50,8 @@ def bm25_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     d = docs.select("id", F.size("tokens").alias("dl"), "tokens")
     facts = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average"))
-    own = d.select("id", "dl", F.explode("tokens").alias("form")).join(counted(terms.select("form").distinct()), "form", "left_semi")
+    # An outer explode: before an inner one, Catalyst takes the tokens apart once more to see whether there are any. The join drops its nulls.
+    own = d.select("id", "dl", F.explode_outer("tokens").alias("form")).join(counted(terms.select("form").distinct()), "form", "left_semi")
     counts = written(own.groupBy("form", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
     df = counts.groupBy("form").agg(F.count(F.lit(1)).alias("df"))
     each = counts.join(df, "form").crossJoin(F.broadcast(facts)).select("form", "id", _weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("average")).alias("s"))

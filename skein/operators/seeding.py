@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.operators import traverse
-from skein.sources.storage import written
+from skein.sources.storage import counted, written
 
 
 def with_callers(seeds: DataFrame, edges: DataFrame, limits: tuple[int, ...] = (15, 10), factor: float = 0.35) -> DataFrame:
@@ -30,7 +30,10 @@ def apart(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """
     best = written(seeds.where("id IS NOT NULL").groupBy("id").agg(F.max("score").alias("score")))
     s, t = best.select(F.col("id").alias("src"), F.col("score").alias("a")), best.select(F.col("id").alias("dst"), F.col("score").alias("b"))
-    both = edges.select("src", "dst").union(traverse.reverse(edges)).where("src <> dst").distinct()
+    # Edges between seeds alone: they are few, whatever the graph's size, before repeated ones are told.
+    ids = counted(best.select("id"))
+    inner = edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    both = inner.union(traverse.reverse(inner)).where("src <> dst").distinct()
     # (src, dst): dst beats its neighbour src.
     beats = written(both.join(s, "src").join(t, "dst").where("b > a OR (b = a AND dst < src)").select("src", "dst"))
     open_, kept = best.select("id"), None

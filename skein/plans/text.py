@@ -9,6 +9,7 @@ from skein.catalog import Graph, query
 from skein.functions import identifiers as I
 from skein.operators import ingest, ranking, seeding
 from skein.plans.relational import NE, SEG
+from skein.sources.storage import written
 
 def _terms_sql(c):
     """Segments of three bytes or more, as often as they occur, and the whole in lower case where it has no white space and isn't one of them."""
@@ -411,11 +412,11 @@ def _questions(spark, d):
     return q.select(F.xxhash64("code", "query").alias("q"), "query")
 
 
-def _near(spark, d):
+def _near(spark, d, questions):
     """Vectors of the questions: each embedding stands for the document of its number, and a question for the embedding that its number falls on."""
     e = Graph(spark, d).table("embeddings")
     n = e.agg(F.max("vec_id").alias("n"))
-    own = _questions(spark, d).crossJoin(F.broadcast(n)).select("q", F.expr("pmod(q, n + 1)").alias("vec_id")).join(e, "vec_id").select(F.col("q").alias("vec_id"), "embedding")
+    own = questions.crossJoin(F.broadcast(n)).select("q", F.expr("pmod(q, n + 1)").alias("vec_id")).join(e, "vec_id").select(F.col("q").alias("vec_id"), "embedding")
     from skein.plans.retrieval import nearest_vectors
 
     return nearest_vectors(e, own, 20).select("q", (F.lit(30000000000) + F.col("vec_id")).alias("id"), F.col("sim").alias("cosine"))
@@ -425,8 +426,8 @@ def _near(spark, d):
 def seed_cascade(spark, d):
     from skein.operators.cascade import Cascade
 
-    g = Graph(spark, d)
-    s = Cascade(_questions(spark, d), g.nodes, _near(spark, d)).seeds(g.edges)
+    g, asked = Graph(spark, d), written(_questions(spark, d))
+    s = Cascade(asked, g.nodes, _near(spark, d, asked)).seeds(g.edges)
     return s.select("q", "rank", "id", "source", "found", F.round("score", 9).alias("score"), F.round("weight", 6).alias("weight"))
 
 
@@ -434,5 +435,5 @@ def seed_cascade(spark, d):
 def explain_lanes(spark, d):
     from skein.operators.cascade import explain
 
-    g = Graph(spark, d)
-    return explain(_questions(spark, d), g.nodes, g.edges, _near(spark, d))
+    g, asked = Graph(spark, d), written(_questions(spark, d))
+    return explain(asked, g.nodes, g.edges, _near(spark, d, asked))
