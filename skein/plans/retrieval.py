@@ -181,10 +181,12 @@ def context(nodes: DataFrame, edges: DataFrame, query: str, budget: int, allowed
     Seeds by the cascade, the best 20, without those beside a better one and with their callers; ranks by personalised PageRank over visible
     edges, damped by in-degree, chosen by a knapsack. A query without a seed gives no rows: that is an answer.
     """
-    nodes, edges = written(nodes), written(edges)
-    visible = written(filters.visible_edges(edges, nodes, allowed))
-    asked = nodes.sparkSession.createDataFrame([(0, query)], "q long, query string")
-    best = Cascade(asked, nodes, None, allowed).seeds(visible).where("rank <= 20").select("id", "score", "weight")
+    spark, edges = nodes.sparkSession, written(edges)
+    asked = spark.range(1).select(F.lit(0).cast("long").alias("q"), F.lit(query).alias("query"))
+    found = Cascade(asked, nodes, None, allowed)
+    nodes = found.nodes
+    visible = edges if allowed is None else written(filters.visible_edges(edges, nodes, allowed))
+    best = found.seeds(visible).where("rank <= 20").select("id", "score", "weight")
     best = written(best)
     kept = seeding.apart(best.select("id", "score"), visible)
     seeds = seeding.with_callers(best.join(kept.select("id"), "id", "left_semi").select("id", "weight"), visible if allowed is None else seen_sources(visible, nodes, allowed))
