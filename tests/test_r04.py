@@ -71,3 +71,15 @@ def test_gates_filter_edges_before_repeated_ones_are_told(spark, monkeypatch):
     assert {r["id"] for r in seeding.apart(spark.createDataFrame([(0, 2.0), (1, 1.0), (8, 0.5)], "id long, score double"), spark.createDataFrame([(0, 1), (0, 1), (1, 8), (5, 6)], "src long, dst long")).collect()} == {0, 8}
     beats = next(p for c, p in plans if c == ["src", "dst"])
     assert beats.index("Aggregate") < beats.index("LeftSemi")
+
+
+def test_edit_overlap_moves_lists(spark, monkeypatch):
+    """A row for each place, span and list, and none for each node of a span, goes to where hunks are."""
+    from skein.operators import joins
+
+    monkeypatch.setattr(joins, "LISTED", 7, raising=False)
+    hunks = spark.range(40).select(F.col("id").alias("hunk_id"), F.lit("p").alias("path"), (F.col("id") % 2).cast("int").alias("hunk_start"), F.lit(9).alias("hunk_end"))
+    nodes = spark.range(100, 140).select("id", F.lit("p").alias("path"), F.lit(3).alias("line"), F.when(F.col("id") % 4 == 0, 8).otherwise(5).alias("end_line"))
+    got = joins.edit_overlap(hunks, nodes)
+    assert sorted(map(tuple, got.collect())) == [(h, i) for h in range(40) for i in range(100, 140) if i % 4]
+    assert plan(got).count("Generate explode") >= 3 and "hunk_id: bigint, id: bigint" in str(got)
